@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, sharding
+from . import exact_dedup, fingerprints, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op2_histogram_sort": sharding.op2_histogram_sort,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op7_packing": packing.op7_packing,
         "op9_scaled_sketch": fingerprints.op9_scaled_sketch,
     }
 
