@@ -56,7 +56,7 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, size_col: str, rows: in
     cold = small.filter(F.col(size_col) < limit)
     marks = big.join(F.broadcast(hot.select(key, "__hot")), key, "left")
     first = big.join(F.broadcast(hot.drop("__hot")), key, "inner")
-    rest = marks.filter(F.col("__hot").isNull()).drop("__hot").join(cold, key, how)
+    rest = marks.filter(F.col("__hot").isNull()).drop("__hot").join(cold.hint("merge"), key, how)
     return first.unionByName(rest)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import hot_join, materialize, whole_text
 
-BITS_PER_KEY, PROBES, RUN_ROWS, BUCKET_ROWS = 10, 7, 1 << 16, 1 << 14
+BITS_PER_KEY, PROBES, RUN_ROWS, BUCKET_ROWS, SLOTS = 10, 7, 1 << 16, 1 << 14, 1 << 22
 SCHEMA = "run long, bucket int, digest binary, ident long, n long, bits binary"
 
 
@@ -176,7 +176,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = looked.filter("n is null").select(F.col("own").alias(id_col), F.col("own").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     # Byte verification: copies are spread over ceil(n / copies_a_salt) salts, and the kept text goes once to each.
     salts = F.ceil(F.col("n") / copies_a_salt).cast("int")
-    hits = hot_join(base, many, "digest", "n", rows)
+    # Before any text moves, a filter of at most SLOTS slots (32 MB) drops documents whose slot no shared digest uses.
+    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
+    maybe_hit = base.join(F.broadcast(many.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+    hits = materialize(hot_join(maybe_hit, many, "digest", "n", rows), "texts")
     copies = hits.withColumn("salt", F.pmod(F.xxhash64("own_key", "digest"), salts).cast("int")).withColumn("salt", F.when(F.col("n") <= copies_a_salt, 0).otherwise(F.col("salt")))
     kept = hits.filter(F.col("own_key") == F.col("ident")).dropDuplicates(["digest"]).select("digest", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     checked = materialize(copies.join(kept.hint("merge"), ["digest", "salt"]).select("own", "own_key", "sha", "digest", "ident", F.col("body").eqNullSafe(F.col("kept_body")).alias("same"), F.when(F.col("body") != F.col("kept_body"), F.col("body")).alias("body")), "checked")
