@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, packing, sharding
+from . import exact_dedup, fingerprints, html_text, packing, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op2_histogram_sort": sharding.op2_histogram_sort,
+        "op3_boosted_dom": html_text.op3_boosted_dom,
+        "op4_semi_markov_pii": pii.op4_semi_markov_pii,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_bradley_terry": quality.op6_bradley_terry,
         "op7_packing": packing.op7_packing,
         "op9_scaled_sketch": fingerprints.op9_scaled_sketch,
     }
