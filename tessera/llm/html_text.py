@@ -6,6 +6,8 @@ import html as html_lib
 import math
 import random
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +28,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 WALLS = frozenset("ul ol dl table div section article main body html aside nav form menu".split())
 TAGS = "html body div section article main header footer nav aside p h1 h2 h3 ul ol li table td form blockquote pre figure figcaption #run".split()
 WORDS = "article content post entry story text main body page nav menu header foot footer sidebar side aside ad ads advert promo sponsor banner cookie consent notice alert comment comments reply disqus form share social related recommend breadcrumb subscribe newsletter login popup modal widget copyright tag meta search hidden contentinfo navigation complementary".split()
+_TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _WORD_AT = {w: i for i, w in enumerate(WORDS)}
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
@@ -192,22 +195,25 @@ N_FEATURES = len(TAGS) + 2 * len(WORDS) + 22
 def node_features(nodes: list[Node]) -> np.ndarray:
     """Depth, subtree density, links, attribute words (own and of ancestors), sibling and page statistics of each node."""
     x = np.zeros((len(nodes), N_FEATURES))
-    total, place, above = max(1, nodes[0].size), {}, {}
+    total, above, families = max(1, nodes[0].size), {}, {}
     before = 0
     for i, v in enumerate(nodes):
-        place[id(v)] = i
         own = [_WORD_AT[w] for w in v.words | {v.tag} if w in _WORD_AT]
         inherited = above.get(id(v.parent), set()) if v.parent else set()
         above[id(v)] = inherited | set(own)
-        if v.tag in TAGS:
-            x[i, TAGS.index(v.tag)] = 1
-        x[i, [len(TAGS) + k for k in own]] = 1
-        x[i, [len(TAGS) + len(WORDS) + k for k in inherited]] = 1
-        family = v.parent.children if v.parent else [v]
-        kin = sum(c.size for c in family)
-        rank = sum(c.size > v.size for c in family)
-        at = next(k for k, c in enumerate(family) if c is v)
-        f = [v.depth, math.log1p(v.size), v.links / v.size, v.size / v.count, math.log1p(v.size / v.leaves), v.leaves, v.stops / v.size, v.stops, v.long, v.long / v.leaves, v.size / total, v.size / max(1, kin), rank, len(family), at, at / len(family), sum(c.tag == v.tag for c in family), before / total, v.tag == "#run", x[place[id(v.parent)], : len(TAGS)].argmax() if v.parent else -1, len(v.words), sum(c.long for c in family)]
+        if v.tag in _TAG_AT:
+            x[i, _TAG_AT[v.tag]] = 1
+        if own:
+            x[i, [len(TAGS) + k for k in own]] = 1
+        if inherited:
+            x[i, [len(TAGS) + len(WORDS) + k for k in inherited]] = 1
+        if id(v.parent) not in families:
+            every = v.parent.children if v.parent else [v]
+            sizes = sorted(c.size for c in every)
+            families[id(v.parent)] = (len(every), sum(sizes), sizes, {id(c): k for k, c in enumerate(every)}, Counter(c.tag for c in every), sum(c.long for c in every))
+        family, kin, sizes, places, alike, long = families[id(v.parent)]
+        rank, at = family - bisect_right(sizes, v.size), places[id(v)]
+        f = [v.depth, math.log1p(v.size), v.links / v.size, v.size / v.count, math.log1p(v.size / v.leaves), v.leaves, v.stops / v.size, v.stops, v.long, v.long / v.leaves, v.size / total, v.size / max(1, kin), rank, family, at, at / family, alike[v.tag], before / total, v.tag == "#run", _TAG_AT.get(v.parent.tag, -1) if v.parent else -1, len(v.words), long]
         x[i, -22:] = f
         if v.tag == "#run":
             before += v.size
@@ -223,7 +229,11 @@ class Boosted:
     start: float
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)]).astype(np.int16)
+        out = np.zeros(x.shape, np.int16)
+        for j, e in enumerate(self.edges):
+            if len(e):
+                out[:, j] = np.searchsorted(e, x[:, j], "right")
+        return out
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         b, out, rows = self.bins(x), np.full(len(x), self.start), np.arange(len(x))
@@ -293,12 +303,19 @@ def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     return chosen
 
 
-def main_text(page: str, model: Boosted) -> str:
-    nodes = nodes_of(parse(page))
-    if not nodes:
-        return ""
-    chosen = decode(nodes, model.margin(node_features(nodes)))
-    return "\n".join(v.text for v, c in zip(nodes, chosen, strict=True) if c and v.tag == "#run")
+def main_texts(pages: list[str], model: Boosted, at_once: int = 200) -> list[str]:
+    """The main text of each page; the trees run over the nodes of ``at_once`` pages together."""
+    out = []
+    for first in range(0, len(pages), at_once):
+        trees = [nodes_of(parse(p)) for p in pages[first : first + at_once]]
+        rows = [node_features(nodes) for nodes in trees if nodes]
+        margin = model.margin(np.concatenate(rows)) if rows else np.zeros(0)
+        at = 0
+        for nodes in trees:
+            chosen = decode(nodes, margin[at : at + len(nodes)]) if nodes else []
+            at += len(nodes)
+            out.append("\n".join(v.text for v, c in zip(nodes, chosen, strict=True) if c and v.tag == "#run"))
+    return out
 
 
 def _made_page(lines: list[str], rng: random.Random) -> str:
@@ -410,7 +427,7 @@ def extract(pages: DataFrame, model: Boosted, id_col: str = "page_id", url_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(t.as_py(), model) for t in batch.column(2)]
+            texts = main_texts(batch.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).cast("string").alias(url_col), whole_text(html_col).alias("html")).mapInArrow(run, schema)
