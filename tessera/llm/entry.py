@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, html_text, packing, pii, quality, sharding
+from . import exact_dedup, fingerprints, html_text, near_join, packing, pii, quality, sharding
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bradley_terry": quality.op6_bradley_terry,
         "op7_packing": packing.op7_packing,
+        "op8_minhash_join": near_join.op8_minhash_join,
         "op9_scaled_sketch": fingerprints.op9_scaled_sketch,
     }
 
