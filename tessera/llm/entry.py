@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, html_text, near_join, packing, pieces, pii, quality, sharding
+from . import exact_dedup, fingerprints, html_text, near_join, packing, pieces, pii, pitman_yor, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op10_max_plus_pieces": pieces.op10_max_plus_pieces,
+        "op1_pitman_yor": pitman_yor.op1_pitman_yor,
         "op2_histogram_sort": sharding.op2_histogram_sort,
         "op3_boosted_dom": html_text.op3_boosted_dom,
         "op4_semi_markov_pii": pii.op4_semi_markov_pii,
