@@ -10,9 +10,9 @@ states known, each chunk is traced back by itself.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
-from functools import reduce
-from operator import xor
 
 import numpy as np
 import pandas as pd
@@ -56,11 +56,12 @@ class Pieces:
             self.out[i] = p.replace(_BLANK, " ").encode()
         for b, i in enumerate(self.byte):
             self.out[i] = bytes([b])
+        #: Neighbouring characters inside some piece; between any others no piece lies, and the path may be cut there.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         inner = any(_BLANK in p.lstrip(_BLANK) for p in self.ids) or any("\n" in p for p in self.ids)
-        #: Cuts that no piece spans: before a run of blanks, and around line feeds. A model with other pieces has none.
+        #: A first split at cuts that no piece spans: before a run of blanks, and around line feeds (where the model allows it).
         self.unit = re.compile(r"[\s\S]+") if inner else re.compile(f"{_BLANK}+[^{_BLANK}\n]*|[^{_BLANK}\n]+|\n")
-        self.free = not inner
-        self.agree: dict[tuple[str, str], bool] = {}
+        self.agree: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def merges(self, s: str) -> list[str]:
@@ -77,33 +78,38 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def neighbours(self, a: str, b: str) -> bool:
-        """Whether the merges of the joint text leave these two pieces (remembered)."""
+    def neighbours(self, key: int, a: str, b: str) -> bool:
+        """Whether the merges of the joint text leave these two pieces; remembered under both ids."""
         if len(self.agree) > CACHE:
             self.agree.clear()
-        found = self.agree[a, b] = self.merges(a + b) == [a, b]
+        found = self.agree[key] = self.merges(a + b) == [a, b]
         return found
 
     def paths(self, s: str, begin: int, stop: int, entry: str | None) -> list[str | None]:
         """last[i - begin]: the last piece of the path from ``begin`` (after piece ``entry``) to i, or None where there is none."""
         last: list[str | None] = [entry if entry is not None else ""] + [None] * (stop - begin)
-        ids, sizes, agree, two = self.ids, self.sizes, self.agree, (2, 1)
+        of, sizes, agree, two = self.ids.get, self.sizes.get, self.agree, (2, 1)
+        number = [of(last[0], -1)] + [-1] * (stop - begin)  # the last pieces' ids; -1: none to agree with
         for i in range(begin + 1, stop + 1):
             most = i - begin
-            for size in sizes.get(s[i - 3 : i], two) if most > 2 else two:
-                if size > most:
-                    continue
-                before = last[most - size]
-                if before is None:
+            for size in sizes(s[i - 3 : i], two) if most > 2 else two:
+                if size > most or last[most - size] is None:
                     continue
                 p = s[i - size : i]
-                if size > 1 and p not in ids:
-                    continue
-                if before:
-                    fits = agree.get((before, p))
-                    if not (self.neighbours(before, p) if fits is None else fits):
+                k = of(p, -1)
+                if k < 0:
+                    if size > 1:
                         continue
+                else:
+                    j = number[most - size]
+                    if j >= 0:
+                        fits = agree.get(j << 20 | k)
+                        if fits is None:
+                            fits = self.neighbours(j << 20 | k, last[most - size], p)
+                        if not fits:
+                            continue
                 last[most] = p
+                number[most] = k
                 break
         return last
 
@@ -118,7 +124,7 @@ class Pieces:
     def to_ids(self, parts: list[str]) -> bytes:
         out = [self.ids.get(p) for p in parts]
         if None not in out:
-            return np.array(out, "<u4").tobytes()
+            return array("I", out).tobytes() if sys.byteorder == "little" else np.array(out, "<u4").tobytes()
         out = []
         for p in parts:
             i = self.ids.get(p)
@@ -129,14 +135,27 @@ class Pieces:
         return np.array(out, "<u4").tobytes()
 
     def encode_unit(self, u: str) -> bytes:
-        # pieces of blanks alone share one score, so a run of them is merged as the model does it, from the left
-        parts = self.merges(u) if u.startswith(_BLANK * 2) and len(u) <= 4096 else self.trace(u, 0, len(u), None)
-        found = self.to_ids(parts)
+        inside, at, out, known = self.inside, 0, [], self.known
+        for i in range(1, len(u) + 1):
+            if i == len(u) or u[i - 1 : i + 1] not in inside:
+                part = u[at:i]
+                found = known.get(part)
+                if found is None:
+                    # pieces of blanks alone share one score, so a run of them is merged as the model does it, from the left
+                    plain = part.startswith(_BLANK * 2) and len(part) <= 4096
+                    found = self.to_ids(self.merges(part) if plain else self.trace(part, 0, len(part), None))
+                    self.keep(part, found)
+                out.append(found)
+                at = i
+        found = b"".join(out)
+        self.keep(u, found)
+        return found
+
+    def keep(self, u: str, found: bytes) -> None:
         if len(self.known) > CACHE:
             self.known.clear()
         if len(u) <= 64:
             self.known[u] = found
-        return found
 
     def encode(self, s: str) -> bytes:
         known, unit = self.known, self.encode_unit
@@ -159,12 +178,11 @@ class Pieces:
                     found.append((a, b))
         return found
 
-    def cut(self, s: str, low: int, high: int) -> int:
-        """The first place from ``low`` to ``high`` that no piece spans, or -1."""
-        if self.free:
-            for p in range(max(1, low), high + 1):
-                if p >= len(s) or s[p] == "\n" or s[p - 1] == "\n" or (s[p] == _BLANK and s[p - 1] != _BLANK):
-                    return p
+    def cut(self, s: str, low: int, high: int, step: int = 1) -> int:
+        """The first place from ``low`` to ``high`` (or, step -1, back from ``high`` to ``low``) that no piece spans, or -1."""
+        for p in range(max(1, low), high + 1) if step > 0 else range(high, max(1, low) - 1, -1):
+            if p >= len(s) or s[p - 1 : p + 1] not in self.inside:
+                return p
         return -1
 
     def transfer(self, s: str, begin: int, end: int) -> np.ndarray:
@@ -174,9 +192,10 @@ class Pieces:
         far = max((b for _, b in inward), default=begin)
         joint = self.cut(s, far, end - 1)
         middle = None
-        if joint >= 0:
-            last = self.paths(s, joint, min(len(s), end + self.longest), None)
-            middle = [0.0 if a >= joint and last[b - joint] == s[a:b] else NEVER for a, b in outward]
+        if joint >= 0:  # every path leads through the cuts, so only what follows the last one matters to the exit
+            final = self.cut(s, joint, end - 1, -1)
+            last = self.paths(s, final, min(len(s), end + self.longest), None)
+            middle = [0.0 if a >= final and last[b - final] == s[a:b] else NEVER for a, b in outward]
         for k, (a, b) in enumerate(inward):
             entry = s[a:b] if b > a else None
             if b >= end:  # the piece covers the whole chunk
@@ -215,19 +234,33 @@ def resolve(matrices: list[np.ndarray], entry: int, leave: int) -> list[tuple[in
     return out[::-1]
 
 
+def _times(m: list[int], v: int) -> int:
+    out = 0
+    while v:
+        low = v & -v
+        out ^= m[low.bit_length() - 1]
+        v ^= low
+    return out
+
+
+def _zero_bytes(most: int = 48) -> list[list[int]]:
+    """Matrices in GF(2) that append 2 ** k zero bytes to a string under its crc32."""
+    m, out = [0xEDB88320, *(1 << i for i in range(31))], []  # one zero bit
+    for k in range(3 + most):
+        if k >= 3:
+            out.append(m)
+        m = [_times(m, x) for x in m]
+    return out
+
+
+_ZEROS = _zero_bytes()
+
+
 def crc32_combine(a: int, b: int, size: int) -> int:
-    """crc32 of two joined strings from their crc32s and the second's length (all in GF(2), by squaring)."""
-    if not size:
-        return a
-    times = lambda m, v: reduce(xor, (m[i] for i in range(32) if v >> i & 1), 0)
-    m = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
-    for _ in range(3):
-        m = [times(m, x) for x in m]  # one zero byte
-    while size:
-        if size & 1:
-            a = times(m, a)
-        m = [times(m, x) for x in m]
-        size >>= 1
+    """crc32 of two joined strings from their crc32s and the second's length in bytes."""
+    for k in range(size.bit_length()):
+        if size >> k & 1:
+            a = _times(_ZEROS[k], a)
     return a ^ b
 
 
@@ -328,9 +361,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         way = resolve([_matrix(b, i) for i, b in zip(group.inward, group.m, strict=True)], int(group.a.iloc[0]), int(group.b.iloc[0]))
         return pd.DataFrame({"uid": group.uid, "chunk": group.chunk, "a": [a for a, _ in way], "b": [b for _, b in way]})
 
-    runs = moves.groupBy("uid", "run").applyInPandas(product, "uid long, run long, inward long, m binary")
-    edges = runs.groupBy("uid").applyInPandas(ends, "uid long, run long, a long, b long")
-    states = moves.join(edges, ["uid", "run"]).groupBy("uid", "run").applyInPandas(inside, "uid long, chunk long, a long, b long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # these rows are few bytes but much work
+    runs = moves.repartition(parts, "uid", "run").groupBy("uid", "run").applyInPandas(product, "uid long, run long, inward long, m binary")
+    edges = runs.repartition(parts, "uid").groupBy("uid").applyInPandas(ends, "uid long, run long, a long, b long")
+    states = moves.join(edges, ["uid", "run"]).repartition(parts, "uid", "run").groupBy("uid", "run").applyInPandas(inside, "uid long, chunk long, a long, b long")
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(path)
@@ -344,11 +378,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 if stop > y:
                     joint = m.cut(s, y, end - 1)
                     if joint >= 0:
-                        last = joint
-                        for u in m.unit.finditer(s, joint):
-                            if u.end() >= end:
-                                break
-                            last = u.end()
+                        last = m.cut(s, joint, end - 1, -1)
                         head = m.trace(s, y, joint, s[x:y] or None)
                         ids = m.to_ids(head) + m.encode(s[joint:last]) + m.to_ids(m.trace(s, last, stop, None))
                     else:
@@ -388,6 +418,7 @@ def encoding_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = each.select("uid", "id", "chunk", F.octet_length("ids").cast("long").alias("size"), F.crc32("ids").alias("ids_crc32"), F.char_length("text").cast("long").alias("decoded_chars"), F.octet_length("text").cast("long").alias("octets"), F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
     each = materialize(each, "digests")
     schema = f"{id_col} long, n_tokens long, ids_crc32 long, decoded_chars long, decoded_crc32 long, chunks long"
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     short = each.filter("uid is null").select(F.col("id").alias(id_col), (F.col("size") / 4).cast("long").alias("n_tokens"), "ids_crc32", "decoded_chars", "decoded_crc32", F.lit(1).cast("long").alias("chunks"))
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
@@ -397,7 +428,7 @@ def encoding_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids, text = crc32_combine(ids, int(a), int(n)), crc32_combine(text, int(b), int(o))
         return pd.DataFrame({id_col: group.id.iloc[:1], "n_tokens": [group["size"].sum() // 4], "ids_crc32": [ids], "decoded_chars": [group.decoded_chars.sum()], "decoded_crc32": [text], "chunks": [len(group)]})
 
-    return short.unionByName(each.filter("uid is not null").groupBy("uid").applyInPandas(join, schema))
+    return short.unionByName(each.filter("uid is not null").repartition(parts, "uid").groupBy("uid").applyInPandas(join, schema))
 
 
 def op10_max_plus_pieces(spark, sf_dir: str) -> DataFrame:
