@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, whole_text
 
-MODEL, CHUNK, RUN, CACHE = "piece_bpe_32k.model", 16_384, 64, 800_000
+MODEL, CHUNK, RUN, CACHE = "piece_bpe_32k.model", 65_536, 64, 600_000
 _BLANK, _RAW = "▁", "\udc81"  # the model's blank mark; a blank mark that a text itself holds (never a piece)
 NEVER = -np.inf
 
