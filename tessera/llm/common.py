@@ -65,3 +65,36 @@ def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     names = [x.split()[0] for x in ddl.split(", ")]
     text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{a}: {b}' for a, b in (x.split() for x in ddl.split(', ')))}>>")))
+
+
+SLOTS = 1 << 22
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows (all, if there are fewer): those whose hash of ``key`` lies below a threshold set by the count.
+
+    Unlike an ordered limit, no partition sends more than its share, however many partitions there are.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key, F.lit(41)), F.lit(1 << 40)) < (1 << 40) * rows // total)
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` equal a row of ``dropped`` (null equals null).
+
+    Rows whose slot (a hash of the keys, one of SLOTS) no dropped row uses pass without a shuffle; the broadcast set of slots is at
+    most SLOTS numbers. Only the others are joined, so most texts do not move.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    used = F.broadcast(dropped.select(slot.alias("__slot")).distinct())
+    names = docs.columns
+    docs = docs.withColumn("__slot", slot)
+    clean = docs.join(used, "__slot", "left_anti")
+    some = docs.join(used, "__slot", "left_semi").alias("a")
+    gone = dropped.select(keys).distinct().alias("b").hint("merge")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return clean.select(names).unionByName(some.join(gone, same, "left_anti").select(names))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import hash_sample, small_batches, whole_text
 
 TREES, DEPTH, BINS, RATE, SAMPLE_PAGES, MADE_PAGES, SEED = 80, 4, 24, 0.25, 300, 500, 5
 
@@ -409,10 +409,10 @@ def fit(pages: list[str], made: int = MADE_PAGES, seed: int = SEED) -> Boosted:
     return boost(np.concatenate(xs), np.concatenate(ys))
 
 
-def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES) -> Boosted:
-    """Fits on at most ``sample`` pages of under 20,000 characters, the first by a hash of their html."""
-    some = pages.select(whole_text(html_col).alias("h")).filter(F.length("h") < 20_000)
-    return fit([r.h for r in some.orderBy(F.xxhash64("h"), "h").limit(sample).collect()])
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Boosted:
+    """Fits on about ``sample`` pages, those with the lowest hashes of their identifier, of under 20,000 code points."""
+    some = hash_sample(pages, id_col, sample).select(whole_text(html_col).alias("h")).filter(F.length("h") < 20_000)
+    return fit(sorted(r.h for r in some.collect()))
 
 
 def extract(pages: DataFrame, model: Boosted, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import hot_join, materialize, small_batches, whole_text
+from .common import hot_join, materialize, small_batches, whole_text, without
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS, BLOCK, SEED = 5, 0.8, 0.9999, 4, 320, 17
@@ -183,7 +183,7 @@ def _verifier(threshold: float, size: int):
 
 
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row per document: id_col, class_id, set_id, n_copies, n_links, n_shingles.
+    """One row per document: id_col, class_id, set_id, n_copies, n_links, n_shingles, text_hash.
 
     Texts are compared by their sets of ``size``-word shingles (words: runs without white space, A-Z folded; a text
     with fewer words has one shingle of all its words). set_id is the smallest identifier with the same shingle set,
@@ -206,10 +206,10 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             band, digest, many = signatures(batch.column(1), bands, rows, size)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(many) * bands + 1, bands, dtype=np.int32)), pa.array(band.view(np.int64).ravel()))
             key = pa.array([d.tobytes() for d in np.ascontiguousarray(digest)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), key, pa.array(many.astype(np.int64)), flat], names=["id", "digest", "shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), key, pa.array(many.astype(np.int64)), flat], names=["id", "text_hash", "digest", "shingles", "bands"])
 
     texts = docs.select(ident.alias("id"), whole_text(text_col).alias("text"))
-    signed = materialize(texts.mapInArrow(sign, "id long, digest binary, shingles long, bands array<long>"), "signed")
+    signed = materialize(texts.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, "id long, text_hash long, digest binary, shingles long, bands array<long>"), "signed")
     total = signed.count()
     sets = materialize(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "sets")
     spread = sets.filter("shingles > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
@@ -237,8 +237,16 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     classes = materialize(sets.select("rep", "digest", "n", "shingles").join(links, "rep", "left").join(labels, "rep", "left"), "classes")
     least = -(2**63)
     back = lambda c: F.when(F.col(c) != least, F.col(c))
-    done = hot_join(signed.select("id", "digest"), classes, "digest", "n", total)
-    return done.withColumn("class", F.coalesce("label", "rep")).select(back("id").alias(id_col), back("class").alias("class_id"), back("rep").alias("set_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("shingles").alias("n_shingles"))
+    done = hot_join(signed.select("id", "text_hash", "digest"), classes, "digest", "n", total)
+    return done.withColumn("class", F.coalesce("label", "rep")).select(back("id").alias(id_col), back("class").alias("class_id"), back("rep").alias("set_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("shingles").alias("n_shingles"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` with one document of each near-duplicate class: the one of the smallest identifier, all columns unchanged."""
+    found = materialize(near_join(docs, id_col, text_col, **settings), "near")
+    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__text"))
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.xxhash64(whole_text(text_col)))
+    return without(keyed, gone, ["__id", "__text"]).drop("__id", "__text")
 
 
 def op8_minhash_join(spark, sf_dir: str) -> DataFrame:
