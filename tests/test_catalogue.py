@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import catalogue, more  # noqa: F401  more registers its queries in the catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
