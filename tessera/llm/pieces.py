@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, whole_text
 
-MODEL, CHUNK, RUN, CACHE = "piece_bpe_32k.model", 65_536, 64, 600_000
+MODEL, CHUNK, RUN, CACHE = "piece_bpe_32k.model", 65_536, 64, 350_000
 _BLANK, _RAW = "▁", "\udc81"  # the model's blank mark; a blank mark that a text itself holds (never a piece)
 NEVER = -np.inf
 
@@ -63,6 +63,7 @@ class Pieces:
         self.unit = re.compile(r"[\s\S]+") if inner else re.compile(f"{_BLANK}+[^{_BLANK}\n]*|[^{_BLANK}\n]+|\n")
         self.agree: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merges(self, s: str) -> list[str]:
         """The model's merges, plainly: the best-scored neighbours first, the leftmost of equals."""
@@ -135,6 +136,15 @@ class Pieces:
         return np.array(out, "<u4").tobytes()
 
     def encode_unit(self, u: str) -> bytes:
+        found = self.older.get(u)
+        if found is not None:
+            self.known[u] = found
+            return found
+        word = u[1:]
+        if word.isascii() and word.isalpha():  # plain words have few cuts, and the path needs none
+            found = self.to_ids(self.trace(u, 0, len(u), None))
+            self.keep(u, found)
+            return found
         inside, at, out, known = self.inside, 0, [], self.known
         for i in range(1, len(u) + 1):
             if i == len(u) or u[i - 1 : i + 1] not in inside:
@@ -152,7 +162,8 @@ class Pieces:
         return found
 
     def keep(self, u: str, found: bytes) -> None:
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE:  # two generations: what is still in use moves on to the next
+            self.older = dict(self.known)
             self.known.clear()
         if len(u) <= 64:
             self.known[u] = found
