@@ -19,7 +19,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Large-star links each larger neighbour to the smallest one seen; small-star does so for the smaller ones; both
     keep components as they are, and the edges become stars in a logarithmic number of rounds. Every round's edges
-    are written to the shared folder, so no lineage grows.
+    are written to the shared folder, so no lineage grows. Labels that have not settled after ``most_rounds`` are an
+    error, never a result.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     before = None
@@ -34,4 +35,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         small = _pointed(large, seen.n)
         small = small.select("v", F.col("least").alias("w")).unionByName(small.select(F.col("u").alias("v"), F.col("least").alias("w")))
         now = materialize(small.filter("v != w").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct(), "small")
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
