@@ -228,7 +228,10 @@ def envelope_smoothed(histograms: DataFrame, rounds: int = 4) -> DataFrame:
 
 
 def best_curve(samples: DataFrame, degrees: tuple[int, ...] = (1, 2, 3, 4, 5, 6), tries: int = 30, seed: int = 3) -> DataFrame:
-    """The best of polynomials (plain, and robust to outliers) and a sine, by adjusted r2: (set, kind, coef, adj_r2)."""
+    """The best of polynomials (plain, and robust to outliers) and a sine, by adjusted r2: (set, kind, coef, mid, half, adj_r2).
+
+    Coefficients are of (x - mid) / half.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["px", "py"])
@@ -258,9 +261,9 @@ def best_curve(samples: DataFrame, degrees: tuple[int, ...] = (1, 2, 3, 4, 5, 6)
             c = np.linalg.lstsq(a, y, rcond=None)[0]
             found.append((rate(a @ c, 4), "sine", np.r_[w, c]))
         r2, kind, c = max(found, key=lambda k: k[0])
-        return pd.DataFrame({"set": [g["set"].iloc[0]], "kind": [kind], "coef": [[float(v) for v in c]], "adj_r2": [float(r2)]})
+        return pd.DataFrame({"set": [g["set"].iloc[0]], "kind": [kind], "coef": [[float(v) for v in c]], "mid": [float(mid)], "half": [float(half)], "adj_r2": [float(r2)]})
 
-    return samples.groupBy("set").applyInPandas(run, "set string, kind string, coef array<double>, adj_r2 double")
+    return samples.groupBy("set").applyInPandas(run, "set string, kind string, coef array<double>, mid double, half double, adj_r2 double")
 
 
 def polynomial_transform(pairs: DataFrame, degree: int = 2) -> DataFrame:

@@ -181,11 +181,20 @@ _add("unique_points", lambda s, d: points.dedupe(_customers(s, d), ["px", "py"])
 _add("corner_points", lambda s, d: points.corners(_customers(s, d)).drop("set"), _PTS + ", b AS (SELECT min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1 FROM p), c AS (SELECT 'tl' AS corner, x0 AS qx, y0 AS qy FROM b UNION ALL SELECT 'tr', x1, y0 FROM b UNION ALL SELECT 'br', x1, y1 FROM b UNION ALL SELECT 'bl', x0, y1 FROM b), k AS (SELECT corner, seq, px, py, row_number() OVER (PARTITION BY corner ORDER BY sqrt(power(px - qx, 2) + power(py - qy, 2)), seq) AS n FROM p, c) SELECT corner, seq, px, py FROM k WHERE n = 1")
 _add("nearest_points", lambda s, d: _pixels(points.nearest(_customers(s, d), [(10.5, 20.25), (50.25, 50.5)]), "target", "seq", "distance"), _PTS + ", t AS (SELECT 0 AS target, 10.5 AS qx, 20.25 AS qy UNION ALL SELECT 1, 50.25, 50.5), k AS (SELECT target, seq, sqrt(power(px - qx, 2) + power(py - qy, 2)) AS d FROM p, t) SELECT target, arg_min(seq, round(d, 9) + seq * 1e-12) AS seq, round(min(d), 6) AS distance FROM k GROUP BY 1")
 _add("points_in_polygon", lambda s, d: points.inside(_customers(s, d), [(10.5, 10.5), (80.5, 20.5), (60.5, 90.5)]).select("seq"), _PTS + ", e AS (SELECT 10.5 AS ax, 10.5 AS ay, 80.5 AS bx, 20.5 AS by_ UNION ALL SELECT 80.5, 20.5, 60.5, 90.5 UNION ALL SELECT 60.5, 90.5, 10.5, 10.5) SELECT seq FROM p, e WHERE ((ay > py) <> (by_ > py)) AND px < (bx - ax) * (py - ay) / (by_ - ay) + ax GROUP BY seq HAVING count(*) % 2 = 1")
-_SEVEN = "(SELECT 'l' AS set, seq, px, py FROM p WHERE seq <= 40)"
-_add("polygon_area", lambda s, d: _pixels(points.polygon_area(_customers(s, d).filter("seq <= 40")), "area"), _PTS + f", k AS (SELECT px, py, coalesce(lead(px) OVER (ORDER BY seq), first_value(px) OVER (ORDER BY seq)) AS nx, coalesce(lead(py) OVER (ORDER BY seq), first_value(py) OVER (ORDER BY seq)) AS ny FROM {_SEVEN}) SELECT round(abs(sum(px * ny - nx * py)) / 2, 6) AS area FROM k")
-_add("path_length", lambda s, d: _pixels(points.path_length(_customers(s, d).filter("seq <= 40")), "seq", "s"), _PTS + f", k AS (SELECT seq, coalesce(sqrt(power(px - lag(px) OVER (ORDER BY seq), 2) + power(py - lag(py) OVER (ORDER BY seq), 2)), 0) AS t FROM {_SEVEN}) SELECT seq, round(sum(t) OVER (ORDER BY seq), 6) AS s FROM k")
-_add("densify_polyline", lambda s, d: _pixels(points.densified(_customers(s, d).filter("seq <= 40"), 10.0), "seq", "part", "px", "py"), _PTS + f", k AS (SELECT seq, px, py, lead(px) OVER (ORDER BY seq) AS qx, lead(py) OVER (ORDER BY seq) AS qy FROM {_SEVEN}), n AS (SELECT *, CAST(coalesce(greatest(1, ceil(sqrt(power(qx - px, 2) + power(qy - py, 2)) / 10)), 1) AS INTEGER) AS n FROM k), u AS (SELECT *, unnest(range(0, n)) AS part FROM n) SELECT seq, CAST(part AS INTEGER) AS part, round(px + CAST(part AS DOUBLE) / n * (coalesce(qx, px) - px), 6) AS px, round(py + CAST(part AS DOUBLE) / n * (coalesce(qy, py) - py), 6) AS py FROM u")
-_add("simplify_polyline", lambda s, d: points.simplified(_customers(s, d).filter("seq <= 40"), 6.0).select("seq"), _PTS + f", k AS (SELECT seq, px, py, lag(px) OVER t AS ax, lag(py) OVER t AS ay, lead(px) OVER t AS bx, lead(py) OVER t AS by_ FROM {_SEVEN} WINDOW t AS (ORDER BY seq)) SELECT seq FROM k WHERE (ax IS NULL OR bx IS NULL OR abs((px - ax) * (by_ - ay) - (py - ay) * (bx - ax)) > 1e-9) AND (ax IS NULL OR sqrt(power(px - ax, 2) + power(py - ay, 2)) >= 6)")
+
+
+def _routes(s: SparkSession, d: str) -> DataFrame:
+    """All customers as polylines: one a nation, in the order of their keys."""
+    c = rasters.table(s, d, "customer")
+    return c.select(F.col("c_nationkey").cast("string").alias("set"), F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 97).cast("double").alias("px"), (F.col("c_custkey") * 7919 % 101).cast("double").alias("py"))
+
+
+_ROUTES = "WITH p AS (SELECT CAST(c_nationkey AS VARCHAR) AS set, c_custkey AS seq, CAST(c_custkey % 97 AS DOUBLE) AS px, CAST(c_custkey * 7919 % 101 AS DOUBLE) AS py FROM customer)"
+_ALONG = "WINDOW t AS (PARTITION BY set ORDER BY seq)"
+_add("polygon_area", lambda s, d: _pixels(points.polygon_area(_routes(s, d)), "set", "area"), _ROUTES + f", k AS (SELECT set, px, py, coalesce(lead(px) OVER t, first_value(px) OVER t) AS nx, coalesce(lead(py) OVER t, first_value(py) OVER t) AS ny FROM p {_ALONG}) SELECT set, round(abs(sum(px * ny - nx * py)) / 2, 6) AS area FROM k GROUP BY 1")
+_add("path_length", lambda s, d: _pixels(points.path_length(_routes(s, d)), "set", "seq", "s"), _ROUTES + f", k AS (SELECT set, seq, coalesce(sqrt(power(px - lag(px) OVER t, 2) + power(py - lag(py) OVER t, 2)), 0) AS t FROM p {_ALONG}) SELECT set, seq, round(sum(t) OVER (PARTITION BY set ORDER BY seq), 6) AS s FROM k")
+_add("densify_polyline", lambda s, d: _pixels(points.densified(_routes(s, d), 10.0), "seq", "part", "px", "py"), _ROUTES + f", k AS (SELECT seq, px, py, lead(px) OVER t AS qx, lead(py) OVER t AS qy FROM p {_ALONG}), n AS (SELECT *, CAST(coalesce(greatest(1, ceil(sqrt(power(qx - px, 2) + power(qy - py, 2)) / 10)), 1) AS INTEGER) AS n FROM k), u AS (SELECT *, unnest(range(0, n)) AS part FROM n) SELECT seq, CAST(part AS INTEGER) AS part, round(px + CAST(part AS DOUBLE) / n * (coalesce(qx, px) - px), 6) AS px, round(py + CAST(part AS DOUBLE) / n * (coalesce(qy, py) - py), 6) AS py FROM u")
+_add("simplify_polyline", lambda s, d: points.simplified(_routes(s, d), 6.0).select("seq"), _ROUTES + f", k AS (SELECT seq, px, py, lag(px) OVER t AS ax, lag(py) OVER t AS ay, lead(px) OVER t AS bx, lead(py) OVER t AS by_ FROM p {_ALONG}) SELECT seq FROM k WHERE (ax IS NULL OR bx IS NULL OR abs((px - ax) * (by_ - ay) - (py - ay) * (bx - ax)) > 1e-9) AND (ax IS NULL OR sqrt(power(px - ax, 2) + power(py - ay, 2)) >= 6)")
 _add("convex_hull", lambda s, d: points.convex_hull(_customers(s, d)).select("px", "py"))
 _add("circle_contacts", lambda s, d: points.contacts(_customers(s, d).select(F.col("seq").alias("id"), F.col("px").alias("cx"), F.col("py").alias("cy"), (F.col("seq") % 3 / 4).cast("double").alias("r"))), _PTS + ", c AS (SELECT seq AS id, px, py, CAST(seq % 3 AS DOUBLE) / 4 AS r FROM p) SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.id < b.id AND sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) <= 1.1::DOUBLE * (a.r + b.r)")
 _add("hex_lattice", lambda s, d: _pixels(points.hex_lattice(s, 64, 64, 5.0), "row", "col", "cx", "cy"), "WITH k AS (SELECT r.i AS row, c.i AS col, 1 + c.i * 10.0::DOUBLE + (r.i % 2) * 5.0 AS cx, 1 + r.i * 5.0::DOUBLE * sqrt(3) AS cy FROM range(0, 8) r(i), range(0, 7) c(i)) SELECT row, col, round(cx, 6) AS cx, round(cy, 6) AS cy FROM k WHERE cx <= 64")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels, segment
 from ..operators import enhance, points, raster, regions
 from ..sources import rasters
-from .catalogue import _PTS, _SQL, LEVELS, MASK, Q, _add, _customers, _G, _labels, _levels, _mask, _on_q, _pixels, _size, _taps
+from .catalogue import _PTS, _SQL, LEVELS, MASK, Q, _add, _customers, _G, _labels, _levels, _mask, _on_q, _pixels, _routes, _size, _taps
 
 _on_q("sharpen", enhance.sharpened, f", b AS (SELECT y, x, v AS o FROM {_taps(_G, 'y', 'x', _taps(_G, 'x', 'y', 'q'))}) SELECT y, x, round(v + 0.8::DOUBLE * (v - o), 6) AS v FROM q JOIN b USING (y, x)")
 _on_q("bilateral", enhance.bilateral, ", k AS (SELECT a.y, a.x, b.v, exp(-(power(a.y - b.y, 2) + power(a.x - b.x, 2)) / 2 - power(b.v - a.v, 2) / 5000) AS w FROM q a JOIN q b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1) SELECT y, x, round(sum(w * v) / sum(w), 6) AS v FROM k GROUP BY 1, 2")
@@ -60,9 +60,9 @@ for _name, _f in {
 _add("impose_minima", lambda s, d: _pixels(kernels.imposed_minima(rasters.quantity_raster(s, d), _mask(s, d)), "y", "x", "v"))
 _add("thin", lambda s, d: kernels.thinned(_mask(s, d)).drop("image_id"))
 _add("trace_boundaries", lambda s, d: kernels.traced(_labels(s, d)).drop("image_id"))
-_add("reduce_polyline", lambda s, d: kernels.reduced(_customers(s, d).filter("seq <= 40"), 15.0).drop("set"))
+_add("reduce_polyline", lambda s, d: kernels.reduced(_routes(s, d), 15.0))
 _add("smooth_histogram", lambda s, d: _pixels(kernels.envelope_smoothed(raster.histogram(_levels(s, d))), "bin", "n"))
-_add("best_curve", lambda s, d: kernels.best_curve(_customers(s, d).filter("seq <= 200")).select("kind", F.round("adj_r2", 6).alias("adj_r2")))
+_add("best_curve", lambda s, d: kernels.best_curve(_routes(s, d)).select("set", "kind", F.round("adj_r2", 6).alias("adj_r2")))
 _add("polynomial_transform", lambda s, d: _pixels(kernels.polynomial_transform(_customers(s, d).select(F.lit(1).cast("long").alias("id"), F.col("px").alias("fx"), F.col("py").alias("fy"), (2 + 1.5 * F.col("px") - 0.01 * F.col("px") * F.col("py")).alias("mx"), (3 - 0.5 * F.col("py")).alias("my"))), "px", "py", "cx", "cy", digits=4))
 _add("tune_control_points", lambda s, d: kernels.tuned_points(raster.shifted(rasters.quantity_raster(s, d), 2, 0), rasters.quantity_raster(s, d), [(20, 5), (30, 5)]).drop("image_id"))
 _add("demons", lambda s, d: _pixels(kernels.demons(raster.gaussian(raster.shifted(rasters.quantity_raster(s, d), 1, 0)), raster.gaussian(rasters.quantity_raster(s, d))), "y", "x", "dy", "dx", digits=4))
