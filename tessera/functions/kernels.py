@@ -239,9 +239,9 @@ def best_curve(samples: DataFrame, degrees: tuple[int, ...] = (1, 2, 3, 4, 5, 6)
         mid, half = (x.min() + x.max()) / 2, max(1e-9, (x.max() - x.min()) / 2)
         t, total = (x - mid) / half, max(1e-12, ((y - y.mean()) ** 2).sum())
         rate = lambda fit, k: 1 - (((y - fit) ** 2).sum() / max(1, len(y) - k - 1)) / (total / max(1, len(y) - 1))
-        found = []
+        found, places = [], len(np.unique(t))
         for d in degrees:
-            if len(y) > d + 1:
+            if places > d + 1:
                 c = np.polynomial.polynomial.polyfit(t, y, d)
                 found.append((rate(np.polynomial.polynomial.polyval(t, c), d), "polynomial", c))
         rng, most = np.random.default_rng(seed), None
@@ -249,11 +249,13 @@ def best_curve(samples: DataFrame, degrees: tuple[int, ...] = (1, 2, 3, 4, 5, 6)
             if len(y) < 6:
                 break
             pick = rng.choice(len(y), 4, replace=False)
+            if len(np.unique(t[pick])) < 4:
+                continue
             c = np.polynomial.polynomial.polyfit(t[pick], y[pick], 3)
             good = np.abs(np.polynomial.polynomial.polyval(t, c) - y) <= 20
             if most is None or good.sum() > most.sum():
                 most = good
-        if most is not None and most.sum() > 4:
+        if most is not None and len(np.unique(t[most])) > 4:
             c = np.polynomial.polynomial.polyfit(t[most], y[most], 3)
             found.append((rate(np.polynomial.polynomial.polyval(t, c), 3), "robust", c))
         for w in np.arange(0.5, 6.5, 0.5):

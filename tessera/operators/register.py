@@ -29,9 +29,11 @@ def rotated_cubic(r: DataFrame, degrees: float) -> DataFrame:
     dx, dy = F.col("x") - F.col("mx") / 2, F.col("y") - F.col("my") / 2
     at = r.select("image_id", "y", "x").join(box, "image_id").withColumns({"sx": F.round(dx * c + dy * s + F.col("mx") / 2, 9), "sy": F.round(dy * c - dx * s + F.col("my") / 2, 9)})
     inside = (F.col("sx") >= 0) & (F.col("sx") <= F.col("mx")) & (F.col("sy") >= 0) & (F.col("sy") <= F.col("my"))
-    near = lambda v, k, most: F.greatest(F.lit(0), F.least(F.floor(v) + k, F.col(most))).cast("long")
-    taps = F.array(*[F.struct(near("sy", i, "my").alias("py"), near("sx", j, "mx").alias("px"), (resize_kernel(F.col("sy") - F.floor("sy") - i) * resize_kernel(F.col("sx") - F.floor("sx") - j)).alias("k")) for i in range(-1, 3) for j in range(-1, 3)])
-    wide = at.filter(inside).select("image_id", "y", "x", F.explode(taps).alias("t")).select("image_id", "y", "x", "t.py", "t.px", "t.k")
+    four = F.explode(F.sequence(F.lit(-1), F.lit(2)))
+    wide = at.filter(inside).withColumn("i", four).withColumn("j", four)
+    near = lambda v, k, most: F.greatest(F.lit(0), F.least(F.floor(v) + F.col(k), F.col(most))).cast("long")
+    k = resize_kernel(F.col("sy") - F.floor("sy") - F.col("i")) * resize_kernel(F.col("sx") - F.floor("sx") - F.col("j"))
+    wide = wide.select("image_id", "y", "x", near("sy", "i", "my").alias("py"), near("sx", "j", "mx").alias("px"), k.alias("k"))
     source = r.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), "v")
     found = wide.join(source, ["image_id", "py", "px"]).groupBy("image_id", "y", "x").agg(F.sum(F.col("k") * F.col("v")).alias("v"))
     return r.select("image_id", "y", "x").join(found, ["image_id", "y", "x"], "left")
