@@ -335,8 +335,8 @@ def demons(moving: DataFrame, fixed: DataFrame, rounds: int = 20) -> DataFrame:
     return both.groupBy("image_id").applyInPandas(run, "image_id string, y long, x long, dy double, dx double")
 
 
-def packed_circles(mask: DataFrame, least: float = 2.0, most: int = 40) -> DataFrame:
-    """Circles that fill a mask greedily, the largest free one first: (image_id, circle, cy, cx, r, covered)."""
+def packed_circles(mask: DataFrame, least: float = 2.0) -> DataFrame:
+    """Circles that fill a mask greedily, the largest free one first, until none of radius ``least`` is left: (image_id, circle, cy, cx, r, covered)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros((group.y.max() + 3, group.x.max() + 3), bool)
@@ -345,14 +345,12 @@ def packed_circles(mask: DataFrame, least: float = 2.0, most: int = 40) -> DataF
         oy, ox = np.nonzero(~m)
         free = np.array([np.sqrt(((oy - a) ** 2 + (ox - b) ** 2).min()) for a, b in zip(y, x, strict=True)])
         rows, done = [], np.zeros(len(y), bool)
-        for k in range(most):
+        while free.max() >= least:
             i = int(np.lexsort([x, y, -free])[0])
             r = float(free[i])
-            if r < least:
-                break
             d = np.hypot(y - y[i], x - x[i])
             done |= d < r
-            rows.append((group.image_id.iloc[0], k, int(y[i]) - 1, int(x[i]) - 1, round(r, 6), float(done.mean())))
+            rows.append((group.image_id.iloc[0], len(rows), int(y[i]) - 1, int(x[i]) - 1, round(r, 6), float(done.mean())))
             free = np.minimum(free, d - r)
         return pd.DataFrame(rows, columns=["image_id", "circle", "cy", "cx", "r", "covered"])
 

@@ -93,6 +93,16 @@ def test_moved_circles_stay_apart_and_inside_and_never_lose_area(spark):
     assert (c.area >= c.first_area).all() and abs(c.area[0] - (c.r**2).sum() * 3.141592653589793) < 1e-6
 
 
+def test_packed_circles_leave_no_room(spark):
+    from tessera.functions import kernels
+
+    cells = [(y, x) for y in range(16) for x in range(16)]
+    mask = spark.createDataFrame([("a", 4 * y, 4 * x) for y, x in cells], "image_id string, y long, x long")
+    found = kernels.packed_circles(mask, 1.0).collect()  # lone pixels: each holds one circle of radius 1
+    assert sorted((r.cy, r.cx) for r in found) == [(4 * y, 4 * x) for y, x in cells]
+    assert [r.circle for r in found] == list(range(256))
+
+
 def test_control_points_of_a_square(spark):
     from tessera.functions import outlines
     from tessera.operators import points, register
