@@ -1,27 +1,26 @@
 """Language-model scores from a hierarchical Pitman-Yor model of a corpus.
 
-Words that make up at least 1/HEAD_SHARE of the training tokens (so at most HEAD_SHARE of them) and the end of a text are classes of their own; all other
-words, known or new, form one class. Each class is a context restaurant over the next token's class; all context
-restaurants share one parent, whose base is uniform. Within the class of rarer words a Pitman-Yor restaurant with a diffuse
-base gives each known word and the event of a new word its probability. So the tables that grow with the vocabulary
-stay distributed, and what is sampled and broadcast is bounded by HEAD_SHARE squared.
+Every word, and the end of a text, is a context restaurant over the next token; all context restaurants share one
+parent over words, whose base is uniform over the known words and the event of a new word. Blocks of texts send
+their distinct pairs, packed, to the part that a hash of the context names; there the restaurants are sampled where
+they lie. Contexts with at least 1/HOT of the tokens (at most HOT) are spread over all parts, with a shared gamma
+variable. Only those contexts' totals and a few sums reach the driver; parts exchange the parent's tables by word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import bytescan
 from .common import doc_key, materialize, small_batches, whole_text
 
-HEAD_SHARE, BLOCK_BYTES, BURN_IN, SAMPLES, SEED = 4000, 8 << 20, 8, 8, 3
+HOT, BLOCK_BYTES, PART_TOKENS, LEAST_PARTS, ROUNDS, BURN_IN, SAMPLES, SEED = 1024, 8 << 20, 2_000_000, 24, 2, 8, 8, 3
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 MOST_TABLES, EXACT_COUNT, LARGEST_COUNT = 2048, 256, 16_384
 
@@ -120,7 +119,20 @@ def gibbs(u: np.ndarray, w: np.ndarray, c: np.ndarray, classes: int, burn_in: in
 
 # Corpus passes
 
-BLOCKS = "block long, docs array<long>, held binary, ends binary, hashes binary, counts binary, ids binary"
+BLOCKS = "block long, learnt long, docs binary, nulls binary, held binary, ends binary, hashes binary, counts binary, ids binary"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, up to about BLOCK_BYTES: fewer blocks ask for fewer words and pairs."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +140,9 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in _gathered(batches):
         ids, held = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+        docs, nulls = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
         column = batch.column(2)
         offsets = bytescan.buffers(column)[1]
         at = 0
@@ -149,110 +162,316 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             learn = np.repeat(held[at:end] == 0, sizes)
             counts = np.bincount(where[learn], minlength=len(rank))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([ids.slice(at, end - at).to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (held[at:end], np.cumsum(sizes), hashes[rank], counts, where.astype(np.uint32)))],
+                [pa.array([number]), pa.array([int(learn.sum())]), *(pa.array([x.tobytes()], pa.binary()) for x in (docs[at:end], nulls[at:end], held[at:end], np.cumsum(sizes), hashes[rank], counts, where.astype(np.uint32)))],
                 names=[x.split()[0] for x in BLOCKS.split(", ")],
             )
             at, number = end, number + 1
 
 
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: What parts and blocks send each other: packed arrays, and two numbers to sum.
+MAIL = "dest long, kind int, src long, body array<binary>, a double, b double"
+PAIRS, TABLES, SEATS, PLACES, HOT_SUMS, WEIGHTS, STORE, CONTEXTS, CHANCES, ASKED, FACTS, PAYLOAD = range(12)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Bytes of equal place side by side, compressed."""
+    head = f"{x.dtype.str} {len(x)} ".encode()
+    return head + pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), "zstd", asbytes=True) if len(x) else head
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    kind, n, rest = b.split(b" ", 2)
+    kind, n = np.dtype(kind.decode()), int(n)
+    if not n:
+        return np.zeros(0, kind)
+    return np.frombuffer(np.frombuffer(pa.decompress(rest, n * kind.itemsize, "zstd", asbytes=True), np.uint8).reshape(kind.itemsize, n).T.tobytes(), kind)
+
+
+def _mail(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*r, 0.0, 0.0)[:6] for r in rows), strict=True), types, strict=True)], names=[x.split()[0] for x in MAIL.split(", ")])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, list[bytes]]]]]:
+    now, held = None, []
     for batch in batches:
-        for block, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            h = np.frombuffer(hashes.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h), pa.array(np.frombuffer(counts.as_buffer(), np.int64))], names=["block", "at", "hash", "n"])
+        dest, kind, src = (batch.column(c).to_pylist() for c in range(3))
+        for i, d in enumerate(dest):
+            if d != now and held:
+                yield now, held
+                held = []
+            now = d
+            held.append((kind[i], src[i], batch.column(3)[i].as_py()))
+    if held:
+        yield now, held
+
+
+def _home(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (bytescan.mix(hashes) % np.uint64(parts)).astype(np.int64)
+
 
+def _slices(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, first, end) of sorted part numbers."""
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    return [(int(part[a]), int(a), int(b)) for a, b in zip(edges, np.r_[edges[1:], len(part)].astype(int), strict=True)] if len(edges) else []
 
-def _classes(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Index into the sorted head, or len(head) for a rarer word."""
-    at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
-    return np.where(head[at] == hashes, at, len(head))
 
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether each key is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
 
-def _pairs(head: np.ndarray):
-    start = int(np.searchsorted(head, END))
+
+def _block_pairs(hashes: np.ndarray, ids: np.ndarray, parts: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of a block by part: context and next word (indices), part, and the pair of each token."""
+    start = int(np.flatnonzero(hashes == END)[0])
+    code, where = np.unique(np.r_[start, ids[:-1]].astype(np.int64) * len(hashes) + ids, return_inverse=True)
+    u, w = code // len(hashes), code % len(hashes)
+    spread = _find(hot, hashes)[1][u]
+    part = _home(np.where(spread, hashes[u] ^ bytescan.mix(hashes[w]), hashes[u]), parts)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return u[order], w[order], part[order], place[where]
+
+
+def _ask(parts: int, hot: np.ndarray):
+    """Each block's distinct pairs with their counts in the training part (0: in held-out texts only), to the context's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, codes, counts = len(head) + 1, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for held, ends, hashes, ids in zip(*(batch.column(c) for c in range(4)), strict=True):
-                kind = _classes(np.frombuffer(hashes.as_buffer(), np.uint64), head)[np.frombuffer(ids.as_buffer(), np.uint32)]
+            for block, held, ends, hashes, ids in zip(*(batch.column(c) for c in range(5)), strict=True):
+                hashes, ids = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(ids.as_buffer(), np.uint32)
                 ends = np.frombuffer(ends.as_buffer(), np.int64)
                 learn = np.repeat(np.frombuffer(held.as_buffer(), np.uint8) == 0, np.diff(np.r_[0, ends]))
-                before = np.r_[start, kind[:-1]]
-                new, n = np.unique((before * width + kind)[learn], return_counts=True)
-                codes, where = np.unique(np.r_[codes, new], return_inverse=True)
-                counts = np.bincount(where, np.r_[counts, n], len(codes)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array((codes // width).astype(np.int32)), pa.array((codes % width).astype(np.int32)), pa.array(counts)], names=["u", "w", "n"])
+                u, w, part, where = _block_pairs(hashes, ids, parts, hot)
+                n = np.bincount(where[learn], minlength=len(u)).astype(np.uint32)
+                rows = []
+                for p, a, b in _slices(part):
+                    firsts = np.flatnonzero(np.r_[True, u[a + 1 : b] != u[a : b - 1]])
+                    words, at = np.unique(w[a:b], return_inverse=True)
+                    rows.append((p, PAIRS, block.as_py(), [_packed(x) for x in (hashes[u[a:b][firsts]], np.diff(np.r_[firsts, b - a]).astype(np.uint32), hashes[words], at.astype(np.uint32), n[a:b])]))
+                yield _mail(rows)
+
+    return run
+
+
+def _ask_words(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(hashes.as_buffer(), np.uint64)
+                home = _home(h, parts)
+                order = np.argsort(home, kind="stable")
+                yield _mail([(p, ASKED, block, [_packed(h[order[a:b]])]) for p, a, b in _slices(home[order])])
+
+    return run
+
+
+def _tables_mail(part: int, words: np.ndarray, tables: np.ndarray, parts: int) -> list[tuple]:
+    """A part's tables by word, to the words' homes; words are sorted by home."""
+    return [(q, TABLES, part, [_packed(words[a:b]), _packed(tables[a:b])]) for q, a, b in _slices(_home(words, parts))]
+
+
+def _seat(parts: int, hot: np.ndarray):
+    """A part's restaurants: pairs of all blocks added up, at first one table a dish."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, mails in _groups(batches):
+            us, ws, ns, blocks = [], [], [], []
+            for _, block, body in mails:
+                u, runs, words, at, n = map(_unpacked, body)
+                us.append(np.repeat(u, runs))
+                ws.append(words[at])
+                ns.append(n)
+                blocks.append((block, len(n)))
+            del mails
+            contexts, u = np.unique(np.concatenate(us), return_inverse=True)
+            words, w = np.unique(np.concatenate(ws), return_inverse=True)
+            by_home = np.argsort(_home(words, parts), kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[by_home] = np.arange(len(words))
+            words, w = words[by_home], place[w]
+            pairs, where = np.unique(u * len(words) + w, return_inverse=True)
+            c = np.bincount(where, np.concatenate(ns), len(pairs)).astype(np.int64)
+            u, w = pairs // len(words), pairs % len(words)
+            rows = [(part, SEATS, -1, [_packed(x) for x in (contexts, np.bincount(u, minlength=len(contexts)).astype(np.uint32), words, w.astype(np.uint32), c)], float((c == 1).sum()), float((c == 2).sum()))]
+            rows += _tables_mail(part, words, np.bincount(w, c > 0, len(words)).astype(np.int64), parts)
+            at, spread = _find(hot, contexts)
+            if spread.any():
+                sums = [np.bincount(u, x, len(contexts))[spread].astype(np.int64) for x in (c, c > 0)]
+                rows.append((part, HOT_SUMS, -1, [_packed(x) for x in (at[spread], *sums)]))
+            yield _mail(rows)
+            first = 0
+            for block, n in blocks:
+                yield _mail([(part, PLACES, block, [_packed(where[first : first + n].astype(np.uint32))])])
+                first += n
 
     return run
 
 
 @dataclass(frozen=True)
-class Model:
-    """head: hashes of the common words, sorted; table: log10 of averaged probabilities, context class x next class."""
-
-    head: np.ndarray
-    table: np.ndarray
-    tokens: int
-    words: int
-    rare_tokens: int
-    rare_words: int
+class Sums:
+    """What the driver knows: discounts, the hot contexts' customers and tables, and the parent's sums."""
+
+    hot: np.ndarray
+    hot_count: np.ndarray
+    hot_tables: np.ndarray
     discount: float
+    tokens: int = 0
+    words: int = 0
+    customers: float = 0.0
+    tables: float = 0.0
     concentration: float = 1.0
+    parent_discount: float = 0.5
+    parent_concentration: float = 1.0
 
-    def rare(self, c: np.ndarray) -> np.ndarray:
-        """log10 of the probability of a word with count c (0: the event of a new word) given the class of rarer words."""
-        new = self.concentration + self.discount * self.rare_words
-        return np.log10(np.where(c > 0, c - self.discount, new) / (self.concentration + self.rare_tokens))
+    def parent(self, weight: np.ndarray) -> np.ndarray:
+        """The parent's probability of words with the given customers less discounts (0: of a new word)."""
+        return (weight + (self.parent_concentration + self.parent_discount * self.tables) / (self.words + 1)) / (self.parent_concentration + self.customers)
+
+
+def _parent(sums: Sums, stirling: tuple[np.ndarray, np.ndarray], number: int):
+    """The parent's customers by word, its tables drawn (in the first round one a dish), and answers to the parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, mails in _groups(batches):
+            asked = [(src, *map(_unpacked, body)) for _, src, body in mails]
+            words, where = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
+            customers = np.bincount(where, np.concatenate([x[2] for x in asked]), len(words)).astype(np.int64)
+            tables = (customers > 0).astype(np.int64)
+            if number:
+                rng, shared = np.random.default_rng((SEED, 1, number, home)), np.random.default_rng((SEED, 2, number))
+                g = shared.gamma(sums.parent_concentration / sums.parent_discount + sums.tables)
+                have = np.flatnonzero(customers)
+                tables[have] = sample_tables(customers[have], np.full(len(have), np.log(sums.parent_discount * g / (sums.words + 1))), *stirling, rng)
+            weight = customers - sums.parent_discount * tables
+            yield _mail([(home, STORE, int((customers > 0).sum()), [_packed(words), _packed(weight)], float(customers.sum()), float(tables.sum()))])
+            first = 0
+            for src, w, _ in asked:
+                yield _mail([(src, WEIGHTS, home, [_packed(weight[where[first : first + len(w)]])])])
+                first += len(w)
+
+    return run
+
+
+def _sample(sums: Sums, stirling: tuple[np.ndarray, np.ndarray], number: int, last: bool, parts: int):
+    """Sweeps over a part's restaurants given the parent; in the last round also the averaged chances, to the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, theta = sums.discount, sums.concentration
+        for part, mails in _groups(batches):
+            contexts, runs, words, w, c = map(_unpacked, next(b for k, _, b in mails if k == SEATS))
+            u = np.repeat(np.arange(len(contexts)), runs)
+            parent = sums.parent(np.concatenate([_unpacked(b[0]) for k, _, b in mails if k == WEIGHTS]))
+            at, spread = _find(sums.hot, contexts)
+            total = np.where(spread, sums.hot_count[at] if len(sums.hot) else 0, np.bincount(u, c, len(contexts)))
+            rng, shared = np.random.default_rng((SEED, 3, number, part)), np.random.default_rng((SEED, 4, number))
+            t, many = np.minimum(c, 1), np.flatnonzero(c > 1)
+            sum_t = np.zeros(len(c))
+            for sweep in range(BURN_IN + SAMPLES):
+                g = rng.gamma(theta / d + np.bincount(u, t, len(contexts)))
+                if len(sums.hot):
+                    g = np.where(spread, shared.gamma(theta / d + sums.hot_tables)[at], g)
+                t[many] = sample_tables(c[many], np.log(np.maximum(d * g[u[many]] * parent[w[many]], 1e-300)), *stirling, rng)
+                if sweep >= BURN_IN:
+                    sum_t += t / SAMPLES
+            rows = _tables_mail(part, words, np.bincount(w, t, len(words)).astype(np.int64), parts)
+            mean = np.bincount(u, sum_t, len(contexts))
+            if spread.any():
+                rows.append((part, HOT_SUMS, -1, [_packed(x) for x in (at[spread], np.zeros(spread.sum()), mean[spread])]))
+            if last:
+                rows.append((part, CONTEXTS, -1, [_packed(x[~spread]) for x in (contexts, total, (theta + d * mean) / (theta + total))]))
+            yield _mail(rows)
+            if last:
+                chance = ((c - d * sum_t) / (theta + total[u])).astype(np.float32)
+                for k, block, body in mails:
+                    if k == PLACES:
+                        yield _mail([(block, CHANCES, part, [_packed(chance[_unpacked(body[0])])])])
+
+    return run
+
+
+def _facts(sums: Sums):
+    """To each block, for its words: training count, back-off mass as a context, and the parent's probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backoff = (sums.concentration + sums.discount * sums.hot_tables) / (sums.concentration + sums.hot_count)
+        for home, mails in _groups(batches):
+            none = np.zeros(0)
+            words, weight = next((tuple(map(_unpacked, b)) for k, _, b in mails if k == STORE), (none.astype(np.uint64), none))
+            contexts, count, mass = next((tuple(map(_unpacked, b)) for k, _, b in mails if k == CONTEXTS), (none.astype(np.uint64), none, none))
+            for k, block, body in mails:
+                if k == ASKED:
+                    h = _unpacked(body[0])
+                    total, back, chance = np.zeros(len(h), np.int64), np.ones(len(h)), np.zeros(len(h))
+                    for keys, to in ((contexts, ((total, count), (back, mass))), (sums.hot, ((total, sums.hot_count), (back, backoff))), (words, ((chance, weight),))):
+                        at, known = _find(keys, h)
+                        for x, y in to:
+                            x[known] = y[at[known]]
+                    yield _mail([(block, FACTS, home, [_packed(total), _packed(back), _packed(sums.parent(chance))])])
+
+    return run
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(model: Model):
-    def finish(payload: dict, total: np.ndarray) -> pa.RecordBatch:
-        ends, ids = np.frombuffer(payload["ends"], np.int64), np.frombuffer(payload["ids"], np.uint32)
+def _scorer(sums: Sums, parts: int):
+    def finish(mails: list[tuple]) -> pa.RecordBatch:
+        docs, null, held, ends, hashes, ids = next(b for k, _, b in mails if k == PAYLOAD)
+        ends, ids, hashes = np.frombuffer(ends, np.int64), np.frombuffer(ids, np.uint32), np.frombuffer(hashes, np.uint64)
         begin = np.r_[0, ends[:-1]]
-        kind = _classes(np.frombuffer(payload["hashes"], np.uint64), model.head)
-        c = total.astype(float)
-        base = np.log10((c + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
-        within = np.where(kind == len(model.head), model.rare(c), 0.0)
-        k = kind[ids]
-        before = np.r_[int(np.searchsorted(model.head, END)), k[:-1]]
-        score = model.table[before, k] + within[ids]
+        order = np.argsort(_home(hashes, parts), kind="stable")
+        facts = []
+        for i in range(3):
+            x = np.concatenate([_unpacked(b[i]) for k, _, b in mails if k == FACTS])
+            facts.append(np.empty_like(x))
+            facts[i][order] = x
+        total, back, parent = facts
+        u, w, _, where = _block_pairs(hashes, ids, parts, sums.hot)
+        seen = np.concatenate([_unpacked(b[0]) for k, _, b in mails if k == CHANCES]).astype(float)
+        score = np.log10(seen + back[u] * parent[w])[where]
+        base = np.log10((total + 0.5) / (sums.tokens + 0.5 * (sums.words + 1)))
         add = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has its end
         n = len(ends)
         return pa.RecordBatch.from_arrays(
-            [pa.array(payload["docs"], pa.int64()), pa.array(np.frombuffer(payload["held"], np.uint8) > 0), pa.array(ends - begin), pa.array(add((total > 0)[ids].astype(np.int64))), pa.array(np.full(n, model.tokens)), pa.array(add(base[ids])), pa.array(add(score))],
+            [pa.array(np.frombuffer(docs, np.int64), mask=np.frombuffer(null, np.uint8) > 0), pa.array(np.frombuffer(held, np.uint8) > 0), pa.array(ends - begin), pa.array(add((total > 0)[ids].astype(np.int64))), pa.array(np.full(n, sums.tokens)), pa.array(add(base[ids])), pa.array(add(score))],
             names=[x.split()[0] for x in SCORES.split(", ")],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        payload, found = None, []
-        for batch in batches:
-            at = batch.column(1).to_numpy()
-            first = np.flatnonzero(at < 0)
-            edges = np.unique([0, *first, batch.num_rows])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a in first:
-                    if payload:
-                        yield finish(payload, np.concatenate(found))
-                    payload, found = {k: batch.column(k)[int(a)].as_py() for k in ("docs", "held", "ends", "hashes", "ids")}, []
-                    a += 1
-                if b > a:
-                    found.append(batch.column(2).slice(a, b - a).to_numpy())
-        if payload:
-            yield finish(payload, np.concatenate(found))
+        for _, mails in _groups(batches):
+            yield finish(mails)
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_share: int = HEAD_SHARE) -> DataFrame:
+def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with 1 / (2 HOT) of a block's training tokens: a word with 1 / HOT of all has that much in some block."""
+    for batch in batches:
+        for hashes, counts in zip(batch.column(0), batch.column(1), strict=True):
+            h, n = np.frombuffer(hashes.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
+            often = n * 2 * HOT >= max(1, n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often])], names=["hash", "n"])
+
+
+def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for body in batch.column(0).to_pylist():
+            at, c, t = map(_unpacked, body)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(c.astype(float)), pa.array(t.astype(float))], names=["at", "c", "t"])
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(identifier as text) mod 5 is not 1 and scores all, whole. Tokens are words
     (A-Z folded) and one end for each text, so a null or empty text has one token. Words are told apart by 64-bit
-    hashes. Scores are log10; ``score`` is the averaged predictive probability of every token given the one before.
+    hashes. Scores are log10; ``score`` is the predictive probability of every token given the one before, from table
+    numbers averaged over sweeps. The event of a new word has one probability, however many new words there are.
     perplexity is 10 ** (-score / n_tokens). Repeated rows count and are scored each; a null identifier is in the
     training part; extra columns are ignored; an empty table gives an empty result.
     """
@@ -260,31 +479,46 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = doc_key(id_col) % 5 == 1
     texts = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), whole_text(text_col).alias("text"))
     blocks = materialize(texts.mapInArrow(_block_rows, BLOCKS), "blocks")
-    asked = blocks.select("block", "hashes", "counts").mapInArrow(_requests, "block long, at int, hash long, n long")
-    same = Window.partitionBy("hash")
-    known = asked.withColumn("total", F.sum("n").over(same)).withColumn("one", F.row_number().over(same.orderBy("block")) == 1)
-    known = materialize(known.select("block", "at", "hash", "total", "one"), "counts")
-    words = known.filter("one and total > 0")
-    sums = words.agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, vocabulary = sums.n or 0, sums.v
-    common = words.filter(F.col("total") * head_share >= tokens).select("hash", "total").collect()  # at most head_share rows
-    end = int(END.astype(np.int64))
-    head = np.unique(np.array([r.hash for r in common] + [end], np.int64).view(np.uint64))
-    ends = next((r.total for r in common if r.hash == end), None)
-    if ends is None:
-        ends = (words.filter(F.col("hash") == end).agg(F.sum("total")).first()[0]) or 0
-    shares = words.filter("total <= 2").groupBy("total").count().collect()
-    rare_tokens = tokens - sum(r.total for r in common if r.hash != end) - ends
-    rare_words = vocabulary - sum(r.hash != end for r in common) - int(ends > 0)
-    pairs = blocks.select("held", "ends", "hashes", "ids").mapInArrow(_pairs(head), "u int, w int, n long")
-    table = pairs.groupBy("u", "w").agg(F.sum("n").alias("n")).toArrow()  # at most (head_share + 2) squared rows
-    chances = gibbs(table["u"].to_numpy(), table["w"].to_numpy(), table["n"].to_numpy(), len(head) + 1)
-    discount = discount_of(np.array([r.total for r in shares], np.int64), np.array([r["count"] for r in shares], np.int64))
-    model = Model(head, np.log10(np.maximum(chances, 1e-300)).astype(np.float32), tokens, vocabulary, rare_tokens, rare_words, discount)
-    payload = blocks.select("block", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("total"), "docs", "held", "ends", "hashes", "ids")
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (("docs", "array<bigint>"), ("held", "binary"), ("ends", "binary"), ("hashes", "binary"), ("ids", "binary"))]
-    both = payload.unionByName(known.select("block", "at", "total", *empty))
-    done = both.repartition("block").sortWithinPartitions("block", "at").mapInArrow(_scorer(model), SCORES)
+    size = blocks.agg(F.sum(F.octet_length("ids") / 4).alias("n")).first().n or 0
+    parts = max(LEAST_PARTS, int(size // PART_TOKENS))
+    often = blocks.select("hashes", "counts").mapInArrow(_hot_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    hot = np.sort(np.array([r.hash for r in often.filter(F.col("n") * HOT >= size).collect()], np.int64).view(np.uint64))  # at most HOT rows
+
+    def dealt(mails: DataFrame) -> DataFrame:
+        return mails.repartition(parts, "dest").sortWithinPartitions("dest", "kind", "src")
+
+    def totals(mails: DataFrame) -> np.ndarray:
+        out = np.zeros((2, len(hot)))
+        parted = mails.filter(F.col("kind") == HOT_SUMS).select("body").mapInArrow(_hot_sums, "at long, c double, t double")
+        for r in parted.groupBy("at").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect():  # at most HOT rows
+            out[:, r.at] = r.c, r.t
+        return out
+
+    seats = materialize(dealt(blocks.select("block", "held", "ends", "hashes", "ids").mapInArrow(_ask(parts, hot), MAIL)).mapInArrow(_seat(parts, hot), MAIL), "seats")
+    one = seats.filter(F.col("kind") == SEATS).agg(F.sum("a").alias("one"), F.sum("b").alias("two")).first()
+    sums = Sums(hot, *totals(seats), discount_of(np.array([1, 2]), np.array([one.one or 0, one.two or 0])))
+    stirling, stirling0 = stirling_rows(sums.discount), stirling_rows(sums.parent_discount)
+    now = seats
+    for number in range(ROUNDS + 1):
+        parent = materialize(dealt(now.filter(F.col("kind") == TABLES)).mapInArrow(_parent(sums, stirling0, number), MAIL), "parent")
+        s = parent.filter(F.col("kind") == STORE).agg(F.sum("src").alias("v"), F.sum("a").alias("c"), F.sum("b").alias("t")).first()
+        sums = replace(sums, words=s.v or 0, customers=s.c or 0.0, tables=s.t or 0.0)
+        if number == ROUNDS:
+            break
+        last = number == ROUNDS - 1
+        kinds = [SEATS, PLACES] if last else [SEATS]
+        given = seats.filter(F.col("kind").isin(kinds)).unionByName(parent.filter(F.col("kind") == WEIGHTS))
+        now = materialize(dealt(given).mapInArrow(_sample(sums, stirling, number, last, parts), MAIL), "sampled")
+        sums = replace(sums, hot_tables=totals(now)[1])
+    counted = blocks.agg(F.sum("learnt").alias("n")).first().n or 0
+    sums = replace(sums, tokens=counted)
+    asked = blocks.select("block", "hashes").mapInArrow(_ask_words(parts), MAIL)
+    store = parent.filter(F.col("kind") == STORE).unionByName(now.filter(F.col("kind") == CONTEXTS))
+    facts = dealt(asked.unionByName(store)).mapInArrow(_facts(sums), MAIL)
+    body = F.array("docs", "nulls", "held", "ends", "hashes", "ids")
+    payload = blocks.select(F.col("block").alias("dest"), F.lit(PAYLOAD).alias("kind"), F.lit(-1).cast("long").alias("src"), body.alias("body"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    every = payload.unionByName(facts).unionByName(now.filter(F.col("kind") == CHANCES))
+    done = every.repartition("dest").sortWithinPartitions("dest", "kind", "src").mapInArrow(_scorer(sums, parts), SCORES)
     return done.withColumnRenamed("doc_id", id_col)
 
 

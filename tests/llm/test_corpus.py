@@ -281,6 +281,21 @@ def test_language_model(docs, empty, real, spark):
     assert np.allclose(np.exp(logs[grid == 4][0][:4]), [6, 11, 6, 1])
 
 
+def test_rare_words_are_contexts(spark):
+    from tessera.llm.pitman_yor import Sums, score_texts
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    learnt, kept = [i for i in range(60) if not held(i)], [i for i in range(60) if held(i)]
+    rows = [(learnt[0], "f " * 30_000), *((i, "q1 q2") for i in learnt[1:4]), *((i, "r1 r2") for i in learnt[4:7])]
+    rows += [(kept[0], "q1 q2"), (kept[1], "q1 r2"), (kept[2], "q1 nowhere")]
+    found = {r.doc_id: r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found[kept[0]].base_score == pytest.approx(found[kept[1]].base_score)
+    assert found[kept[0]].score > found[kept[1]].score + 0.5 > found[kept[2]].score + 0.5
+    weight = np.array([3.5, 1.5, 0.5])
+    sums = Sums(np.zeros(0), np.zeros(0), np.zeros(0), 0.5, words=3, customers=7.0, tables=3.0)
+    assert sums.parent(weight).sum() + sums.parent(np.zeros(1))[0] == pytest.approx(1)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
