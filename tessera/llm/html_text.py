@@ -23,6 +23,8 @@ TREES, DEPTH, BINS, RATE, SAMPLE_PAGES, MADE_PAGES, SEED = 80, 4, 24, 0.25, 300,
 BLOCK = frozenset("html body div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li table thead tbody tfoot tr td th caption form fieldset figure figcaption blockquote pre dl dt dd address details summary hr menu dialog center iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
+#: Those of RAW whose start tag alone is skipped where the end tag is missing; the others take the rest of the page.
+SKIPPED = frozenset("noscript template svg math object select".split())
 #: A start tag of the key closes open elements of the named tags, up to the nearest element of ``WALLS``.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 WALLS = frozenset("ul ol dl table div section article main body html aside nav form menu".split())
@@ -62,6 +64,7 @@ def parse(page: str) -> Node:
     here, stack = root, []  # stack: open tags, with the block node to return to
     pieces: list[str] = []
     linked = inline = in_link = 0
+    unended: set[str] = set()
 
     def flush() -> None:
         nonlocal pieces, linked, inline
@@ -121,8 +124,13 @@ def parse(page: str) -> Node:
                     break
             continue
         if tag in RAW and not m[3].endswith("/"):
-            stop = _RAW_END[tag].search(page, at)
-            at = stop.end() if stop else n
+            stop = None if tag in unended else _RAW_END[tag].search(page, at)
+            if stop:
+                at = stop.end()
+            elif tag in SKIPPED:
+                unended.add(tag)
+            else:
+                at = n
             continue
         if tag == "br":
             pieces.append(" ")
