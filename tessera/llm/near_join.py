@@ -211,7 +211,9 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     texts = docs.select(ident.alias("id"), whole_text(text_col).alias("text"))
     signed = materialize(texts.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, "id long, text_hash long, digest binary, shingles long, bands array<long>"), "signed")
     total = signed.count()
-    sets = materialize(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "sets")
+    # a set's number, not its smallest identifier, names it: identifiers can be null or stand on different texts
+    sets = signed.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("least.id").alias("least_id"), F.col("least.text_hash").alias("least_hash"), "n", "shingles", "bands"), "sets")
     spread = sets.filter("shingles > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
     keyed = spread.withColumn("key", F.xxhash64("band", "hash"))
     member = F.xxhash64("rep")
@@ -224,21 +226,25 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     placed = members.withColumn("other", other).select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "rep")
     # the texts of members only: whoever is the representative of a set in some bucket
     needed = materialize(members.select("rep").distinct(), "needed")
-    bodies = materialize(needed.join(sets.select("rep", "digest", "shingles", "bands"), "rep"), "bodies")
+    bodies = materialize(needed.join(sets.select("rep", "least_id", "least_hash", "shingles", "bands"), "rep"), "bodies")
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << 22))
-    maybe = texts.join(F.broadcast(needed.select(F.pmod(F.xxhash64("rep"), F.lit(1 << 22)).alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
-    bodies = bodies.join(maybe.withColumnRenamed("id", "rep").hint("merge"), "rep").dropDuplicates(["rep", "digest"])
+    maybe = texts.join(F.broadcast(bodies.select(F.pmod(F.xxhash64("least_id"), F.lit(1 << 22)).alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+    found_texts = maybe.select(F.col("id").alias("least_id"), F.xxhash64("text").alias("least_hash"), "text")
+    bodies = bodies.join(found_texts.hint("merge"), ["least_id", "least_hash"]).dropDuplicates(["rep"])
     bodies = materialize(bodies.select("rep", "shingles", "bands", "text"), "bodies")
     full = placed.join(bodies.hint("merge"), "rep").select("key", "bi", "bj", "band", "block", "rep", "shingles", "bands", "text")
     ordered = full.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     found = materialize(ordered.mapInArrow(_verifier(threshold, size), VERIFIED), "verified")
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("n_links")).withColumnRenamed("a", "rep")
     labels = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    classes = materialize(sets.select("rep", "digest", "n", "shingles").join(links, "rep", "left").join(labels, "rep", "left"), "classes")
+    linked = materialize(labels.join(sets.select("rep", "least_id"), "rep"), "linked")
+    least_ids = materialize(linked.groupBy("label").agg(F.min("least_id").alias("class"), F.count(F.lit(1)).alias("members")), "least")
+    named = hot_join(linked.select("rep", "label"), least_ids, "label", "members", total).select("rep", "class")
+    classes = materialize(sets.select("rep", "least_id", "digest", "n", "shingles").join(links, "rep", "left").join(named, "rep", "left"), "classes")
     least = -(2**63)
     back = lambda c: F.when(F.col(c) != least, F.col(c))
     done = hot_join(signed.select("id", "text_hash", "digest"), classes, "digest", "n", total)
-    return done.withColumn("class", F.coalesce("label", "rep")).select(back("id").alias(id_col), back("class").alias("class_id"), back("rep").alias("set_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("shingles").alias("n_shingles"), "text_hash")
+    return done.withColumn("class", F.coalesce("class", "least_id")).select(back("id").alias(id_col), back("class").alias("class_id"), back("least_id").alias("set_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("shingles").alias("n_shingles"), "text_hash")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
