@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ HOT_SHARE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master; elsewhere an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -48,6 +51,14 @@ def doc_key(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def whole_text(text_col: str = "text"):
     return F.coalesce(F.col(text_col), F.lit(""))
 
@@ -59,11 +70,12 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, size_col: str, rows: in
     size of the data; all other keys are small enough for one shuffled join. ``small`` must be a written table.
     """
     limit = max(64, rows // HOT_SHARE)
-    hot = small.filter(F.col(size_col) >= limit).withColumn("__hot", F.lit(True))
+    mark = free_name(big, "__hot")
+    hot = small.filter(F.col(size_col) >= limit)
     cold = small.filter(F.col(size_col) < limit)
-    marks = big.join(F.broadcast(hot.select(key, "__hot")), key, "left")
-    first = big.join(F.broadcast(hot.drop("__hot")), key, "inner")
-    rest = marks.filter(F.col("__hot").isNull()).drop("__hot").join(cold.hint("merge"), key, how)
+    marks = big.join(F.broadcast(hot.select(key, F.lit(True).alias(mark))), key, "left")
+    first = big.join(F.broadcast(hot), key, "inner")
+    rest = marks.filter(F.col(mark).isNull()).drop(mark).join(cold.hint("merge"), key, how)
     return first.unionByName(rest)
 
 
@@ -94,12 +106,12 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     Rows whose slot (a hash of the keys, one of SLOTS) no dropped row uses pass without a shuffle; the broadcast set of slots is at
     most SLOTS numbers. Only the others are joined, so most texts do not move.
     """
-    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
-    used = F.broadcast(dropped.select(slot.alias("__slot")).distinct())
+    slot, mark = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)), free_name(docs, "__slot")
+    used = F.broadcast(dropped.select(slot.alias(mark)).distinct())
     names = docs.columns
-    docs = docs.withColumn("__slot", slot)
-    clean = docs.join(used, "__slot", "left_anti")
-    some = docs.join(used, "__slot", "left_semi").alias("a")
+    docs = docs.withColumn(mark, slot)
+    clean = docs.join(used, mark, "left_anti")
+    some = docs.join(used, mark, "left_semi").alias("a")
     gone = dropped.select(keys).distinct().alias("b").hint("merge")
     same = F.lit(True)
     for k in keys:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLOTS, hot_join, materialize, whole_text
+from .common import SLOTS, free_name, hot_join, materialize, whole_text
 
 BITS_PER_KEY, PROBES, RUN_ROWS, BUCKET_ROWS = 10, 7, 1 << 16, 1 << 14
 SCHEMA = "run long, bucket int, digest binary, ident long, n long, bits binary"
@@ -197,15 +197,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each text, the one that ``exact_dedup`` keeps; rows repeated with its identifier go too."""
     found = materialize(exact_dedup(docs, id_col, text_col, keep), "dedup").filter("group_size > 1")
     names = docs.columns
-    docs = docs.withColumn("__sha", F.sha2(whole_text(text_col).cast("binary"), 256))
-    stay = materialize(found.filter("kept").groupBy(F.col("text_sha256").alias("__sha")).agg(F.first("keep_id").alias("__keep"), F.first("group_size").alias("__n")), "stay")
-    slot = F.pmod(F.xxhash64("__sha"), F.lit(SLOTS))
-    used = F.broadcast(stay.select(slot.alias("__slot")).distinct())
-    docs = docs.withColumn("__slot", slot)
-    alone = docs.join(used, "__slot", "left_anti")
-    some = hot_join(docs.join(used, "__slot", "left_semi"), stay, "__sha", "__n", docs.count(), "left")
-    single = some.filter("__n is null")
-    chosen = some.filter(F.col("__n").isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
+    sha, stays, copies, mark = (free_name(docs, n) for n in ("__sha", "__keep", "__n", "__slot"))
+    docs = docs.withColumn(sha, F.sha2(whole_text(text_col).cast("binary"), 256))
+    stay = found.filter("kept").groupBy(F.col("text_sha256").alias(sha)).agg(F.first("keep_id").alias(stays), F.first("group_size").alias(copies))
+    stay = materialize(stay, "stay")
+    slot = F.pmod(F.xxhash64(sha), F.lit(SLOTS))
+    used = F.broadcast(stay.select(slot.alias(mark)).distinct())
+    docs = docs.withColumn(mark, slot)
+    alone = docs.join(used, mark, "left_anti")
+    some = hot_join(docs.join(used, mark, "left_semi"), stay, sha, copies, docs.count(), "left")
+    single = some.filter(F.col(copies).isNull())
+    chosen = some.filter(F.col(copies).isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col(stays))).dropDuplicates([sha])
     return alone.select(names).unionByName(single.select(names)).unionByName(chosen.select(names))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import hot_join, materialize, small_batches, whole_text, without
+from .common import free_name, hot_join, materialize, small_batches, whole_text, without
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS, BLOCK, SEED = 5, 0.8, 0.9999, 4, 320, 17
@@ -183,12 +183,13 @@ def _verifier(threshold: float, size: int):
 
 
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row per document: id_col, class_id, set_id, n_copies, n_links, n_shingles, text_hash.
+    """One row per document: id_col, class_id, set_id, n_copies, n_links, n_shingles, text_hash, kept.
 
     Texts are compared by their sets of ``size``-word shingles (words: runs without white space, A-Z folded; a text
     with fewer words has one shingle of all its words). set_id is the smallest identifier with the same shingle set,
     n_copies the rows with that set; n_links counts the other sets of Jaccard likeness at least ``threshold``;
-    class_id is the smallest identifier connected by such links. Texts without a word (null, empty) are alike among
+    class_id is the smallest identifier connected by such links, kept whether the row is its class's first by
+    identifier and text hash (rows repeated with both are all marked). Texts without a word (null, empty) are alike among
     themselves only. Bands and rows are chosen so that a pair at the threshold is a candidate with probability
     ``recall``; candidates are verified on full sets, so there are no false links.
 
@@ -237,22 +238,33 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     found = materialize(ordered.mapInArrow(_verifier(threshold, size), VERIFIED), "verified")
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("n_links")).withColumnRenamed("a", "rep")
     labels = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    linked = materialize(labels.join(sets.select("rep", "least_id"), "rep"), "linked")
-    least_ids = materialize(linked.groupBy("label").agg(F.min("least_id").alias("class"), F.count(F.lit(1)).alias("members")), "least")
+    linked = materialize(labels.join(sets.select("rep", F.struct("least_id", "least_hash").alias("least")), "rep"), "linked")
+    least_ids = materialize(linked.groupBy("label").agg(F.min("least").alias("class"), F.count(F.lit(1)).alias("members")), "least")
     named = hot_join(linked.select("rep", "label"), least_ids, "label", "members", total).select("rep", "class")
-    classes = materialize(sets.select("rep", "least_id", "digest", "n", "shingles").join(links, "rep", "left").join(named, "rep", "left"), "classes")
+    own = sets.select("rep", "least_id", F.struct("least_id", "least_hash").alias("least"), "digest", "n", "shingles")
+    classes = own.join(links, "rep", "left").join(named, "rep", "left").withColumn("class", F.coalesce("class", "least")).drop("least")
+    classes = materialize(classes, "classes")
     least = -(2**63)
     back = lambda c: F.when(F.col(c) != least, F.col(c))
     done = hot_join(signed.select("id", "text_hash", "digest"), classes, "digest", "n", total)
-    return done.withColumn("class", F.coalesce("class", "least_id")).select(back("id").alias(id_col), back("class").alias("class_id"), back("least_id").alias("set_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("shingles").alias("n_shingles"), "text_hash")
+    kept = (F.col("id") == F.col("class.least_id")) & (F.col("text_hash") == F.col("class.least_hash"))
+    return done.withColumn("kept", kept).withColumn("class", F.col("class.least_id")).select(
+        back("id").alias(id_col), back("class").alias("class_id"), back("least_id").alias("set_id"), F.col("n").alias("n_copies"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("shingles").alias("n_shingles"), "text_hash", "kept",
+    )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with one document of each near-duplicate class: the one of the smallest identifier, all columns unchanged."""
-    found = materialize(near_join(docs, id_col, text_col, **settings), "near")
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__text"))
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.xxhash64(whole_text(text_col)))
-    return without(keyed, gone, ["__id", "__text"]).drop("__id", "__text")
+    """``docs`` with one row of each near-duplicate class: that of the smallest identifier (then text hash), all columns unchanged."""
+    keys, names = [free_name(docs, "__id"), free_name(docs, "__text")], docs.columns
+    found = materialize(near_join(docs, id_col, text_col, **settings), "near").select(F.col(id_col).alias(keys[0]), F.col("text_hash").alias(keys[1]), "kept")
+    docs = docs.withColumn(keys[0], F.col(id_col).cast("long")).withColumn(keys[1], F.xxhash64(whole_text(text_col)))
+    again = materialize(found.filter("kept").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(keys), "again")
+    left = without(docs, found.filter("not kept").select(keys).unionByName(again), keys)
+    if not again.isEmpty():  # of rows repeated with identifier and text, one
+        same = F.col(f"a.{keys[0]}").eqNullSafe(F.col(f"b.{keys[0]}")) & (F.col(f"a.{keys[1]}") == F.col(f"b.{keys[1]}"))
+        left = left.unionByName(docs.alias("a").join(again.alias("b").hint("merge"), same, "left_semi").dropDuplicates(keys))
+    return left.select(names)
 
 
 def op8_minhash_join(spark, sf_dir: str) -> DataFrame:
