@@ -24,6 +24,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: IP, tried only where a run of digits begins: later starts in a run fail as its first does, so long runs take one try.
+_IP_SCAN = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT, _TRIGGER = re.compile("[0-9]"), re.compile("[0-9@]+")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|[\W\d_]")
@@ -70,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns: leftmost, not overlapping within a kind; failing matches are dropped."""
     found = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if _is_ip(m[0])]
+        found += [(1, m.start(), m.end()) for m in _IP_SCAN.finditer(text) if _is_ip(m[0])]
         found += [(2, m.start(), m.end()) for m in CARD.finditer(text) if _is_card(m[0])]
         if "+" in text:
             found += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= _count(m[0]) <= 15]
@@ -112,25 +114,30 @@ def _tokens(zone: str) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(zone)]
 
 
-def _candidates(zone: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
-    """Tokens, candidate segments (first token, end token) of at most MAX_TOKENS tokens, and their features."""
-    tokens = _tokens(zone)
+def _candidates(zone: str, tokens: list[tuple[int, int]] | None = None, first: int = 0, last: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
+    """Tokens, candidate segments (first token, end token) of at most MAX_TOKENS tokens, and their features.
+
+    Segments begin at tokens ``first`` to ``last`` (all), so that a long zone can be taken slab by slab.
+    """
+    tokens = _tokens(zone) if tokens is None else tokens
     segments, rows = [], []
-    for i, (a, _) in enumerate(tokens):
+    for i in range(first, len(tokens) if last is None else min(last, len(tokens))):
+        a = tokens[i][0]
         if zone[a].isspace() or zone[a] in ".,;:!?)":
             continue
+        digits, at = 0, False
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-            b = tokens[j - 1][1]
-            if "\n" in zone[a:b]:
+            x, b = tokens[j - 1]
+            c = zone[x]
+            if c == "\n":
                 break
-            last = zone[b - 1]
-            if not last.isalnum():
-                continue
-            s = zone[a:b]
-            if _count(s) < 4 and "@" not in s:
+            at |= c == "@"
+            if "0" <= c <= "9":
+                digits += b - x
+            if not zone[b - 1].isalnum() or digits < 4 and not at:
                 continue
             segments.append((i, j))
-            rows.append(span_features(s, zone[a - 1] if a else " ", zone[b] if b < len(zone) else " "))
+            rows.append(span_features(zone[a:b], zone[a - 1] if a else " ", zone[b] if b < len(zone) else " "))
     return tokens, segments, np.array(rows).reshape(-1, N_FEATURES)
 
 
@@ -146,32 +153,36 @@ class SemiMarkov:
         c = zone[token[0]]
         return 0 if "0" <= c <= "9" else 1 if c == "@" else 2
 
-    def best(self, zone: str) -> list[tuple[int, int, int]]:
-        """The best segmentation: (kind, start, end) of its entities, by dynamic programming over bounded segments."""
-        tokens, segments, x = _candidates(zone)
-        if not segments:
-            return []
-        scores = x @ self.weights.T
-        kind, value = scores.argmax(axis=1), scores.max(axis=1)
-        ending: dict[int, list[int]] = {}
-        for s, (_, j) in enumerate(segments):
-            if value[s] > 0:
-                ending.setdefault(j, []).append(s)
-        total, came = [0.0], [-1]
-        for j in range(1, len(tokens) + 1):
-            best, how = total[j - 1] + self.outside[self._class(zone, tokens[j - 1])], -1
-            for s in ending.get(j, ()):
-                v = total[segments[s][0]] + value[s]
-                if v > best:
-                    best, how = v, s
-            total.append(best)
-            came.append(how)
-        out, j = [], len(tokens)
+    def best(self, zone: str, slab: int = 512) -> list[tuple[int, int, int]]:
+        """The best segmentation: (kind, start, end) of its entities, by dynamic programming over bounded segments.
+
+        Each prefix's best score is pushed on to the ends of the segments that begin there, ``slab`` tokens' segments at
+        a time, so a zone of any length holds only its tokens and one slab of features. Of equals, no entity wins.
+        """
+        tokens = _tokens(zone)
+        n = len(tokens)
+        total, came = [-math.inf] * (n + 1), [(-1, -1)] * (n + 1)
+        total[0] = 0.0
+        for first in range(0, n, slab):
+            _, segments, x = _candidates(zone, tokens, first, first + slab)
+            scores = x @ self.weights.T
+            kind, value = (scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()) if segments else ([], [])
+            s = 0
+            for i in range(first, min(first + slab, n)):
+                v = total[i] + self.outside[self._class(zone, tokens[i])]
+                if v >= total[i + 1]:
+                    total[i + 1], came[i + 1] = v, (-1, -1)
+                while s < len(segments) and segments[s][0] == i:
+                    j = segments[s][1]
+                    v = total[i] + value[s]
+                    if v > total[j]:
+                        total[j], came[j] = v, (i, kind[s])
+                    s += 1
+        out, j = [], n
         while j:
-            s = came[j]
-            if s >= 0:
-                i = segments[s][0]
-                out.append((int(kind[s]), tokens[i][0], tokens[j - 1][1]))
+            i, k = came[j]
+            if i >= 0:
+                out.append((k, tokens[i][0], tokens[j - 1][1]))
                 j = i
             else:
                 j -= 1
@@ -291,8 +302,7 @@ def zones_of(text: str) -> Iterator[tuple[int, int]]:
         if m.start() < end:
             continue
         a = m.start()
-        low = max(end, a - 256)
-        while a > low and not text[a - 1].isspace():
+        while a > end and not text[a - 1].isspace():  # back to the word's start, at most once over each character
             a -= 1
         b = m.end()
         while b < n and not text[b].isspace():
