@@ -28,12 +28,16 @@ SKIPPED = frozenset("noscript template svg math object select".split())
 #: A start tag of the key closes open elements of the named tags, up to the nearest element of ``WALLS``.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 WALLS = frozenset("ul ol dl table div section article main body html aside nav form menu".split())
+#: Beside ``WALLS``, the open elements that a block inside them does not close a paragraph beyond.
+_STOPS = frozenset("td th li dd blockquote".split())
 TAGS = "html body div section article main header footer nav aside p h1 h2 h3 ul ol li table td form blockquote pre figure figcaption #run".split()
 WORDS = "article content post entry story text main body page nav menu header foot footer sidebar side aside ad ads advert promo sponsor banner cookie consent notice alert comment comments reply disqus form share social related recommend breadcrumb subscribe newsletter login popup modal widget copyright tag meta search hidden contentinfo navigation complementary".split()
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _WORD_AT = {w: i for i, w in enumerate(WORDS)}
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+#: Markup of the usual kind: a tag without "<" inside ends in group 4; where that is missing, ``_tag_end`` looks further.
+_MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/><]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)(>)?)")
+_SPECIAL = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _SPACE = re.compile(r"\s+")
 
@@ -58,13 +62,78 @@ class Node:
     long: int = 0
 
 
+class _Markup:
+    """The markup of a page, one piece after another: (start, end, is an end tag, tag name or "", attributes). Linear in the page."""
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.seen = page, set(), (1, 0)
+
+    def _special(self, at: int) -> int:
+        """The place of the next ">" or quote."""
+        if not self.seen[0] <= at <= self.seen[1]:
+            m = _SPECIAL.search(self.page, at)
+            self.seen = at, m.start() if m else len(self.page)
+        return self.seen[1]
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends (its ">", quoted ones passed over), or -1. No place is passed twice."""
+        passed = []
+        while True:
+            s = self._special(at)
+            if s == len(self.page) or s in self.dead:
+                break
+            if self.page[s] == ">":
+                return s
+            passed.append(s)
+            end = self.page.find(self.page[s], s + 1)
+            if end < 0:
+                break
+            at = end + 1
+        self.dead.update(passed)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while m := _MARKUP.search(page, at):
+            start = m.start()
+            if m[4]:
+                if m[6]:
+                    return start, m.end(), m[3] == "/", m[4].lower(), m[5]
+                end = self._tag_end(m.start(5))
+                if end >= 0:
+                    return start, end + 1, m[3] == "/", m[4].lower(), page[m.start(5) : end]
+                at = start + 1
+                continue
+            end = page.find("-->" if m[1] else ">", start + 4 if m[1] else start)
+            return start, len(page) if end < 0 else end + (3 if m[1] else 1), False, "", ""
+        return None
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; runs of inline text become leaves. Markup, comments, scripts, styles and the like go."""
     root = Node("#page", None, 0)
     here, stack = root, []  # stack: open tags, with the block node to return to
+    where: dict[str, list[int]] = {}  # places in the stack by tag; of all blocks, walls and what ends a paragraph's reach
+    blocks, walls, stops = [-1], [-1], [-1]
     pieces: list[str] = []
     linked = inline = in_link = 0
     unended: set[str] = set()
+    markup = _Markup(page)
+
+    def push(tag: str, back: Node | None) -> None:
+        k = len(stack)
+        where.setdefault(tag, []).append(k)
+        if tag in BLOCK:
+            blocks.append(k)
+            if tag in WALLS:
+                walls.append(k)
+            if tag in WALLS or tag in _STOPS:
+                stops.append(k)
+        stack.append((tag, back))
+
+    def last(tag: str) -> int:
+        found = where.get(tag)
+        return found[-1] if found else -1
 
     def flush() -> None:
         nonlocal pieces, linked, inline
@@ -77,14 +146,17 @@ def parse(page: str) -> Node:
 
     def close(k: int) -> None:
         nonlocal here, in_link
-        flush_needed = any(t in BLOCK for t, _ in stack[k:])
-        if flush_needed:
+        if blocks[-1] >= k:
             flush()
         for t, back in reversed(stack[k:]):
+            where[t].pop()
             if t == "a":
                 in_link -= 1
             if back is not None:
                 here = back
+        for places in (blocks, walls, stops):
+            while places[-1] >= k:
+                places.pop()
         del stack[k:]
 
     def words(rest: str) -> tuple[frozenset[str], str]:
@@ -103,27 +175,23 @@ def parse(page: str) -> Node:
 
     at, n = 0, len(page)
     while at < n:
-        m = _MARKUP.search(page, at)
-        end = m.start() if m else n
+        m = markup.after(at)
+        end = m[0] if m else n
         if end > at:
             pieces.append(page[at:end])
             if in_link:
                 linked += end - at
         if not m:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        _, at, ends, tag, rest = m
         if not tag:
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break
+        if ends:
+            k = last(tag)
+            if k >= 0 and (tag in BLOCK or k > blocks[-1]):
+                close(k)
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW and not rest.endswith("/"):
             stop = None if tag in unended else _RAW_END[tag].search(page, at)
             if stop:
                 at = stop.end()
@@ -134,35 +202,27 @@ def parse(page: str) -> Node:
             continue
         if tag == "br":
             pieces.append(" ")
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" and tag != "body":
-                    close(k)
-                    break
-                if stack[k][0] in WALLS or stack[k][0] in ("td", "th", "li", "dd", "blockquote"):
-                    break
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(tag, ()):
-                close(k)
-                break
-            if stack[k][0] in WALLS:
-                break
+        if tag in BLOCK and tag != "body" and last("p") > stops[-1]:
+            close(last("p"))
+        k = max((last(t) for t in CLOSES.get(tag, ())), default=-1)
+        if k > walls[-1]:
+            close(k)
         if tag in VOID:
             if tag == "hr":
                 flush()
             continue
         if tag in BLOCK:
             flush()
-            found, mark = words(m[3])
+            found, mark = words(rest)
             node = Node(tag, here, here.depth + 1, found, mark)
             here.children.append(node)
-            stack.append((tag, here))
+            push(tag, here)
             here = node
         else:
             inline += 1
             if tag == "a":
                 in_link += 1
-            stack.append((tag, None))
+            push(tag, None)
     close(0)
     flush()
     return root
@@ -202,10 +262,19 @@ N_FEATURES = len(TAGS) + 2 * len(WORDS) + 22
 
 def node_features(nodes: list[Node]) -> np.ndarray:
     """Depth, subtree density, links, attribute words (own and of ancestors), sibling and page statistics of each node."""
-    x = np.zeros((len(nodes), N_FEATURES))
+    return np.concatenate(list(_feature_slabs(nodes)))
+
+
+def _feature_slabs(nodes: list[Node], rows: int = 1 << 13) -> Iterator[np.ndarray]:
+    """The nodes' features, so many rows at a time."""
     total, above, families = max(1, nodes[0].size), {}, {}
     before = 0
-    for i, v in enumerate(nodes):
+    for at_node, v in enumerate(nodes):
+        i = at_node % rows
+        if not i:
+            if at_node:
+                yield x
+            x = np.zeros((min(rows, len(nodes) - at_node), N_FEATURES))
         own = [_WORD_AT[w] for w in v.words | {v.tag} if w in _WORD_AT]
         inherited = above.get(id(v.parent), set()) if v.parent else set()
         above[id(v)] = inherited | set(own)
@@ -225,7 +294,7 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         x[i, -22:] = f
         if v.tag == "#run":
             before += v.size
-    return x
+    yield x
 
 
 @dataclass
@@ -311,18 +380,40 @@ def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     return chosen
 
 
-def main_texts(pages: list[str], model: Boosted, at_once: int = 200) -> list[str]:
-    """The main text of each page; the trees run over the nodes of ``at_once`` pages together."""
-    out = []
-    for first in range(0, len(pages), at_once):
-        trees = [nodes_of(parse(p)) for p in pages[first : first + at_once]]
-        rows = [node_features(nodes) for nodes in trees if nodes]
-        margin = model.margin(np.concatenate(rows)) if rows else np.zeros(0)
-        at = 0
-        for nodes in trees:
+def main_texts(pages: list[str], model: Boosted, at_once: int = 1 << 14) -> list[str]:
+    """The main text of each page; the trees run over about ``at_once`` nodes together, of many pages or of a part of one."""
+    out: list[str] = []
+    held: list[list[Node]] = []
+    slabs: list[np.ndarray] = []
+    margins: list[np.ndarray] = []
+    waiting = 0
+
+    def score() -> None:
+        if slabs:
+            margins.append(model.margin(np.concatenate(slabs)))
+            slabs.clear()
+
+    def flush() -> None:
+        score()
+        margin, at = np.concatenate(margins) if margins else np.zeros(0), 0
+        for nodes in held:
             chosen = decode(nodes, margin[at : at + len(nodes)]) if nodes else []
             at += len(nodes)
             out.append("\n".join(v.text for v, c in zip(nodes, chosen, strict=True) if c and v.tag == "#run"))
+        held.clear()
+        margins.clear()
+
+    for page in pages:
+        held.append(nodes_of(parse(page)))
+        for slab in _feature_slabs(held[-1]) if held[-1] else ():
+            slabs.append(slab)
+            waiting += len(slab)
+            if waiting >= at_once:
+                score()
+                waiting = 0
+        if not slabs and margins:
+            flush()
+    flush()
     return out
 
 
