@@ -15,23 +15,27 @@ def with_sketch(df: DataFrame, text: Column, name: str, words: int = WORDS, one_
     """``df`` with column ``name``: sorted distinct hashes of ``words``-word shingles below 1/one_in of the hash space.
 
     Words are runs without white space. A text of fewer words has one shingle, of all its words; one without a word
-    has none. A text whose hashes all lie above the threshold keeps its smallest one, so that no text with a
-    word has an empty sketch; all others follow the threshold alone.
+    has none. The sketch follows the threshold alone, so a short text's can be empty; column ``name``_lone then holds its
+    smallest hash (else null), apart from the sketch: it tells such texts apart but is never merged or counted.
     """
     hashes = F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
     every = F.transform(F.sequence(F.lit(0), F.greatest(F.size("__w") - words, F.lit(0))), lambda i: F.xxhash64(*[F.coalesce(F.get("__w", i + j), F.lit(0).cast("long")) for j in range(words)]))
     limit = -(2**63) + 2**64 // one_in
     df = df.withColumn("__w", hashes).withColumn("__s", F.when(F.size("__w") > 0, every).otherwise(F.array().cast("array<long>")))
     kept = F.filter("__s", lambda h: h < limit)
-    kept = F.when((F.size(kept) == 0) & (F.size("__s") > 0), F.array(F.array_min("__s"))).otherwise(kept)
-    return df.withColumn(name, F.array_sort(F.array_distinct(kept))).drop("__w", "__s")
+    df = df.withColumn(name, F.array_sort(F.array_distinct(kept)))
+    return df.withColumn(f"{name}_lone", F.when(F.size(name) == 0, F.array_min("__s"))).drop("__w", "__s")
 
 
-def resemblance(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of the shingle sets; two empty sketches are alike (1), an empty and a full one not (0)."""
+def resemblance(a: Column, b: Column, a_lone: Column | None = None, b_lone: Column | None = None) -> Column:
+    """Estimated Jaccard likeness of the shingle sets; an empty and a full sketch are unlike (0).
+
+    Two empty ones are no evidence beyond their lone hashes: 1 where those are equal or not given, else 0.
+    """
     both = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b) - both
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / either).cast("double")
+    empty = F.lit(1.0) if a_lone is None else a_lone.eqNullSafe(b_lone).cast("double")
+    return F.when(either == 0, empty).otherwise(both / either).cast("double")
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -44,8 +48,10 @@ def merge(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def as_string(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+def as_string(s: Column, lone: Column) -> Column:
+    """The sketch's hashes in hexadecimal; of an empty sketch, its lone hash after a tilde."""
+    text = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
+    return F.when(lone.isNotNull(), F.concat(F.lit("~"), text(lone))).otherwise(F.array_join(F.transform(s, text), ""))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, one_in: int = ONE_IN) -> DataFrame:
@@ -80,13 +86,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = chunked.withColumn("guest", F.lit(False)).unionByName(guests).repartition("chunk")
     own = with_sketch(both, F.col("body"), "s", words, one_in)
     order = Window.partitionBy("chunk").orderBy("guest", "key", "body")
-    ahead = own.withColumn("next", F.lead(F.struct("body", "s")).over(order)).filter(~F.col("guest"))
+    ahead = own.withColumn("next", F.lead(F.struct("body", "s", "s_lone")).over(order)).filter(~F.col("guest"))
     edited = F.concat(F.expr("substring(body, 1, cast(char_length(body) - floor(char_length(body) / 2) as int))"), F.expr("substring(next.body, 1, cast(floor(char_length(body) / 2) as int))"))
     done = with_sketch(ahead.withColumn("edited", edited), F.col("edited"), "es", words, one_in)
     return done.select(
         F.col("id").alias(id_col), F.char_length("body").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_string(F.col("s")).alias("fingerprint"), as_string(F.col("es")).alias("edited_fingerprint"),
-        resemblance(F.col("s"), F.col("es")).alias("near_edited"), resemblance(F.col("s"), F.col("next.s")).alias("near_next"), containment(F.col("s"), F.col("next.s")).alias("contained_next"),
+        as_string(F.col("s"), F.col("s_lone")).alias("fingerprint"), as_string(F.col("es"), F.col("es_lone")).alias("edited_fingerprint"),
+        resemblance(F.col("s"), F.col("es"), F.col("s_lone"), F.col("es_lone")).alias("near_edited"),
+        resemblance(F.col("s"), F.col("next.s"), F.col("s_lone"), F.col("next.s_lone")).alias("near_next"),
+        containment(F.col("s"), F.col("next.s")).alias("contained_next"),
     )
 
 
