@@ -1,12 +1,16 @@
-"""Whole-image or whole-curve kernels, one image, region or curve a task."""
+"""Reconstruction and local kernels on tiles; further down, whole-image or whole-curve kernels, one image, region or curve a task."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import raster, regions, tiles
+
+KEY = ["image_id", "y", "x"]
+
 
 def _dense(group: pd.DataFrame, column: str = "v") -> np.ndarray:
     out = np.zeros((group.y.max() + 1, group.x.max() + 1))
@@ -14,149 +18,99 @@ def _dense(group: pd.DataFrame, column: str = "v") -> np.ndarray:
     return out
 
 
-def _per_image(r: DataFrame, f) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        done = f(_dense(group))
-        return pd.DataFrame({"image_id": group.image_id, "y": group.y, "x": group.x, "v": done[group.y, group.x].astype(float)})
-
-    return r.groupBy("image_id").applyInPandas(run, "image_id string, y long, x long, v double")
-
-
-def _spread(a: np.ndarray, how) -> np.ndarray:
-    p = np.pad(a, 1, mode="edge")
-    h, w = a.shape
-    return how.reduce([p[i : i + h, j : j + w] for i in range(3) for j in range(3)])
-
-
-def rebuilt(marker: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Grey reconstruction: the marker grown under the mask until nothing changes."""
-    now = np.minimum(marker, mask)
-    while True:
-        fresh = np.minimum(_spread(now, np.maximum), mask)
-        if (fresh == now).all():
-            return now
-        now = fresh
+def _under(marker: Column, r: DataFrame) -> DataFrame:
+    """The image's values less a marker's drop, grown back under the image."""
+    r = r.withColumn("v", F.col("v").cast("double"))
+    return regions.reconstruct_gray(r.select("image_id", "y", "x", marker.alias("v"), F.col("v").alias("m")))
 
 
 def h_maxima(r: DataFrame, h: float) -> DataFrame:
     """Maxima lower than ``h`` above their surroundings flattened."""
-    return _per_image(r, lambda v: rebuilt(v - h, v))
+    return _under(F.col("v") - h, r)
 
 
-def h_minima(r: DataFrame, h: float) -> DataFrame:
-    return _per_image(r, lambda v: -rebuilt(-v - h, -v))
+def _negated(r: DataFrame) -> DataFrame:
+    return r.withColumn("v", -F.col("v"))
 
 
-def extended_maxima(r: DataFrame, h: float) -> DataFrame:
-    """Pixels (v = 1) of the regional maxima that remain after ``h_maxima``."""
+def h_minima(r: DataFrame, h: float) -> DataFrame:
+    return _negated(h_maxima(_negated(r), h))
 
-    def f(v: np.ndarray) -> np.ndarray:
-        flat = rebuilt(v - h, v)
-        return (flat - rebuilt(flat - 1e-6, flat) > 5e-7).astype(float)
 
-    return _per_image(r, f)
+def extended_maxima(r: DataFrame, h: float) -> DataFrame:
+    """v = 1 at the pixels of the regional maxima that remain after ``h_maxima``, else 0."""
+    top = regions.regional_maxima(h_maxima(r, h)).withColumn("one", F.lit(1.0))
+    return r.select(*KEY).join(top, KEY, "left").select(*KEY, F.coalesce("one", F.lit(0.0)).alias("v"))
 
 
 def imposed_minima(r: DataFrame, markers: DataFrame) -> DataFrame:
-    """The image changed so that its only minima are the marker pixels."""
-    both = r.join(markers.select("image_id", "y", "x", F.lit(1).alias("m")), ["image_id", "y", "x"], "left").fillna({"m": 0})
+    """The image changed so that its only minima are the marker pixels (0.1 % of the range below the least value)."""
+    ends = r.groupBy("image_id").agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    both = r.withColumn("v", F.col("v").cast("double")).join(ends, "image_id").join(markers.select(*KEY, F.lit(True).alias("at")), KEY, "left")
+    both = both.withColumn("step", F.greatest(F.lit(1e-9), 0.001 * (F.col("hi") - F.col("lo"))))
+    marker = F.when(F.col("at"), F.col("lo") - F.col("step")).otherwise(F.col("hi") + F.col("step"))
+    both = both.withColumn("v0", marker).select(*KEY, (-F.col("v0")).alias("v"), (-F.least(F.col("v") + F.col("step"), F.col("v0"))).alias("m"))
+    return _negated(regions.reconstruct_gray(both))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        v, m = _dense(group), _dense(group, "m") > 0
-        step = max(1e-9, 0.001 * (v.max() - v.min()))
-        low = v.min() - step
-        marker = np.where(m, low, v.max() + step)
-        done = -rebuilt(-marker, -np.minimum(v + step, marker))
-        return pd.DataFrame({"image_id": group.image_id, "y": group.y, "x": group.x, "v": done[group.y, group.x]})
-
-    return both.groupBy("image_id").applyInPandas(run, "image_id string, y long, x long, v double")
 
+def opened_by_reconstruction(r: DataFrame, half: int = 1, shape: str = "square") -> DataFrame:
+    """The image eroded by a flat neighbourhood and grown back under itself."""
+    low = tiles.eroded(r.withColumn("v", F.col("v").cast("double")), shape, half)
+    both = low.join(r.select(*KEY, F.col("v").cast("double").alias("m")), KEY)
+    return regions.reconstruct_gray(both)
 
-def opened_by_reconstruction(r: DataFrame, half: int = 1) -> DataFrame:
-    def f(v: np.ndarray) -> np.ndarray:
-        low = v
-        for _ in range(half):
-            low = _spread(low, np.minimum)
-        return rebuilt(low, v)
 
-    return _per_image(r, f)
+def closed_by_reconstruction(r: DataFrame, half: int = 1, shape: str = "square") -> DataFrame:
+    return _negated(opened_by_reconstruction(_negated(r), half, shape))
 
 
 def non_local_means(r: DataFrame, half: int = 2, strength: float = 40.0) -> DataFrame:
-    """Mean over shifts of the image, weighted by the likeness of 3 x 3 patches."""
+    """Mean over shifts of the image, weighted by the likeness of 3 x 3 patches; mirrored at the border."""
 
-    def f(v: np.ndarray) -> np.ndarray:
-        total, weight = np.zeros_like(v), np.zeros_like(v)
-        p = np.pad(v, half, mode="reflect")
+    def run(p: np.ndarray) -> np.ndarray:
+        h, w = p.shape[0] - 2 * half - 2, p.shape[1] - 2 * half - 2
+        v = p[half : half + h + 2, half : half + w + 2]
+        total, weight = np.zeros((h, w)), np.zeros((h, w))
         for i in range(2 * half + 1):
             for j in range(2 * half + 1):
-                other = p[i : i + v.shape[0], j : j + v.shape[1]]
-                d = np.pad((v - other) ** 2, 1, mode="edge")
-                patch = sum(d[a : a + v.shape[0], b : b + v.shape[1]] for a in range(3) for b in range(3)) / 9
-                w = np.exp(-patch / strength**2)
-                total += w * other
-                weight += w
+                other = p[i : i + h + 2, j : j + w + 2]
+                d = (v - other) ** 2
+                patch = sum(d[a : a + h, b : b + w] for a in range(3) for b in range(3)) / 9
+                k = np.exp(-patch / strength**2)
+                total += k * other[1:-1, 1:-1]
+                weight += k
         return total / weight
 
-    return _per_image(r, f)
+    return tiles.by_tiles(r, half + 1, run, "symmetric")
 
 
 def detail_enhanced(r: DataFrame, sigma: float = 30.0, alpha: float = 0.5, layers: int = 3) -> DataFrame:
     """Edge-aware detail: differences of repeated smoothings below ``sigma`` are scaled by a power ``alpha``, larger ones kept."""
 
-    def smooth(v: np.ndarray) -> np.ndarray:
-        p = np.pad(v, 1, mode="reflect")
-        h, w = v.shape
-        rows = (p[:-2] + 2 * p[1:-1] + p[2:]) / 4
-        return ((rows[:, :-2] + 2 * rows[:, 1:-1] + rows[:, 2:]) / 4)[:h, :w]
-
-    def f(v: np.ndarray) -> np.ndarray:
-        base, out = v, np.zeros_like(v)
+    def run(p: np.ndarray) -> np.ndarray:
+        base, out = p, 0.0
         for _ in range(layers):
-            low = smooth(base)
-            d = base - low
-            small = np.abs(d) < sigma
-            out += np.where(small, np.sign(d) * sigma * (np.abs(d) / sigma) ** alpha, d)
+            rows = (base[:-2] + 2 * base[1:-1] + base[2:]) / 4
+            low = (rows[:, :-2] + 2 * rows[:, 1:-1] + rows[:, 2:]) / 4
+            d = base[1:-1, 1:-1] - low
+            out = (out[1:-1, 1:-1] if np.ndim(out) else out) + np.where(np.abs(d) < sigma, np.sign(d) * sigma * (np.abs(d) / sigma) ** alpha, d)
             base = low
         return out + base
 
-    return _per_image(r, f)
+    return tiles.by_tiles(r, layers, run, "symmetric")
 
 
 def brightened(r: DataFrame, amount: float = 0.8) -> DataFrame:
     """Dark parts lifted: the inverted image is cleared of its local haze and inverted back; values in [0, 1]."""
 
-    def f(v: np.ndarray) -> np.ndarray:
-        lo, hi = v.min(), v.max()
-        inverse = 1 - (v - lo) / (hi - lo) if hi > lo else np.zeros_like(v)
-        haze = amount * _spread(_spread(inverse, np.minimum), np.maximum)
+    def run(p: np.ndarray) -> np.ndarray:
+        inverse = 1 - p
+        low = np.minimum.reduce([s for _, _, s in tiles.shifts(inverse, 1)])
+        haze = amount * np.maximum.reduce([s for _, _, s in tiles.shifts(low, 1)])
+        inverse = inverse[2:-2, 2:-2]
         return 1 - np.clip((inverse - haze) / np.maximum(1 - haze, 0.1), 0, 1)
 
-    return _per_image(r, f)
-
-
-def thinned(mask: DataFrame) -> DataFrame:
-    """One-pixel lines: border pixels taken away in two alternating passes while connections hold."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((group.y.max() + 3, group.x.max() + 3), bool)
-        m[group.y + 1, group.x + 1] = True
-        changed = True
-        while changed:
-            changed = False
-            for first in (True, False):
-                n = [m[:-2, 1:-1], m[:-2, 2:], m[1:-1, 2:], m[2:, 2:], m[2:, 1:-1], m[2:, :-2], m[1:-1, :-2], m[:-2, :-2]]
-                near = sum(k.astype(int) for k in n)
-                turns = sum((~n[i] & n[(i + 1) % 8]).astype(int) for i in range(8))
-                a, b = (n[0] & n[2] & n[4], n[2] & n[4] & n[6]) if first else (n[0] & n[2] & n[6], n[0] & n[4] & n[6])
-                gone = m[1:-1, 1:-1] & (near >= 2) & (near <= 6) & (turns == 1) & ~a & ~b
-                if gone.any():
-                    m[1:-1, 1:-1] &= ~gone
-                    changed = True
-        y, x = np.nonzero(m)
-        return pd.DataFrame({"image_id": [group.image_id.iloc[0]] * len(y), "y": y - 1, "x": x - 1})
-
-    return mask.groupBy("image_id").applyInPandas(run, "image_id string, y long, x long")
+    return tiles.by_tiles(raster.rescale(r), 2, run, "replicate")
 
 
 def traced(labels: DataFrame) -> DataFrame:

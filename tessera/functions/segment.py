@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import itertools
 
 import numpy as np
 import pandas as pd
@@ -13,16 +12,37 @@ from pyspark.sql import functions as F
 from ..operators import points, raster, regions
 
 
+def otsu_cuts(bins: np.ndarray, counts: np.ndarray, cuts: int) -> list[int]:
+    """Where to cut sorted bins into cuts + 1 classes with the largest variance between them: a dynamic programme over bins.
+
+    Of equal choices the one with the lowest last cut, then the lowest before it; no cut if there are too few bins.
+    """
+    n = len(bins)
+    if n <= cuts:
+        return []
+    cn, cs = np.r_[0, counts.cumsum()], np.r_[0, (counts * bins).cumsum()]
+    i, j = np.triu_indices(n + 1, 1)
+    part = np.full((n + 1, n + 1), -np.inf)
+    part[i, j] = (cs[j] - cs[i]) ** 2 / (cn[j] - cn[i])
+    value, came = part[0].copy(), []
+    for _ in range(cuts):
+        total = value[:, None] + part
+        came.append(total.argmax(axis=0))
+        value = total.max(axis=0)
+    out, at = [], n
+    for back in reversed(came):
+        at = int(back[at])
+        out.append(at)
+    return out[::-1]
+
+
 def multi_otsu(levelled: DataFrame, cuts: int = 2) -> DataFrame:
     """(image_id, k, threshold): the cuts of the histogram with the largest variance between classes."""
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("bin")
-        b, n = g.bin.to_numpy(float), g.n.to_numpy(float)
-        cn, cs = np.r_[0, n.cumsum()], np.r_[0, (n * b).cumsum()]
-        part = lambda i, j: (cs[j] - cs[i]) ** 2 / (cn[j] - cn[i])
-        edges = max(itertools.combinations(range(1, len(b)), cuts), key=lambda e: sum(part(i, j) for i, j in zip((0, *e), (*e, len(b)), strict=True))) if len(b) > cuts else ()
-        return pd.DataFrame({"image_id": [g.image_id.iloc[0]] * len(edges), "k": range(len(edges)), "threshold": [int(b[e - 1]) for e in edges]})
+        edges = otsu_cuts(g.bin.to_numpy(float), g.n.to_numpy(float), cuts)
+        return pd.DataFrame({"image_id": [g.image_id.iloc[0]] * len(edges), "k": range(len(edges)), "threshold": [int(g.bin.iloc[e - 1]) for e in edges]})
 
     return raster.histogram(levelled).groupBy("image_id").applyInPandas(best, "image_id string, k int, threshold long")
 
@@ -30,7 +50,7 @@ def multi_otsu(levelled: DataFrame, cuts: int = 2) -> DataFrame:
 def hysteresis(levelled: DataFrame, low: int, high: int) -> DataFrame:
     """Regions above ``low`` that hold a pixel above ``high``."""
     weak = levelled.filter(F.col("v") > low).select("image_id", "y", "x")
-    return regions.reconstruct(regions.label(weak, tile=16), levelled.filter(F.col("v") > high))
+    return regions.reconstruct(regions.label(weak), levelled.filter(F.col("v") > high))
 
 
 def by_derivatives(r: DataFrame, height: int, width: int) -> DataFrame:
@@ -41,7 +61,7 @@ def by_derivatives(r: DataFrame, height: int, width: int) -> DataFrame:
         m = raster.binarize(d, raster.otsu(d))
         votes = m if votes is None else votes.unionByName(m)
     some = votes.groupBy("image_id", "y", "x").count().filter(F.col("count") / 4 > 0.4).select("image_id", "y", "x")
-    return regions.largest(regions.label(regions.fill_holes(some, r, height, width), tile=16))
+    return regions.largest(regions.label(regions.fill_holes(some, r, height, width)))
 
 
 def two_means(rgb: DataFrame, seed: int = 1) -> DataFrame:
@@ -52,7 +72,7 @@ def two_means(rgb: DataFrame, seed: int = 1) -> DataFrame:
     vectors = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(rgb)
     got = KMeans(k=2, tol=1e-3, seed=seed).fit(vectors).transform(vectors)
     corner = got.filter("y = 0 and x = 0").select("image_id", F.col("prediction").alias("ground"))
-    return got.join(F.broadcast(corner), "image_id").filter("prediction != ground").select("image_id", "y", "x")
+    return got.join(corner, "image_id").filter("prediction != ground").select("image_id", "y", "x")
 
 
 def _grid(group: pd.DataFrame) -> np.ndarray:

@@ -98,7 +98,7 @@ def corners(points: DataFrame) -> DataFrame:
     """For each of the four corners of a set's bounds, the nearest point (of equals the least seq)."""
     box = points.groupBy("set").agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
     spots = F.array(*[F.struct(F.lit(n).alias("corner"), F.col(a).alias("qx"), F.col(b).alias("qy")) for n, a, b in (("tl", "x0", "y0"), ("tr", "x1", "y0"), ("br", "x1", "y1"), ("bl", "x0", "y1"))])
-    wide = points.join(F.broadcast(box), "set").withColumn("c", F.explode(spots))
+    wide = points.join(box, "set").withColumn("c", F.explode(spots))
     d = F.hypot(F.col("px") - F.col("c.qx"), F.col("py") - F.col("c.qy"))
     return wide.groupBy("set", F.col("c.corner").alias("corner")).agg(F.min(F.struct(d.alias("d"), "seq", "px", "py")).alias("p")).select("set", "corner", "p.seq", "p.px", "p.py")
 
@@ -123,11 +123,15 @@ def contacts(circles: DataFrame, slack: float = 1.1) -> DataFrame:
     return a.join(b, ["gx", "gy"]).filter((F.col("src") < F.col("dst")) & (F.hypot(F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")) <= slack * (F.col("ar") + F.col("r")))).select("src", "dst")
 
 
-def hex_lattice(spark: SparkSession, height: int, width: int, radius: float) -> DataFrame:
-    """Centres of a hexagonal packing: rows radius * sqrt(3) apart, every other row shifted by a radius."""
-    rows, cols = int((height - 1) / (radius * math.sqrt(3))) + 1, int(width / (2 * radius)) + 1
-    grid = spark.range(rows).withColumnRenamed("id", "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    return grid.select("row", F.col("col").cast("long").alias("col"), (1 + F.col("col") * 2 * radius + (F.col("row") % 2) * radius).alias("cx"), (1 + F.col("row") * radius * math.sqrt(3)).alias("cy")).filter(F.col("cx") <= width)
+def hex_lattice(spark: SparkSession, width: int, radius: float, depth: int) -> DataFrame:
+    """Centres of a hexagonal packing of circles, ``depth`` rows from y = 1 down, radius * sqrt(3) apart.
+
+    Row k has its centres 2 radius apart from -width + k radius on, as many as the first row has up to ``width``; so
+    every row is shifted by a radius against the one above, and none leaves the left side bare.
+    """
+    cols = int(2 * width / (2 * radius)) + 1
+    grid = spark.range(depth).withColumnRenamed("id", "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    return grid.select("row", F.col("col").cast("long").alias("col"), (F.lit(float(-width)) + F.col("col") * 2 * radius + F.col("row") * radius).alias("cx"), (1 + F.col("row") * radius * math.sqrt(3)).alias("cy"))
 
 
 def circumcenter(triangles: DataFrame) -> DataFrame:
@@ -151,20 +155,18 @@ def line_crossings(lines: DataFrame) -> DataFrame:
 
 
 def rotation_and_scale(quads: DataFrame) -> DataFrame:
-    """Per pair of quads (m1x .. m4y, f1x .. f4y; order TL, TR, BR, BL): mean edge angle in degrees, mean diagonal ratio."""
-    def angle(i: int, j: int) -> Column:
-        ux, uy = F.col(f"m{j}x") - F.col(f"m{i}x"), F.col(f"m{j}y") - F.col(f"m{i}y")
-        vx, vy = F.col(f"f{j}x") - F.col(f"f{i}x"), F.col(f"f{j}y") - F.col(f"f{i}y")
-        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ux * vx + uy * vy) / (F.hypot(ux, uy) * F.hypot(vx, vy))))))
-
-    side = lambda p, i, j: F.hypot(F.col(f"{p}{j}x") - F.col(f"{p}{i}x"), F.col(f"{p}{j}y") - F.col(f"{p}{i}y"))
-    return quads.select("id", ((angle(1, 2) + angle(4, 3)) / 2).alias("theta"), ((side("f", 1, 3) / side("m", 1, 3) + side("f", 2, 4) / side("m", 2, 4)) / 2).alias("scale"))
+    """Per pair of quads (m1x .. m4y, f1x .. f4y; order TL, TR, BR, BL): the turn in degrees, and the mean diagonal ratio.
 
+    theta is the mean angle of the fixed quad's top (1 to 2) and bottom (4 to 3) edges to the direction (0, -1), less
+    the moving quad's; so it has a sign.
+    """
+    def angle(q: str, i: int, j: int) -> Column:
+        ux, uy = F.col(f"{q}{j}x") - F.col(f"{q}{i}x"), F.col(f"{q}{j}y") - F.col(f"{q}{i}y")
+        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -uy / F.hypot(ux, uy)))))
 
-def resize_kernel(x: Column) -> Column:
-    """A cubic resampling kernel of support 4."""
-    a = F.abs(x)
-    return F.when(a <= 1, 1.5 * a * a * a - 2.5 * a * a + 1).when(a <= 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2).otherwise(0.0)
+    mean = lambda q: (angle(q, 1, 2) + angle(q, 4, 3)) / 2
+    side = lambda p, i, j: F.hypot(F.col(f"{p}{j}x") - F.col(f"{p}{i}x"), F.col(f"{p}{j}y") - F.col(f"{p}{i}y"))
+    return quads.select("id", (mean("f") - mean("m")).alias("theta"), ((side("f", 1, 3) / side("m", 1, 3) + side("f", 2, 4) / side("m", 2, 4)) / 2).alias("scale"))
 
 
 def polynomial_fit(samples: DataFrame, degree: int = 2) -> DataFrame:

@@ -1,18 +1,20 @@
 """Pointwise, colour, neighbourhood, histogram, morphology and geometry operators on pixel tables.
 
 Rows are (image_id, y, x, v). Separable operators use two window passes, by row and by column of each image, so work
-is spread over all rows of all images; other neighbourhoods scatter each pixel to the pixels it belongs to and
-aggregate, which combines on the map side.
+is spread over all rows of all images; other neighbourhoods go through the halo tiles of ``tiles``.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import tiles
+
 ROW, COLUMN = ("image_id", "y", "x"), ("image_id", "x", "y")
 
 
@@ -42,11 +44,36 @@ def complement(r: DataFrame) -> DataFrame:
     return r.withColumn("v", 1 - F.col("v"))
 
 
+def quantiles(r: DataFrame, shares: list[float], bins: int = 4096) -> DataFrame:
+    """(image_id, q0, q1, ...): exact quantiles of v with linear interpolation between order statistics.
+
+    A histogram of ``bins`` bins tells which bins hold the ranks asked for; only those bins' distinct values are
+    counted, so no aggregation holds an image's values.
+    """
+    plain = r.filter(F.col("v").isNotNull()).select("image_id", F.col("v").cast("double").alias("v"))
+    span = plain.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
+    binned = plain.join(span, "image_id").withColumn("bin", bin_.cast("int")).select("image_id", "bin", "v", "n")
+    counts = binned.groupBy("image_id", "bin", "n").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("image_id").orderBy("bin")) - F.col("c")
+    spots = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("share")) for k, s in enumerate(shares)])
+    asked = counts.withColumn("before", before).withColumn("s", F.explode(spots)).withColumn("pos", F.col("s.share") * (F.col("n") - 1))
+    asked = asked.filter((F.floor("pos") < F.col("before") + F.col("c")) & (F.ceil("pos") >= F.col("before")))
+    asked = asked.select("image_id", "bin", "before", F.col("s.k").alias("k"), "pos")
+    values = binned.join(asked.select("image_id", "bin", "before").distinct(), ["image_id", "bin"]).groupBy("image_id", "bin", "before", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("image_id", "bin").orderBy("v"))
+    ranked = values.withColumn("upto", upto)  # ranks upto - c to upto - 1 have the value v
+    found = ranked.drop("before").join(asked.drop("before"), ["image_id", "bin"])
+    has = lambda p: F.max(F.when((p < F.col("upto")) & (p >= F.col("upto") - F.col("c")), F.col("v")))
+    ends_ = found.groupBy("image_id", "k", "pos").agg(has(F.floor("pos")).alias("a"), has(F.ceil("pos")).alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
+    return ends_.groupBy("image_id").agg(*[F.max(F.when(F.col("k") == k, value)).alias(f"q{k}") for k in range(len(shares))])
+
+
 def adjust(r: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Saturate the tails at two quantiles of each image, then stretch to [0, 1]."""
-    q = r.groupBy("image_id").agg(F.percentile("v", F.lit(low)).alias("lo"), F.percentile("v", F.lit(high)).alias("hi"))
-    s = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    return r.join(q, "image_id").withColumn("v", F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))).drop("lo", "hi")
+    """Saturate the tails at two quantiles of each image, then stretch to [0, 1]; 0 where the quantiles are equal."""
+    s = (F.col("v") - F.col("q0")) / F.nullif(F.col("q1") - F.col("q0"), F.lit(0.0))
+    return r.join(quantiles(r, [low, high]), "image_id").withColumn("v", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)), F.lit(0.0))).drop("q0", "q1")
 
 
 def double_scaled(r: DataFrame) -> DataFrame:
@@ -91,6 +118,30 @@ def hsv(rgb: DataFrame) -> DataFrame:
     return rgb.select("image_id", "y", "x", h.alias("h"), F.when(hi == 0, 0.0).otherwise(d / hi).alias("s"), hi.alias("v"))
 
 
+def rgb_from_lab(pixels: DataFrame) -> DataFrame:
+    """The inverse of ``lab``: columns l, a, b to r, g, b; values outside [0, 1] are left as they are."""
+    inverse = np.linalg.inv(np.array(TO_XYZ)).tolist()
+    bend = lambda t: F.when(t * t * t > 216 / 24389, t * t * t).otherwise((116 * t - 16) * 27 / 24389)
+    fy = (F.col("l") + 16) / 116
+    found = [w * bend(t) for w, t in zip(WHITE, (fy + F.col("a") / 500, fy, fy - F.col("b") / 200), strict=True)]
+    line = [sum((k * v for k, v in zip(row, found, strict=True)), F.lit(0.0)) for row in inverse]
+    return pixels.select("image_id", "y", "x", *[F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055).alias(c) for c, v in zip("rgb", line, strict=True)])
+
+
+def rgb_from_hsv(pixels: DataFrame) -> DataFrame:
+    """The inverse of ``hsv``: columns h, s, v in [0, 1] to r, g, b."""
+    at = lambda n: F.pmod(F.lit(float(n)) + 6 * F.col("h"), F.lit(6.0))
+    part = lambda n: F.col("v") - F.col("v") * F.col("s") * F.greatest(F.lit(0.0), F.least(at(n), 4 - at(n), F.lit(1.0)))
+    return pixels.select("image_id", "y", "x", part(5).alias("r"), part(3).alias("g"), part(1).alias("b"))
+
+
+def label_colours(labelled: DataFrame) -> DataFrame:
+    """A full colour for every label v: its hue is the fractional part of v times the golden ratio's inverse."""
+    h = 6 * (F.col("v") * 0.6180339887498949 - F.floor(F.col("v") * 0.6180339887498949))
+    one = lambda e: F.greatest(F.lit(0.0), F.least(F.lit(1.0), e))
+    return labelled.select("image_id", "y", "x", one(F.abs(h - 3) - 1).alias("r"), one(2 - F.abs(h - 2)).alias("g"), one(2 - F.abs(h - 4)).alias("b"))
+
+
 def unmix(rgb: DataFrame, basis: list[list[float]]) -> DataFrame:
     """Each pixel's XYZ solved against three basis colours (columns), scaled to [0, 1] channel by channel."""
     (a, b, c), (d, e, f), (g, h, i) = basis
@@ -131,13 +182,34 @@ def gaussian(r: DataFrame, sigma: float = 1.2) -> DataFrame:
 
 
 def fractional_derivative(r: DataFrame, order: float = 0.5) -> DataFrame:
-    """Mean of the three-term left and right fractional differences along rows; outside the image counts as 0."""
+    """Mean of the left and right Riemann-Liouville sums of an order along rows.
+
+    A pixel counts d = 2 (the distances to its right and lower neighbours) to the power order + 1, and 0 in the last
+    row and column; h is the mean of d, n = ceil(2 / h) (2 unless a side is under 4 pixels). With weights
+    w_k = (-1)^k C(order, k), the left sum runs over the n pixels before and the pixel itself, w_0 on the farthest;
+    the right sum over the pixel and n after it, cut at the edge; both are divided by h^(order + 1). Left of column n
+    the left sum takes columns 0 to x + 1. An image one pixel high or wide has no distances: 0 throughout.
+    """
     w = _window(ROW)
-    one, two = -order, order * (order - 1) / 2
-    v = F.col("v").cast("double")
-    left = v + one * F.lag("v", 1, 0).over(w) + two * F.lag("v", 2, 0).over(w)
-    right = v + one * F.lead("v", 1, 0).over(w) + two * F.lead("v", 2, 0).over(w)
-    return r.withColumn("v", (left + right) / 2)
+    weight, k = [1.0], 1
+    while k <= 4:
+        weight.append(-weight[-1] * (order - k + 1) / k)
+        k += 1
+    box = r.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
+    pixels = (F.col("my") + 1) * (F.col("mx") + 1)
+    h = F.lit(2.0) * F.col("my") * F.col("mx") / pixels
+    n = F.when((F.col("my") > 0) & (F.col("mx") > 0), F.ceil(pixels / (F.col("my") * F.col("mx")).cast("double"))).otherwise(0).cast("int")
+    held = (F.col("y") < F.col("my")) & (F.col("x") < F.col("mx"))
+    a = r.join(box, "image_id").withColumns({"n": n, "h": h, "a": F.when(held, F.col("v").cast("double") * 2.0 ** (order + 1)).otherwise(0.0)})
+    step = lambda d: F.lead("a", d, 0.0).over(w) if d > 0 else F.lag("a", -d, 0.0).over(w) if d < 0 else F.col("a")
+    total = lambda terms: sum((weight[j] * step(d) for j, d in terms), F.lit(0.0))
+    by_n = lambda f: F.when(F.col("n") == 2, f(2)).when(F.col("n") == 3, f(3)).otherwise(f(4))
+    left = by_n(lambda m: total((j, j - m) for j in range(m + 1)))
+    for x in range(4):  # the first columns
+        left = F.when((F.col("x") == x) & (F.col("x") < F.col("n")), total((j, j - x) for j in range(x + 2))).otherwise(left)
+    right = by_n(lambda m: total((j, j) for j in range(m + 1)))
+    v = F.when(F.col("n") > 0, (left + right) / 2 / F.pow("h", F.lit(order + 1))).otherwise(0.0)
+    return a.withColumn("out", v).select("image_id", "y", "x", F.col("out").alias("v"))
 
 
 def square_agg(r: DataFrame, half: int, how) -> DataFrame:
@@ -180,53 +252,32 @@ def background_corrected(r: DataFrame, half: int = 12) -> DataFrame:
     return complement(top_hat(complement(r), half))
 
 
-def scatter(r: DataFrame, half: int = 1, disk: bool = False) -> DataFrame:
-    """Every pixel sent to each pixel whose neighbourhood holds it: (image_id, y, x, dy, dx, w), inside the image only.
-
-    dy, dx: the sender's place relative to the receiver; w: its value.
-    """
-    offsets = [(a, b) for a in range(-half, half + 1) for b in range(-half, half + 1) if not disk or a * a + b * b <= half * half]
-    table = F.array(*[F.struct(F.lit(a).cast("long").alias("dy"), F.lit(b).cast("long").alias("dx")) for a, b in offsets])
-    box = r.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    sent = r.join(box, "image_id").withColumn("d", F.explode(table))
-    return sent.select("image_id", (F.col("y") - F.col("d.dy")).alias("y"), (F.col("x") - F.col("d.dx")).alias("x"), F.col("d.dy").alias("dy"), F.col("d.dx").alias("dx"), F.col("v").alias("w"), "my", "mx").filter((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") <= F.col("my")) & (F.col("x") <= F.col("mx"))).drop("my", "mx")
+def filter_kernel(r: DataFrame, kernel: list[list[float]], border: str = "zero") -> DataFrame:
+    """Correlation with a small square kernel."""
+    return tiles.correlated(r, kernel, border)
 
 
-def filter_kernel(r: DataFrame, kernel: list[list[float]]) -> DataFrame:
-    """Correlation with a small square kernel; outside the image counts as 0."""
-    half = len(kernel) // 2
-    weights = F.array(*[F.lit(float(k)) for row in kernel for k in row])
-    at = ((F.col("dy") + half) * len(kernel) + F.col("dx") + half + 1).cast("int")
-    return scatter(r, half).groupBy("image_id", "y", "x").agg(F.sum(F.element_at(weights, at) * F.col("w")).alias("v"))
+def order_filter(r: DataFrame, rank: int, half: int = 1, border: str = "zero") -> DataFrame:
+    """The rank-th smallest (from 1) of each square neighbourhood; zeros outside the image unless told otherwise."""
+    return tiles.ranked(r, rank, tiles.footprint("square", half), border)
 
 
-def order_filter(r: DataFrame, rank: int, half: int = 1) -> DataFrame:
-    """The rank-th smallest (from 1) of each square neighbourhood, filled up with zeros outside the image."""
-    n = (2 * half + 1) ** 2
-    got = scatter(r, half).groupBy("image_id", "y", "x").agg(F.collect_list("w").alias("a"))
-    full = F.concat("a", F.array_repeat(F.lit(0).cast(r.schema["v"].dataType), n - F.size("a")))
-    return got.select("image_id", "y", "x", F.element_at(F.array_sort(full), rank).alias("v"))
+def median_filter(r: DataFrame, half: int = 1, border: str = "zero") -> DataFrame:
+    return order_filter(r, ((2 * half + 1) ** 2 + 1) // 2, half, border)
 
 
-def median_filter(r: DataFrame, half: int = 1) -> DataFrame:
-    return order_filter(r, ((2 * half + 1) ** 2 + 1) // 2, half)
-
-
-def local_std(r: DataFrame, half: int = 1) -> DataFrame:
-    """Sample deviation of the neighbourhood inside the image."""
-    return scatter(r, half).groupBy("image_id", "y", "x").agg(F.stddev_samp("w").alias("v"))
+def local_std(r: DataFrame, half: int = 1, border: str = "symmetric") -> DataFrame:
+    """Sample deviation of the neighbourhood, mirrored at the image's border ("clip": its part inside the image)."""
+    return tiles.deviation(r, half, border)
 
 
 def local_range(r: DataFrame, half: int = 1) -> DataFrame:
     return _beside(dilate(r, half), erode(r, half), F.col("v") - F.col("o"))
 
 
-def local_entropy(r: DataFrame, half: int = 4, level: Column | None = None) -> DataFrame:
-    """Entropy in bits of the levels in the neighbourhood inside the image."""
-    sent = scatter(r, half).withColumn("k", F.col("w") if level is None else level)
-    n = sent.groupBy("image_id", "y", "x", "k").count()
-    total = n.groupBy("image_id", "y", "x").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.log2("count")).alias("s"))
-    return total.select("image_id", "y", "x", (F.log2("t") - F.col("s") / F.col("t")).alias("v"))
+def local_entropy(r: DataFrame, half: int = 4, border: str = "symmetric") -> DataFrame:
+    """Entropy in bits of the levels in the neighbourhood, mirrored at the image's border."""
+    return tiles.entropy(r, half, border)
 
 
 def sobel(r: DataFrame) -> DataFrame:
@@ -237,10 +288,20 @@ def sobel(r: DataFrame) -> DataFrame:
     return gx.join(gy, ["image_id", "y", "x"]).withColumn("v", F.hypot("gx", "gy"))
 
 
-def cooccurrence(r: DataFrame) -> DataFrame:
-    """Counts of level pairs one step to the right."""
-    w = _window(ROW)
-    return r.withColumn("n", F.lead("v").over(w)).filter("n is not null").groupBy("image_id", F.col("v").alias("i"), F.col("n").alias("j")).agg(F.count(F.lit(1)).alias("count"))
+def cooccurrence(r: DataFrame, offsets: tuple[tuple[int, int], ...] = ((0, 1),), symmetric: bool = False) -> DataFrame:
+    """Counts of level pairs (i, j) at each (dy, dx) offset, dy 0 or -1; if asked, with each pair counted both ways."""
+    out = None
+    for dy, dx in offsets:
+        moved = r.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("v").alias("n"))
+        if dy == 0 and dx > 0:
+            pairs = r.withColumn("n", F.lead("v", dx).over(_window(ROW))).filter("n is not null")
+        else:
+            pairs = r.join(moved, ["image_id", "y", "x"])
+        pairs = pairs.select("image_id", F.col("v").alias("i"), F.col("n").alias("j"))
+        if symmetric:
+            pairs = pairs.unionByName(pairs.select("image_id", F.col("j").alias("i"), F.col("i").alias("j")))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.groupBy("image_id", "i", "j").agg(F.count(F.lit(1)).alias("count"))
 
 
 # histograms
@@ -273,7 +334,7 @@ def otsu(levelled: DataFrame) -> DataFrame:
 
 def binarize(levelled: DataFrame, thresholds: DataFrame) -> DataFrame:
     """The mask of pixels above their image's threshold."""
-    return levelled.join(F.broadcast(thresholds), "image_id").filter(F.col("v") > F.col("threshold")).select("image_id", "y", "x")
+    return levelled.join(thresholds, "image_id").filter(F.col("v") > F.col("threshold")).select("image_id", "y", "x")
 
 
 def equalized(levelled: DataFrame) -> DataFrame:
@@ -284,11 +345,18 @@ def equalized(levelled: DataFrame) -> DataFrame:
 
 
 def match_histogram(moving: DataFrame, fixed: DataFrame) -> DataFrame:
-    """Moving levels mapped to the least fixed level with at least the same cumulative share."""
+    """Moving levels mapped to the least fixed level of the same image with at least the same cumulative share.
+
+    Both images' levels are put in one order by share; a fixed level answers the moving ones before it, so no level
+    meets all others.
+    """
     w = Window.partitionBy("image_id").orderBy("bin")
     share = lambda q: histogram(q).withColumn("c", F.sum("n").over(w) / F.sum("n").over(_whole()))
-    a, b = share(moving).select("image_id", F.col("bin").alias("v"), "c"), share(fixed).select(F.col("bin").alias("to"), F.col("c").alias("d"))
-    rule = a.join(F.broadcast(b), F.col("d") >= F.col("c") - 1e-12).groupBy("image_id", "v").agg(F.min("to").alias("to"))  # histograms: 256 x 256 at most
+    none = F.lit(None).cast(fixed.schema["v"].dataType)
+    asked = share(moving).select("image_id", (F.col("c") - 1e-12).alias("c"), F.col("bin").alias("v"), none.alias("to"))
+    given = share(fixed).select("image_id", "c", F.lit(None).cast(moving.schema["v"].dataType).alias("v"), F.col("bin").alias("to"))
+    ahead = Window.partitionBy("image_id").orderBy("c", F.col("to").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
+    rule = asked.unionByName(given).withColumn("to", F.min("to").over(ahead)).filter("v is not null").select("image_id", "v", "to")
     return moving.join(rule, ["image_id", "v"]).select("image_id", "y", "x", F.col("to").alias("v"))
 
 
@@ -298,11 +366,47 @@ def mode(levelled: DataFrame) -> DataFrame:
     return histogram(levelled).withColumn("k", F.row_number().over(w)).filter("k = 1").select("image_id", F.col("bin").alias("v"), "n")
 
 
-def valley(levelled: DataFrame) -> DataFrame:
-    """The first bin where the histogram turns from falling to rising."""
+def freedman_diaconis(r: DataFrame) -> DataFrame:
+    """(image_id, bin, left, n): a histogram with bins 2 IQR n^(-1/3) wide from the least value on, empty bins too.
+
+    The width is not rounded. An image whose quartiles are equal has one bin.
+    """
+    plain = r.filter(F.col("v").isNotNull()).select("image_id", F.col("v").cast("double").alias("v"))
+    span = plain.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).join(quantiles(plain, [0.25, 0.75]), "image_id")
+    width = 2 * (F.col("q1") - F.col("q0")) * F.pow("n", F.lit(-1 / 3))
+    span = span.withColumn("width", width).withColumn("bins", F.when(F.col("width") > 0, F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / F.col("width")))).otherwise(1).cast("long")).drop("n")
+    at = F.when(F.col("width") > 0, F.least(F.col("bins") - 1, F.floor((F.col("v") - F.col("lo")) / F.col("width")))).otherwise(0).cast("long")
+    found = plain.join(span, "image_id").groupBy("image_id", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = span.select("image_id", "lo", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))
+    return every.join(found, ["image_id", "bin"], "left").select("image_id", "bin", (F.col("lo") + F.col("bin") * F.greatest(F.col("width"), F.lit(0.0))).alias("left"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def valley(r: DataFrame) -> DataFrame:
+    """(image_id, valley): left edge of the first bin after which the Freedman-Diaconis counts fall and then do not."""
+    w = Window.partitionBy("image_id").orderBy("bin")
+    turned = (F.lead("n").over(w) < F.col("n")) & (F.lead("n", 2).over(w) >= F.lead("n").over(w))
+    return freedman_diaconis(r).withColumn("t", turned).filter("t").groupBy("image_id").agg(F.min("left").alias("valley"))
+
+
+def top_share(levelled: DataFrame, share: float = 0.04) -> DataFrame:
+    """(image_id, threshold): the first level at which more than 1 - share of the pixels lie at or below it."""
     w = Window.partitionBy("image_id").orderBy("bin")
-    turned = (F.lag("n").over(w) > F.col("n")) & (F.lead("n").over(w) > F.col("n"))
-    return histogram(levelled).withColumn("t", turned).filter("t").groupBy("image_id").agg(F.min("bin").alias("valley"))
+    run = histogram(levelled).withColumn("c", F.sum("n").over(w)).withColumn("t", F.sum("n").over(_whole()))
+    return run.filter(F.col("c") > (1 - share) * F.col("t")).groupBy("image_id").agg(F.min("bin").alias("threshold"))
+
+
+def minimum_near_otsu(levelled: DataFrame, most: int = 4) -> DataFrame:
+    """(image_id, threshold): of the deepest local minima of the histogram (at most so many), the one nearest the Otsu level.
+
+    A minimum's depth is its lower neighbour's rise. Without a minimum: the Otsu level itself.
+    """
+    w = Window.partitionBy("image_id").orderBy("bin")
+    before, after = F.lag("n").over(w), F.lead("n").over(w)
+    low = histogram(levelled).withColumn("depth", F.least(before, after) - F.col("n")).filter("depth > 0")
+    deep = low.withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("depth"), "bin"))).filter(F.col("k") <= most)
+    near = otsu(levelled).withColumnRenamed("threshold", "o").join(deep, "image_id", "left")
+    best = near.groupBy("image_id", "o").agg(F.min(F.struct(F.abs(F.col("bin") - F.col("o")).alias("d"), F.col("bin").alias("bin"))).alias("b"))
+    return best.select("image_id", F.coalesce("b.bin", "o").alias("threshold"))
 
 
 def local_maxima(levelled: DataFrame) -> DataFrame:
@@ -329,9 +433,13 @@ def euler_number(mask: DataFrame) -> DataFrame:
 
 
 def quadrants_filled(mask: DataFrame, height: int, width: int) -> DataFrame:
-    """Whether all four quadrants of each image hold a mask pixel."""
-    top, left = F.col("y") < height // 2, F.col("x") < width // 2
-    return mask.groupBy("image_id").agg(*[F.max(c.cast("int")).alias(n) for n, c in (("a", top & left), ("b", top & ~left), ("c", ~top & left), ("d", ~top & ~left))]).select("image_id", (F.col("a") + F.col("b") + F.col("c") + F.col("d") == 4).alias("filled"))
+    """Whether all four quadrants of each image hold a mask pixel; quadrants share the middle rows and columns.
+
+    The upper half is rows 0 to ceil(height / 2) - 1, the lower one begins at row floor(height / 2) - 1; columns alike.
+    """
+    top, left = F.col("y") < -(-height // 2), F.col("x") < -(-width // 2)
+    low, right = F.col("y") >= max(0, height // 2 - 1), F.col("x") >= max(0, width // 2 - 1)
+    return mask.groupBy("image_id").agg(*[F.max(c.cast("int")).alias(n) for n, c in (("a", top & left), ("b", top & right), ("c", low & left), ("d", low & right))]).select("image_id", (F.col("a") + F.col("b") + F.col("c") + F.col("d") == 4).alias("filled"))
 
 
 def rotated90(r: DataFrame, turns: int) -> DataFrame:
@@ -383,6 +491,71 @@ def shrunk(r: DataFrame, factor: int = 2) -> DataFrame:
     return r.groupBy("image_id", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.avg("v").alias("v"))
 
 
+def cubic_kernel(x: Column) -> Column:
+    """The cubic convolution kernel with a = -1/2, support 4."""
+    a = F.abs(x)
+    return F.when(a <= 1, 1.5 * a * a * a - 2.5 * a * a + 1).when(a <= 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2).otherwise(0.0)
+
+
+def rational_kernel(x: Column) -> Column:
+    """A piecewise rational resize kernel, support 4."""
+    a = F.abs(x)
+    # The two pieces' coefficients.
+    inner = (-0.168 * a * a - 0.9129 * a + 1.0808) / (a * a - 0.8319 * a + 1.0808)
+    outer = (0.1953 * a * a - 0.5858 * a + 0.3905) / (a * a - 2.4402 * a + 1.7676)
+    return F.when(a <= 1, inner).when(a <= 2, outer).otherwise(0.0)
+
+
+def triangle_kernel(x: Column) -> Column:
+    """Linear interpolation, support 2."""
+    return F.greatest(F.lit(0.0), 1 - F.abs(x))
+
+
+def box_kernel(x: Column) -> Column:
+    """The nearest pixel, support 1."""
+    return F.when((x >= -0.5) & (x < 0.5), 1.0).otherwise(0.0)
+
+
+def lanczos3_kernel(x: Column) -> Column:
+    """A windowed sinc, support 6."""
+    t = F.lit(math.pi) * x
+    return F.when(F.abs(x) < 1e-8, 1.0).when(F.abs(x) < 3, 3 * F.sin(t) * F.sin(t / 3) / (t * t)).otherwise(0.0)
+
+
+KERNELS = {"cubic": (cubic_kernel, 4), "rational": (rational_kernel, 4), "linear": (triangle_kernel, 2), "nearest": (box_kernel, 1), "lanczos3": (lanczos3_kernel, 6)}
+
+
+def _resized_line(r: DataFrame, along: str, across: str, size: Column, scale: Column, kernel: str, antialias: bool) -> DataFrame:
+    """One axis of ``resized``: each line of pixels is an array, and an output pixel a weighted sum of some elements."""
+    f, support = KERNELS[kernel]
+    lines = r.groupBy("image_id", across).agg(F.sort_array(F.collect_list(F.struct(along, F.col("v").cast("double").alias("v")))).alias("a"))
+    lines = lines.withColumn("n", F.size("a")).withColumns({"out": size.cast("int"), "scale": scale.cast("double")})
+    squeeze = F.least(F.col("scale"), F.lit(1.0)) if antialias else F.lit(1.0)
+    lines = lines.withColumn("k", squeeze).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("out") - 1)))
+    middle = (F.col("u") + 0.5) / F.col("scale") - 0.5
+    first = F.floor(middle - support / 2 / F.col("k")).cast("int")
+    taps = F.sequence(first, first + F.ceil(support / F.col("k")).cast("int") + 1)
+    lines = lines.withColumn("m", middle).withColumn("taps", taps)
+    weigh = F.transform("taps", lambda i: F.struct(f(F.col("k") * (F.col("m") - i)).alias("w"), F.get("a", F.greatest(F.lit(0), F.least(i, F.col("n") - 1)))["v"].alias("v")))
+    lines = lines.withColumn("t", weigh)
+    total = F.aggregate("t", F.lit(0.0), lambda s, e: s + e["w"] * e["v"])
+    weight = F.aggregate("t", F.lit(0.0), lambda s, e: s + e["w"])
+    return lines.select("image_id", F.col(across), F.col("u").cast("long").alias(along), (total / weight).alias("v"))
+
+
+def resized(r: DataFrame, scale: float | None = None, size: tuple[int, int] | None = None, kernel: str = "cubic", antialias: bool = True) -> DataFrame:
+    """Images resized by a factor (sides rounded up) or to (height, width), one axis after the other.
+
+    Output place u takes the input at u / s + (1 / s - 1) / 2 with a kernel of KERNELS, stretched where the image
+    shrinks (antialiasing), its weights made to sum to 1; beyond the border the nearest pixel counts. Columns of
+    pixels go first, then rows. Images are dense; work is per line, so no image has to fit into a task.
+    """
+    height, width = (F.ceil(F.col("n") * scale), F.ceil(F.col("n") * scale)) if size is None else (F.lit(size[0]), F.lit(size[1]))
+    by = lambda out: F.lit(float(scale)) if size is None else out / F.col("n")
+    r = _resized_line(r, "y", "x", height, by(height), kernel, antialias)
+    return _resized_line(r, "x", "y", width, by(width), kernel, antialias).select("image_id", "y", "x", "v")
+
+
 # comparisons
 
 

@@ -19,8 +19,11 @@ def shared_copy(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        import re
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/tessera-raster/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -28,6 +31,14 @@ def shared_copy(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def purge(spark: SparkSession) -> None:
+    """Delete what ``shared_copy`` wrote for this application, once its results have been read or stored."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/tessera-raster/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _find(root: np.ndarray, i: int) -> int:
     while root[i] != i:
         root[i] = root[root[i]]
@@ -83,15 +94,16 @@ def label(mask: DataFrame, eight: bool = True, tile: int = TILE) -> DataFrame:
     moved = seam.withColumn("d", near).select("image_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.col("local").alias("a"))
     edges = moved.join(seam.withColumnRenamed("local", "b"), ["image_id", "y", "x"]).filter("a != b").select("image_id", "a", "b").distinct()
     edges = shared_copy(edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if edges.isEmpty():  # no region crosses a seam
+        return local.select("image_id", "y", "x", F.col("local").alias("label"))
     names = shared_copy(edges.select("image_id", "a").distinct().withColumn("l", F.col("a")))
     while True:
         best = edges.join(names.withColumnRenamed("a", "b").withColumnRenamed("l", "m"), ["image_id", "b"]).groupBy("image_id", "a").agg(F.min("m").alias("m"))
-        stepped = names.join(best, ["image_id", "a"], "left").select("image_id", "a", F.least("l", F.coalesce("m", "l")).alias("l"))
-        jump = stepped.join(stepped.select("image_id", F.col("a").alias("l"), F.col("l").alias("j")), ["image_id", "l"], "left").select("image_id", "a", F.least("l", F.coalesce("j", "l")).alias("l"))
-        fresh = shared_copy(jump)
-        changed = fresh.join(names.withColumnRenamed("l", "old"), ["image_id", "a"]).filter("l != old").limit(1).count()
-        names = fresh
-        if not changed:
+        stepped = names.join(best, ["image_id", "a"], "left").select("image_id", "a", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l"))
+        jump = stepped.join(stepped.select("image_id", F.col("a").alias("l"), F.col("l").alias("j")), ["image_id", "l"], "left")
+        fresh = shared_copy(jump.select("image_id", "a", "old", F.least("l", F.coalesce("j", "l")).alias("l")))
+        names = fresh.select("image_id", "a", "l")
+        if fresh.filter("l != old").isEmpty():
             break
     return local.join(names.select("image_id", F.col("a").alias("local"), "l"), ["image_id", "local"], "left").select("image_id", "y", "x", F.coalesce("l", "local").alias("label"))
 
@@ -144,12 +156,126 @@ def cleaned(labels: DataFrame, reach: int = 1, least: int = 2) -> DataFrame:
     return reconstruct(labels.join(big.select("image_id", "label"), ["image_id", "label"], "left_semi"), wide)
 
 
-def regional_maxima(r: DataFrame) -> DataFrame:
-    """Pixels with no greater 8-neighbour (plateaus of one value whose neighbours are all lower or equal stay whole)."""
+def regional_maxima(r: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pixels of the plateaus (8-connected, of one value) that no pixel beside them exceeds.
+
+    Pixels without a greater neighbour form the candidates; touching candidates have one value. A region of them is
+    dropped when one of its pixels lies beside an equal pixel that has a greater neighbour.
+    """
     from .raster import dilate
 
-    top = dilate(r, 1).withColumnRenamed("v", "m")
-    return r.join(top, ["image_id", "y", "x"]).filter("v = m").select("image_id", "y", "x")
+    key = ["image_id", "y", "x"]
+    top = r.join(dilate(r, 1).withColumnRenamed("v", "m"), key)
+    beside = dilate(top.select(*key, F.when(F.col("v") < F.col("m"), F.col("v")).alias("v")), 1).withColumnRenamed("v", "low")
+    marked = top.filter("v = m").join(beside, key).select(*key, F.coalesce(F.col("low") == F.col("v"), F.lit(False)).alias("open"))
+    labels = label(marked.select(*key), tile=tile)
+    gone = labels.join(marked.filter("open").select(*key), key, "left_semi").select("image_id", "label").distinct()
+    return labels.join(gone, ["image_id", "label"], "left_anti").select(*key)
+
+
+def grown_under(marker: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Grey reconstruction of one array: the marker grown under the mask (8-connected) until nothing changes; NaN stays out."""
+    now = np.fmin(marker, mask)
+    while True:
+        p = np.pad(now, 1, constant_values=np.nan)
+        wide = now
+        for a in range(3):
+            for b in range(3):
+                wide = np.fmax(wide, p[a : a + now.shape[0], b : b + now.shape[1]])
+        fresh = np.where(np.isnan(mask), np.nan, np.fmin(wide, mask))
+        if np.array_equal(fresh, now, equal_nan=True):
+            return now
+        now = fresh
+
+
+def reconstruct_gray(both: DataFrame, tile: int = 256) -> DataFrame:
+    """Grey reconstruction: marker ``v`` grown under mask ``m`` (image_id, y, x, v, m), tile by tile until no tile changes.
+
+    Each round every tile with a halo of one pixel grows its marker as far as it goes and is written to the shared
+    folder; so rounds are as many as tiles on a path, and no image has to fit into a task.
+    """
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(group.ty.iloc[0]), int(group.tx.iloc[0])
+        y0, x0 = ty * tile - 1, tx * tile - 1
+        y, x = group.y.to_numpy() - y0, group.x.to_numpy() - x0
+        v, m = (np.full((tile + 2, tile + 2), np.nan) for _ in range(2))
+        v[y, x], m[y, x] = group.v, group.m
+        grown = grown_under(v, m)[y, x]
+        own = (y >= 1) & (y <= tile) & (x >= 1) & (x <= tile)
+        return pd.DataFrame({"image_id": group.image_id, "y": group.y, "x": group.x, "v": grown, "m": group.m, "changed": (grown != group.v).astype(int)})[own]
+
+    now = both.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v"), F.col("m").cast("double").alias("m"))
+    now = now.withColumn("v", F.least("v", "m"))
+    while True:
+        part = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-1, 0, 1)])))
+        sent = now.withColumn("ty", part("y")).withColumn("tx", part("x")).filter("ty >= 0 and tx >= 0")
+        fresh = shared_copy(sent.groupBy("image_id", "ty", "tx").applyInPandas(one, "image_id string, y long, x long, v double, m double, changed int"))
+        now = fresh.drop("changed")
+        if not fresh.agg(F.max("changed")).first()[0]:
+            return now.select("image_id", "y", "x", "v")
+
+
+def thinned(mask: DataFrame, tile: int = 256, steps: int = 8) -> DataFrame:
+    """One-pixel lines: border pixels taken away in two alternating passes while connections hold.
+
+    Tiles with a halo of two pixels a step take so many steps a round; rounds go on until no pixel goes. All tiles
+    step together, so the result does not depend on them.
+    """
+    halo = 2 * steps
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(group.ty.iloc[0]) * tile - halo, int(group.tx.iloc[0]) * tile - halo
+        y, x = group.y.to_numpy() - y0, group.x.to_numpy() - x0
+        m = np.zeros((tile + 2 * halo + 2,) * 2, bool)
+        m[y + 1, x + 1] = True
+        for _ in range(steps):
+            if not thin_once(m):
+                break
+        own = (y >= halo) & (y < halo + tile) & (x >= halo) & (x < halo + tile)
+        return pd.DataFrame({"image_id": group.image_id, "y": group.y, "x": group.x, "kept": m[y + 1, x + 1]})[own]
+
+    now = mask.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    while True:
+        part = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-halo, 0, halo)])))
+        sent = now.withColumn("ty", part("y")).withColumn("tx", part("x"))
+        fresh = shared_copy(sent.groupBy("image_id", "ty", "tx").applyInPandas(one, "image_id string, y long, x long, kept boolean"))
+        now = fresh.filter("kept").drop("kept")
+        if fresh.filter("not kept").isEmpty():
+            return now
+
+
+def thin_once(m: np.ndarray) -> bool:
+    """One step (both passes) on a mask with an empty frame, in place; whether a pixel went."""
+    changed = False
+    for first in (True, False):
+        n = [m[:-2, 1:-1], m[:-2, 2:], m[1:-1, 2:], m[2:, 2:], m[2:, 1:-1], m[2:, :-2], m[1:-1, :-2], m[:-2, :-2]]
+        near = sum(k.astype(int) for k in n)
+        turns = sum((~n[i] & n[(i + 1) % 8]).astype(int) for i in range(8))
+        a, b = (n[0] & n[2] & n[4], n[2] & n[4] & n[6]) if first else (n[0] & n[2] & n[6], n[0] & n[4] & n[6])
+        gone = m[1:-1, 1:-1] & (near >= 2) & (near <= 6) & (turns == 1) & ~a & ~b
+        if gone.any():
+            m[1:-1, 1:-1] &= ~gone
+            changed = True
+    return changed
+
+
+def lower_envelope(at: np.ndarray, height: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """The least of (x - at)^2 + height over all parabolas at each asked x, in one pass over the sorted ``at``."""
+    if not len(at):
+        return np.full(len(ask), np.nan)
+    keep, start = [0], [-np.inf]
+    for q in range(1, len(at)):
+        while True:
+            p = keep[-1]
+            cut = ((height[q] + at[q] ** 2) - (height[p] + at[p] ** 2)) / (2 * (at[q] - at[p]))
+            if cut > start[-1]:
+                break
+            keep.pop()
+            start.pop()
+        keep.append(q)
+        start.append(cut)
+    who = np.array(keep)[np.searchsorted(np.array(start), ask, "right") - 1]
+    return (ask - at[who]) ** 2 + height[who]
 
 
 def distance_to(mask: DataFrame, targets: DataFrame) -> DataFrame:
@@ -158,12 +284,10 @@ def distance_to(mask: DataFrame, targets: DataFrame) -> DataFrame:
     First the nearest target in the pixel's own column, by two window passes; then the least over the pixel's row.
     """
     def near(group: pd.DataFrame) -> pd.DataFrame:
-        cols = np.sort(group.x.unique())
         ask = group[group.ask]
-        known = group.dropna(subset=["g"]).drop_duplicates("x")
-        kx, kg = known.x.to_numpy(float), known.g.to_numpy(float)
-        out = [float(np.sqrt(((kx - x) ** 2 + kg**2).min())) if len(kx) else np.nan for x in ask.x]
-        return pd.DataFrame({"image_id": ask.image_id, "y": ask.y, "x": ask.x, "distance": out}) if len(cols) else ask
+        known = group.dropna(subset=["g"]).drop_duplicates("x").sort_values("x")
+        out = lower_envelope(known.x.to_numpy(float), known.g.to_numpy(float) ** 2, ask.x.to_numpy(float))
+        return pd.DataFrame({"image_id": ask.image_id, "y": ask.y, "x": ask.x, "distance": np.sqrt(out)})
 
     both = mask.select("image_id", "y", "x").withColumn("ask", F.lit(True)).unionByName(targets.select("image_id", "y", "x").withColumn("ask", F.lit(False)))
     box = both.groupBy("image_id").agg(F.min("y").alias("a"), F.max("y").alias("b"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .points import resize_kernel
+from .raster import cubic_kernel
 
 
 def rotated_points(points: DataFrame, degrees: float, cx: float, cy: float) -> DataFrame:
@@ -32,7 +32,7 @@ def rotated_cubic(r: DataFrame, degrees: float) -> DataFrame:
     four = F.explode(F.sequence(F.lit(-1), F.lit(2)))
     wide = at.filter(inside).withColumn("i", four).withColumn("j", four)
     near = lambda v, k, most: F.greatest(F.lit(0), F.least(F.floor(v) + F.col(k), F.col(most))).cast("long")
-    k = resize_kernel(F.col("sy") - F.floor("sy") - F.col("i")) * resize_kernel(F.col("sx") - F.floor("sx") - F.col("j"))
+    k = cubic_kernel(F.col("sy") - F.floor("sy") - F.col("i")) * cubic_kernel(F.col("sx") - F.floor("sx") - F.col("j"))
     wide = wide.select("image_id", "y", "x", near("sy", "i", "my").alias("py"), near("sx", "j", "mx").alias("px"), k.alias("k"))
     source = r.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), "v")
     found = wide.join(source, ["image_id", "py", "px"]).groupBy("image_id", "y", "x").agg(F.sum(F.col("k") * F.col("v")).alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -95,9 +96,24 @@ for _n, _a, _b in (("x", raster.FIRST7, raster.SMOOTH7), ("y", raster.SMOOTH7, r
 _G = [np.exp(-(i * i) / (2 * 1.2 * 1.2)) for i in range(-3, 4)]
 _G = [float(k / sum(_G)) for k in _G]
 _on_e("gaussian", raster.gaussian, f" SELECT y, x, round(v, 6) AS v FROM {_taps(_G, 'y', 'x', _taps(_G, 'x', 'y', 'e'))}")
-_on_e("fractional_derivative", raster.fractional_derivative, " SELECT y, x, round((2 * v - 0.5 * lag(v, 1, 0) OVER t - 0.125 * lag(v, 2, 0) OVER t - 0.5 * lead(v, 1, 0) OVER t - 0.125 * lead(v, 2, 0) OVER t) / 2, 6) AS v FROM e WINDOW t AS (PARTITION BY y ORDER BY x)")
+
+
+def _fractional(source: str, order: float) -> str:
+    """The fractional derivative of a raster of at least four rows and columns, where n is 2."""
+    one, two = -order, order * (order - 1) / 2
+    return f"""(SELECT y, x, (CASE x
+    WHEN 0 THEN a + ({one!r}::DOUBLE) * lead(a, 1, 0) OVER t
+    WHEN 1 THEN lag(a, 1, 0) OVER t + ({one!r}::DOUBLE) * a + ({two!r}::DOUBLE) * lead(a, 1, 0) OVER t
+    ELSE lag(a, 2, 0) OVER t + ({one!r}::DOUBLE) * lag(a, 1, 0) OVER t + ({two!r}::DOUBLE) * a END
+    + a + ({one!r}::DOUBLE) * lead(a, 1, 0) OVER t + ({two!r}::DOUBLE) * lead(a, 2, 0) OVER t)
+    / 2 / power(2.0::DOUBLE * my * mx / ((my + 1) * (mx + 1)), {order + 1!r}::DOUBLE) AS v
+    FROM (SELECT y, x, my, mx, CASE WHEN y < my AND x < mx THEN v * {2.0 ** (order + 1)!r}::DOUBLE ELSE 0 END AS a
+    FROM {source}, (SELECT max(y) AS my, max(x) AS mx FROM {source})) WINDOW t AS (PARTITION BY y ORDER BY x))"""
+
+
+_on_e("fractional_derivative", raster.fractional_derivative, f" SELECT y, x, round(v, 6) AS v FROM {_fractional('e', 0.5)}")
 _NEAR = "(SELECT a.y, a.x, {0} AS v FROM q a JOIN q b ON abs(a.y - b.y) <= {1} AND abs(a.x - b.x) <= {1} GROUP BY 1, 2)"
-for _n, _f, _s in (("erode", raster.erode, "min(b.v)"), ("dilate", raster.dilate, "max(b.v)"), ("local_range", raster.local_range, "max(b.v) - min(b.v)"), ("box_sum", lambda r: raster.square_agg(r, 1, F.sum), "CAST(sum(b.v) AS BIGINT)"), ("local_std", raster.local_std, "round(stddev_samp(b.v), 6)")):
+for _n, _f, _s in (("erode", raster.erode, "min(b.v)"), ("dilate", raster.dilate, "max(b.v)"), ("local_range", raster.local_range, "max(b.v) - min(b.v)"), ("box_sum", lambda r: raster.square_agg(r, 1, F.sum), "CAST(sum(b.v) AS BIGINT)")):
     _on_q(_n, _f, f" SELECT * FROM {_NEAR.format(_s, 1)}")
 _MORPH = ", p1 AS (SELECT a.y, a.x, {0}(b.v) AS v FROM q a JOIN q b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2), p2 AS (SELECT a.y, a.x, {1}(b.v) AS v FROM p1 a JOIN p1 b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2)"
 _on_q("open", raster.opened, _MORPH.format("min", "max") + " SELECT * FROM p2")
@@ -110,7 +126,22 @@ _on_q("median3", raster.median_filter, f" SELECT * FROM {_NEAR.format(f'CAST({_S
 _on_q("order_filter", lambda r: raster.order_filter(r, 7), f" SELECT * FROM {_NEAR.format(f'CAST({_SORTED}[7] AS BIGINT)', 1)}")
 _on_q("laplacian", lambda r: raster.filter_kernel(r, [[0, 1, 0], [1, -4, 1], [0, 1, 0]]), f" SELECT * FROM {_NEAR.format('CAST(sum(CASE WHEN a.y = b.y AND a.x = b.x THEN -4 * b.v WHEN abs(a.y - b.y) + abs(a.x - b.x) = 1 THEN b.v ELSE 0 END) AS DOUBLE)', 1)}")
 _on_q("sobel", raster.sobel, f" SELECT * FROM {_NEAR.format('round(sqrt(power(sum(sign(b.x - a.x) * (2 - abs(a.y - b.y)) * b.v), 2) + power(sum(sign(b.y - a.y) * (2 - abs(a.x - b.x)) * b.v), 2)), 6)', 1)}")
-_add("local_entropy", lambda s, d: _pixels(raster.local_entropy(_levels(s, d), 2), "y", "x", "v"), LEVELS + ", n AS (SELECT a.y, a.x, b.v AS k, count(*) AS c FROM lv a JOIN lv b ON abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY 1, 2, 3) SELECT y, x, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS v FROM n GROUP BY 1, 2")
+
+
+def _mirrored(source: str, half: int) -> str:
+    """Pairs a, b of each pixel and those around it, mirrored at the border with the edge pixel."""
+    fold = lambda c, m: f"CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} > {m} THEN 2 * {m} + 1 - ({c}) ELSE {c} END"
+    return f"""(SELECT a.y, a.x, {fold('a.y + i.i', 'my')} AS by_, {fold('a.x + j.j', 'mx')} AS bx FROM {source} a,
+    range({-half}, {half + 1}) i(i), range({-half}, {half + 1}) j(j), (SELECT max(y) AS my, max(x) AS mx FROM {source}) k) a
+    JOIN {source} b ON b.y = a.by_ AND b.x = a.bx"""
+
+
+_on_q("local_std", raster.local_std, f" SELECT a.y, a.x, round(stddev_samp(b.v), 6) AS v FROM {_mirrored('q', 1)} GROUP BY 1, 2")
+_add(
+    "local_entropy",
+    lambda s, d: _pixels(raster.local_entropy(_levels(s, d), 2), "y", "x", "v"),
+    LEVELS + f", n AS (SELECT a.y, a.x, b.v AS k, count(*) AS c FROM {_mirrored('lv', 2)} GROUP BY 1, 2, 3) SELECT y, x, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS v FROM n GROUP BY 1, 2",
+)
 _add("cooccurrence", lambda s, d: raster.cooccurrence(_levels(s, d).withColumn("v", F.floor(F.col("v") / 32))).drop("image_id"), LEVELS + ", k AS (SELECT v // 32 AS i, lead(v // 32) OVER (PARTITION BY y ORDER BY x) AS j FROM lv) SELECT i, j, count(*) AS count FROM k WHERE j IS NOT NULL GROUP BY 1, 2")
 
 # histograms and thresholds
@@ -121,10 +152,38 @@ _add("otsu_mask", lambda s, d: _mask(s, d).drop("image_id"), MASK + " SELECT y,
 _add("equalize", lambda s, d: _pixels(raster.equalized(_levels(s, d)), "y", "x", "v"), LEVELS + ", c AS (SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS DOUBLE) / sum(n) OVER () AS c FROM h) SELECT y, x, round(c, 6) AS v FROM lv JOIN c ON bin = v")
 _add("histogram_match", lambda s, d: raster.match_histogram(_levels(s, d), _levels(s, d).withColumn("v", F.floor(F.col("v") / 2))).drop("image_id"), LEVELS + ", a AS (SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS DOUBLE) / sum(n) OVER () AS c FROM h), f AS (SELECT bin // 2 AS bin, sum(n) AS n FROM h GROUP BY 1), b AS (SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS DOUBLE) / sum(n) OVER () AS c FROM f), r AS (SELECT a.bin, min(b.bin) AS t FROM a JOIN b ON b.c >= a.c - 1e-12 GROUP BY 1) SELECT y, x, t AS v FROM lv JOIN r ON bin = v")
 _add("mode", lambda s, d: raster.mode(_levels(s, d)).drop("image_id"), LEVELS + " SELECT bin AS v, n FROM h ORDER BY n DESC, bin LIMIT 1")
-_add("valley", lambda s, d: raster.valley(_levels(s, d)).drop("image_id"), LEVELS + ", k AS (SELECT bin, n, lag(n) OVER (ORDER BY bin) AS a, lead(n) OVER (ORDER BY bin) AS b FROM h) SELECT min(bin) AS valley FROM k WHERE a > n AND b > n HAVING count(*) > 0")
+_FD = """, fw AS (SELECT min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi, 2 * (quantile_cont(v::DOUBLE, 0.75) - quantile_cont(v::DOUBLE, 0.25)) * power(count(*)::DOUBLE, {third}::DOUBLE) AS w FROM {src}),
+fb AS (SELECT lo, w, CASE WHEN w > 0 THEN CAST(greatest(1, ceil((hi - lo) / w)) AS BIGINT) ELSE 1 END AS k FROM fw),
+fc AS (SELECT CASE WHEN w > 0 THEN least(k - 1, CAST(floor((v::DOUBLE - lo) / w) AS BIGINT)) ELSE 0 END AS bin, count(*) AS n FROM {src}, fb GROUP BY 1),
+fd AS (SELECT CAST(r.i AS BIGINT) AS bin, lo + r.i * greatest(w, 0.0) AS edge, coalesce(fc.n, 0) AS n FROM fb, range(0, (SELECT k FROM fb)) r(i) LEFT JOIN fc ON fc.bin = r.i)""".replace("{third}", repr(-1 / 3))
+_add(
+    "freedman_diaconis",
+    lambda s, d: _pixels(raster.freedman_diaconis(rasters.embedding_raster(s, d)), "bin", "left", "n").withColumnRenamed("left", "edge"),
+    E + _FD.format(src="e") + " SELECT bin, round(edge, 6) AS edge, n FROM fd",
+)
+_add(
+    "valley",
+    lambda s, d: _pixels(raster.valley(rasters.embedding_raster(s, d)), "valley"),
+    E + _FD.format(src="e") + ", fl AS (SELECT edge, n, lead(n) OVER t AS a, lead(n, 2) OVER t AS b FROM fd WINDOW t AS (ORDER BY bin)) SELECT round(min(edge), 6) AS valley FROM fl WHERE a < n AND b >= a HAVING count(*) > 0",
+)
+_add("top_share", lambda s, d: raster.top_share(_levels(s, d)).drop("image_id"), LEVELS + ", c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS c, sum(n) OVER () AS t FROM h) SELECT min(bin) AS threshold FROM c WHERE c > 0.96 * t")
+_add(
+    "minimum_near_otsu",
+    lambda s, d: raster.minimum_near_otsu(_levels(s, d)).drop("image_id"),
+    OTSU + ", w AS (SELECT bin, least(lag(n) OVER t, lead(n) OVER t) - n AS depth, lag(n) OVER t AS a, lead(n) OVER t AS b FROM h WINDOW t AS (ORDER BY bin)), k AS (SELECT bin FROM w WHERE depth > 0 AND a IS NOT NULL AND b IS NOT NULL ORDER BY depth DESC, bin LIMIT 4) SELECT coalesce((SELECT bin FROM k, o ORDER BY abs(bin - threshold), bin LIMIT 1), threshold) AS threshold FROM o",
+)
+_add("quantiles", lambda s, d: _pixels(raster.quantiles(rasters.embedding_raster(s, d), [0.0, 0.4, 0.75, 1.0]), "q0", "q1", "q2", "q3"), E + " SELECT " + ", ".join(f"round(quantile_cont(v, {q}), 6) AS q{k}" for k, q in enumerate((0.0, 0.4, 0.75, 1.0))) + " FROM e")
 _add("histogram_peaks", lambda s, d: raster.local_maxima(_levels(s, d)).drop("image_id"), LEVELS + ", k AS (SELECT bin, n, lag(n) OVER (ORDER BY bin) AS a, lead(n) OVER (ORDER BY bin) AS b FROM h) SELECT bin, n FROM k WHERE a < n AND b < n")
 _add("otsu_foreground_rows", lambda s, d: _mask(s, d).groupBy("y").agg(F.count(F.lit(1)).alias("n")), MASK + " SELECT y, count(*) AS n FROM m GROUP BY 1")
-_add("multi_thresholds", lambda s, d: segment.multi_otsu(_levels(s, d), 2).drop("image_id"))
+_add(
+    "multi_thresholds",
+    lambda s, d: segment.multi_otsu(_levels(s, d), 2).drop("image_id"),
+    LEVELS + """, c AS (SELECT bin, sum(n) OVER t::DOUBLE AS n, sum(n * bin) OVER t::DOUBLE AS s FROM h WINDOW t AS (ORDER BY bin)),
+    t AS (SELECT max(n) AS n, max(s) AS s FROM c),
+    k AS (SELECT a.bin AS a, b.bin AS b, a.s * a.s / a.n + power(b.s - a.s, 2) / (b.n - a.n) + power(t.s - b.s, 2) / (t.n - b.n) AS w FROM c a, c b, t WHERE a.bin < b.bin AND b.n < t.n),
+    best AS (SELECT a, b FROM k ORDER BY round(w, 6) DESC, b, a LIMIT 1)
+    SELECT CAST(0 AS INTEGER) AS k, a AS threshold FROM best UNION ALL SELECT 1, b FROM best""",
+)
 
 # masks and regions
 _add("perimeter", lambda s, d: raster.perimeter(_mask(s, d)).drop("image_id"), MASK + " SELECT y, x FROM m a WHERE (SELECT count(*) FROM m b WHERE abs(a.y - b.y) + abs(a.x - b.x) = 1) < 4")
@@ -134,7 +193,7 @@ l AS (SELECT CAST(a % 2147483648 AS BIGINT) AS y, CAST(a // 2147483648 AS BIGINT
 z AS (SELECT label, count(*) AS area FROM l GROUP BY 1)"""
 
 
-def _labels(s: SparkSession, d: str, tile: int = 16) -> DataFrame:
+def _labels(s: SparkSession, d: str, tile: int = regions.TILE) -> DataFrame:
     return regions.label(_mask(s, d), tile=tile)
 
 
@@ -146,10 +205,23 @@ _add("clear_border", lambda s, d: regions.clear_border(_labels(s, d), *_size(s,
 _add("reconstruct", lambda s, d: regions.reconstruct(_labels(s, d), _levels(s, d).filter("v >= 250")).drop("image_id"), _CC + " SELECT y, x FROM l WHERE label IN (SELECT label FROM l JOIN lv USING (y, x) WHERE v >= 250)")
 _add("euler_number", lambda s, d: raster.euler_number(_mask(s, d)).drop("image_id"), MASK + ", w AS (SELECT m.y + a.i AS qy, m.x + b.i AS qx, sum(power(2, 2 * a.i + b.i)) AS q, count(*) AS n FROM m, range(0, 2) a(i), range(0, 2) b(i) GROUP BY 1, 2) SELECT CAST((sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN q IN (6, 9) THEN -2 ELSE 0 END)) / 4 AS BIGINT) AS euler FROM w")
 _add("fill_holes", lambda s, d: regions.fill_holes(_mask(s, d), _levels(s, d), *_size(s, d)).drop("image_id"), MASK.replace("WITH s AS", "WITH RECURSIVE s AS") + ", k AS (SELECT y, x FROM q EXCEPT SELECT y, x FROM m), r(y, x) AS (SELECT y, x FROM k WHERE y = 0 OR x = 0 OR y = (SELECT max(y) FROM q) OR x = (SELECT max(x) FROM q) UNION SELECT k.y, k.x FROM r JOIN k ON abs(r.y - k.y) + abs(r.x - k.x) = 1) SELECT y, x FROM q EXCEPT SELECT y, x FROM r")
-_add("regional_maxima", lambda s, d: regions.regional_maxima(rasters.quantity_raster(s, d)).drop("image_id"), Q + " SELECT y, x FROM q a WHERE v = (SELECT max(b.v) FROM q b WHERE abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)")
+_add(
+    "regional_maxima",
+    lambda s, d: regions.regional_maxima(rasters.quantity_raster(s, d)).drop("image_id"),
+    Q.replace("WITH s AS", "WITH RECURSIVE s AS") + """, w(y, x, v) AS (SELECT a.y, a.x, a.v FROM q a WHERE EXISTS (SELECT 1 FROM q b WHERE abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND b.v > a.v)
+    UNION SELECT q.y, q.x, q.v FROM w JOIN q ON abs(w.y - q.y) <= 1 AND abs(w.x - q.x) <= 1 AND w.v = q.v)
+    SELECT y, x FROM q EXCEPT SELECT y, x FROM w""",
+)
 _add("distance_transform", lambda s, d: _pixels(regions.distance_to(_mask(s, d), _levels(s, d).join(_mask(s, d), ["image_id", "y", "x"], "left_anti")), "y", "x", "distance"), MASK + ", k AS (SELECT y, x FROM q EXCEPT SELECT y, x FROM m) SELECT m.y, m.x, round(min(sqrt(power(m.y - k.y, 2) + power(m.x - k.x, 2))), 6) AS distance FROM m, k GROUP BY 1, 2")
 _add("clean_mask", lambda s, d: regions.cleaned(_labels(s, d)).drop("image_id"), _CC + ", g AS (SELECT y, x FROM l WHERE label = (SELECT label FROM z ORDER BY area DESC, label LIMIT 1)) SELECT y, x FROM l WHERE label IN (SELECT label FROM l JOIN z USING (label) WHERE area >= 2 AND EXISTS (SELECT 1 FROM g WHERE abs(g.y - l.y) <= 1 AND abs(g.x - l.x) <= 1))".replace("g AS", "big AS").replace("FROM g", "FROM big").replace("g.y", "big.y").replace("g.x", "big.x"))
-_add("quadrants", lambda s, d: raster.quadrants_filled(_mask(s, d), *_size(s, d)).drop("image_id"), MASK + ", w AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM q) SELECT count(DISTINCT CASE WHEN y < w.h // 2 THEN 0 ELSE 1 END * 2 + CASE WHEN x < w.w // 2 THEN 0 ELSE 1 END) = 4 AS filled FROM m, w")
+_add(
+    "quadrants",
+    lambda s, d: raster.quadrants_filled(_mask(s, d), *_size(s, d)).drop("image_id"),
+    MASK + """, w AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM q)
+    SELECT bool_or(y + 1 <= ceil(h / 2.0) AND x + 1 <= ceil(w.w / 2.0)) AND bool_or(y + 1 >= floor(h / 2.0) AND x + 1 <= ceil(w.w / 2.0))
+    AND bool_or(y + 1 <= ceil(h / 2.0) AND x + 1 >= floor(w.w / 2.0)) AND bool_or(y + 1 >= floor(h / 2.0) AND x + 1 >= floor(w.w / 2.0)) AS filled FROM m, w""",
+)
+
 
 # geometry of rasters
 _on_q("rotate90", lambda r: raster.rotated90(r, 1), " SELECT (SELECT max(x) FROM q) - x AS y, y AS x, v FROM q")
@@ -197,7 +269,13 @@ _add("densify_polyline", lambda s, d: _pixels(points.densified(_routes(s, d), 10
 _add("simplify_polyline", lambda s, d: points.simplified(_routes(s, d), 6.0).select("seq"), _ROUTES + f", k AS (SELECT seq, px, py, lag(px) OVER t AS ax, lag(py) OVER t AS ay, lead(px) OVER t AS bx, lead(py) OVER t AS by_ FROM p {_ALONG}) SELECT seq FROM k WHERE (ax IS NULL OR bx IS NULL OR abs((px - ax) * (by_ - ay) - (py - ay) * (bx - ax)) > 1e-9) AND (ax IS NULL OR sqrt(power(px - ax, 2) + power(py - ay, 2)) >= 6)")
 _add("convex_hull", lambda s, d: points.convex_hull(_customers(s, d)).select("px", "py"))
 _add("circle_contacts", lambda s, d: points.contacts(_customers(s, d).select(F.col("seq").alias("id"), F.col("px").alias("cx"), F.col("py").alias("cy"), (F.col("seq") % 3 / 4).cast("double").alias("r"))), _PTS + ", c AS (SELECT seq AS id, px, py, CAST(seq % 3 AS DOUBLE) / 4 AS r FROM p) SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.id < b.id AND sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) <= 1.1::DOUBLE * (a.r + b.r)")
-_add("hex_lattice", lambda s, d: _pixels(points.hex_lattice(s, 64, 64, 5.0), "row", "col", "cx", "cy"), "WITH k AS (SELECT r.i AS row, c.i AS col, 1 + c.i * 10.0::DOUBLE + (r.i % 2) * 5.0 AS cx, 1 + r.i * 5.0::DOUBLE * sqrt(3) AS cy FROM range(0, 8) r(i), range(0, 7) c(i)) SELECT row, col, round(cx, 6) AS cx, round(cy, 6) AS cy FROM k WHERE cx <= 64")
+_add(
+    "hex_lattice",
+    lambda s, d: _pixels(points.hex_lattice(s, _size(s, d)[1], 5.0, math.ceil(_size(s, d)[0] / (5 * math.sqrt(3)))), "row", "col", "cx", "cy"),
+    Q + """, w AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM q)
+    SELECT CAST(r.i AS BIGINT) AS row, CAST(c.i AS BIGINT) AS col, round(-w + 10.0::DOUBLE * c.i + 5.0::DOUBLE * r.i, 6) AS cx, round(1 + r.i * 5.0::DOUBLE * sqrt(3), 6) AS cy
+    FROM w, range(0, (SELECT CAST(ceil(h / (5 * sqrt(3))) AS BIGINT) FROM w)) r(i), range(0, (SELECT CAST(floor(2 * w / 10.0) + 1 AS BIGINT) FROM w)) c(i)""",
+)
 _TRI = "WITH t AS (SELECT c_custkey AS id, CAST(c_custkey % 13 AS DOUBLE) AS ax, CAST(c_custkey % 7 AS DOUBLE) AS ay, CAST(20 + c_custkey % 5 AS DOUBLE) AS bx, CAST(c_custkey % 3 AS DOUBLE) AS by_, CAST(c_custkey % 11 AS DOUBLE) AS cx, CAST(30 + c_custkey % 17 AS DOUBLE) AS cy FROM customer)"
 
 
@@ -209,12 +287,62 @@ def _triangles(s: SparkSession, d: str) -> DataFrame:
 _add("circumcenters", lambda s, d: _pixels(points.circumcenter(_triangles(s, d)), "id", "ux", "uy", "radius"), _TRI + ", k AS (SELECT *, 2 * (ax * (by_ - cy) + bx * (cy - ay) + cx * (ay - by_)) AS d, ax * ax + ay * ay AS a2, bx * bx + by_ * by_ AS b2, cx * cx + cy * cy AS c2 FROM t), u AS (SELECT id, ax, ay, (a2 * (by_ - cy) + b2 * (cy - ay) + c2 * (ay - by_)) / d AS ux, (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d AS uy FROM k) SELECT id, round(ux, 6) AS ux, round(uy, 6) AS uy, round(sqrt(power(ux - ax, 2) + power(uy - ay, 2)), 6) AS radius FROM u")
 _LINES = "SELECT * FROM VALUES (0, 0, 0.0D, 0.0D, 10.0D, 1.0D), (1, 0, 0.0D, 4.0D, 10.0D, 5.0D), (2, 0, 0.0D, 8.0D, 10.0D, 9.5D), (3, 1, 1.0D, 0.0D, 0.5D, 9.0D), (4, 1, 5.0D, 0.0D, 5.0D, 9.0D), (5, 1, 9.0D, 0.0D, 9.5D, 9.0D) AS l(id, grp, x1, y1, x2, y2)"
 _add("grid_points", lambda s, d: _pixels(points.line_crossings(s.sql(_LINES)), "a", "b", "px", "py"), "WITH l AS (SELECT * FROM (VALUES (0, 0, 0.0, 0.0, 10.0, 1.0), (1, 0, 0.0, 4.0, 10.0, 5.0), (2, 0, 0.0, 8.0, 10.0, 9.5), (3, 1, 1.0, 0.0, 0.5, 9.0), (4, 1, 5.0, 0.0, 5.0, 9.0), (5, 1, 9.0, 0.0, 9.5, 9.0)) v(id, grp, x1, y1, x2, y2)), k AS (SELECT a.id AS a, b.id AS b, a.x1::DOUBLE AS x1, a.y1::DOUBLE AS y1, (a.x2 - a.x1)::DOUBLE AS ux, (a.y2 - a.y1)::DOUBLE AS uy, (b.x2 - b.x1)::DOUBLE AS vx, (b.y2 - b.y1)::DOUBLE AS vy, (b.x1 - a.x1)::DOUBLE AS wx, (b.y1 - a.y1)::DOUBLE AS wy FROM l a JOIN l b ON a.grp = 0 AND b.grp = 1) SELECT a, b, round(x1 + (wx * vy - wy * vx) / (ux * vy - uy * vx) * ux, 6) AS px, round(y1 + (wx * vy - wy * vx) / (ux * vy - uy * vx) * uy, 6) AS py FROM k")
-_QUAD = {"m1": (0, 0), "m2": (4, 0), "m3": (4, 3), "m4": (0, 3), "f1": (0, 0), "f2": (3.4, 2.1), "f3": (1.9, 4.7), "f4": (-1.6, 2.6)}
-_COLS = [f"{v}D AS {n}{c}" for n, p in _QUAD.items() for c, v in zip("xy", map(float, p), strict=True)]
-_ANGLE = "degrees(acos((({0}.x - {1}.x) * ({2}.x - {3}.x) + ({0}.y - {1}.y) * ({2}.y - {3}.y)) / (sqrt(power({0}.x - {1}.x, 2) + power({0}.y - {1}.y, 2)) * sqrt(power({2}.x - {3}.x, 2) + power({2}.y - {3}.y, 2)))))"
-_DIST = "sqrt(power({0}.x - {1}.x, 2) + power({0}.y - {1}.y, 2))"
-_add("rotation_and_scale", lambda s, d: _pixels(points.rotation_and_scale(s.sql(f"SELECT 1 AS id, {', '.join(_COLS)}")), "id", "theta", "scale"), "SELECT 1 AS id, round((" + _ANGLE.format("m2", "m1", "f2", "f1") + " + " + _ANGLE.format("m3", "m4", "f3", "f4") + ") / 2, 6) AS theta, round((" + f"{_DIST.format('f3', 'f1')} / {_DIST.format('m3', 'm1')} + {_DIST.format('f4', 'f2')} / {_DIST.format('m4', 'm2')}" + ") / 2, 6) AS scale FROM " + ", ".join(f"(SELECT {float(x)}::DOUBLE AS x, {float(y)}::DOUBLE AS y) {n}" for n, (x, y) in _QUAD.items()))
-_add("resize_kernel", lambda s, d: s.range(-25, 26).select(F.col("id").alias("k"), F.round(points.resize_kernel(F.col("id") / 10), 6).alias("w")), "SELECT i AS k, round(CASE WHEN abs(i) <= 10 THEN 1.5 * power(abs(i) / 10.0::DOUBLE, 3) - 2.5 * power(i / 10.0::DOUBLE, 2) + 1 WHEN abs(i) <= 20 THEN -0.5 * power(abs(i) / 10.0::DOUBLE, 3) + 2.5 * power(i / 10.0::DOUBLE, 2) - 4 * abs(i) / 10.0::DOUBLE + 2 ELSE 0 END, 6) AS w FROM range(-25, 26) t(i)")
+#: Two quads for every supplier, from its number.
+_QUADS = {"m1x": "0", "m1y": "0", "m2x": "4 + k % 3", "m2y": "(k % 5) / 10.0", "m3x": "4 + k % 3", "m3y": "3 + k % 4", "m4x": "(k % 2) / 2.0", "m4y": "3"}
+_QUADS |= {"f1x": "0", "f1y": "0", "f2x": "3 + k % 4", "f2y": "k % 7 - 3", "f3x": "2 + k % 3", "f3y": "5 + k % 2", "f4x": "0 - k % 3", "f4y": "4"}
+_QUAD_SQL = "SELECT k AS id, " + ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for n, v in _QUADS.items())
+
+
+def _to_north(q: str, i: int, j: int) -> str:
+    """The angle in degrees between the edge from corner i to j and the direction (0, -1)."""
+    return f"degrees(acos((-1 * ({q}{j}y - {q}{i}y)) / sqrt(power({q}{j}x - {q}{i}x, 2) + power({q}{j}y - {q}{i}y, 2))))"
+
+
+def _diagonal(q: str, i: int, j: int) -> str:
+    return f"sqrt(power({q}{j}x - {q}{i}x, 2) + power({q}{j}y - {q}{i}y, 2))"
+
+
+def _quads(s: SparkSession, d: str) -> DataFrame:
+    k = rasters.table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    return k.select(F.col("k").alias("id"), *[F.expr(f"CAST({v} AS DOUBLE)").alias(n) for n, v in _QUADS.items()])
+
+
+_add(
+    "rotation_and_scale",
+    lambda s, d: _pixels(points.rotation_and_scale(_quads(s, d)), "id", "theta", "scale"),
+    f"""WITH qd AS ({_QUAD_SQL} FROM (SELECT s_suppkey AS k FROM supplier))
+    SELECT id, round(({_to_north('f', 1, 2)} + {_to_north('f', 4, 3)}) / 2 - ({_to_north('m', 1, 2)} + {_to_north('m', 4, 3)}) / 2, 6) AS theta,
+    round(({_diagonal('f', 1, 3)} / {_diagonal('m', 1, 3)} + {_diagonal('f', 2, 4)} / {_diagonal('m', 2, 4)}) / 2, 6) AS scale FROM qd""",
+)
+_RATIONAL = """CASE WHEN abs({0}) <= 1 THEN (-0.168 * {0} * {0} - 0.9129 * abs({0}) + 1.0808) / ({0} * {0} - 0.8319 * abs({0}) + 1.0808)
+WHEN abs({0}) <= 2 THEN (0.1953 * {0} * {0} - 0.5858 * abs({0}) + 0.3905) / ({0} * {0} - 2.4402 * abs({0}) + 1.7676) ELSE 0 END"""
+_add(
+    "resize_kernel",
+    lambda s, d: rasters.table(s, d, "part").select((F.col("p_partkey") % 51 - 25).alias("k")).distinct().select("k", F.round(raster.rational_kernel(F.col("k") / 10), 6).alias("w")),
+    f"SELECT k, round({_RATIONAL.format('(k / 10.0::DOUBLE)')}, 6) AS w FROM (SELECT DISTINCT p_partkey % 51 - 25 AS k FROM part)",
+)
+
+
+def _resize_sql(source: str, along: str, across: str, size: str, scale: str, kernel: str, support: int) -> str:
+    """One axis of a resize: every output place, its taps, the nearest pixel beyond the border."""
+    squeeze = f"least({scale}, 1.0::DOUBLE)"
+    return f"""(SELECT b.{across}, t.{along}, sum(w * b.v) / sum(w) AS v FROM (SELECT {along}, i, {kernel.format('(k * (m - i))')} AS w, CAST(greatest(0, least(i, n - 1)) AS BIGINT) AS at
+    FROM (SELECT {along}, m, k, n, unnest(range(CAST(floor(m - {support / 2} / k) AS BIGINT), CAST(floor(m - {support / 2} / k) AS BIGINT) + CAST(ceil({support} / k) AS BIGINT) + 2)) AS i
+    FROM (SELECT CAST(u.u AS BIGINT) AS {along}, (u.u + 0.5::DOUBLE) / ({scale}) - 0.5 AS m, {squeeze} AS k, n FROM (SELECT max({along}) + 1 AS n FROM {source}) z, range(0, {size.format(f'(SELECT max({along}) + 1 FROM {source})')}) u(u)))) t
+    JOIN {source} b ON b.{along} = t.at GROUP BY 1, 2)"""
+
+
+_CUBIC = """CASE WHEN abs({0}) <= 1 THEN 1.5 * power(abs({0}), 3) - 2.5 * {0} * {0} + 1 WHEN abs({0}) <= 2 THEN -0.5 * power(abs({0}), 3) + 2.5 * {0} * {0} - 4 * abs({0}) + 2 ELSE 0 END"""
+for _n, _k, _kernel, _f in (("resize_rational", "rational", _RATIONAL, 0.4), ("resize_cubic", "cubic", _CUBIC, 1.5)):
+    _half = _resize_sql("q", "y", "x", f"CAST(ceil({{0}} * {_f}::DOUBLE) AS BIGINT)", f"{_f}::DOUBLE", _kernel, 4)
+    _whole_sql = _resize_sql("h1", "x", "y", f"CAST(ceil({{0}} * {_f}::DOUBLE) AS BIGINT)", f"{_f}::DOUBLE", _kernel, 4)
+    _on_q(_n, lambda r, k=_k, f=_f: raster.resized(r, f, kernel=k), f", h1 AS {_half} SELECT y, x, round(v, 6) AS v FROM {_whole_sql}")
+_on_q(
+    "resize_to_size",
+    lambda r: raster.resized(r, size=(16, 16), kernel="linear"),
+    f""", h1 AS {_resize_sql('q', 'y', 'x', '16', '16.0::DOUBLE / n', 'greatest(0.0, 1 - abs({0}))', 2)}
+    SELECT y, x, round(v, 6) AS v FROM {_resize_sql('h1', 'x', 'y', '16', '16.0::DOUBLE / n', 'greatest(0.0, 1 - abs({0}))', 2)}""",
+)
 _add("polynomial_fit", lambda s, d: points.polynomial_fit(_customers(s, d)).select(F.round(F.get("coef", 0), 4).alias("c0"), F.round(F.get("coef", 1), 5).alias("c1"), F.round("adj_r2", 6).alias("adj_r2")))
 _add("windows_of_interest", lambda s, d: points.accept_windows(_customers(s, d).select(F.lit("q").alias("image_id"), "seq", (F.col("px") % 50).cast("long").alias("x"), (F.col("py") % 50).cast("long").alias("y")), _levels(s, d).filter("v >= 0").drop("v"), 6, 6, 8).drop("image_id"))
 

@@ -31,7 +31,14 @@ def _channels(s: SparkSession, d: str) -> DataFrame:
 _CHANNELS = LEVELS + ", c AS (SELECT k.k, y, x FROM lv, (SELECT unnest([40, 60, 100]) AS k) k WHERE v >= k.k)"
 _add("combine_by_area", lambda s, d: enhance.combine_by_area(_channels(s, d), _size(s, d)[0] * _size(s, d)[1]).drop("image_id"), _CHANNELS + ", a AS (SELECT k, count(*) * 1.0 / (SELECT count(*) FROM q) AS p FROM c GROUP BY 1), f AS (SELECT k FROM a WHERE (p > 0.67 AND p < 0.93) OR (SELECT count(*) FROM a WHERE p > 0.67 AND p < 0.93) = 0) SELECT y, x FROM c JOIN f USING (k) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM f)")
 _add("mask_votes", lambda s, d: enhance.votes(_channels(s, d), 2).drop("image_id"), _CHANNELS + " SELECT y, x FROM c GROUP BY 1, 2 HAVING count(*) >= 2")
-_add("fill_check", lambda s, d: enhance.fill_is_sound(_mask(s, d), regions.fill_holes(_mask(s, d), _levels(s, d), *_size(s, d)), _size(s, d)[0] * _size(s, d)[1]).drop("image_id"), _SQL["fill_holes"].replace(" SELECT y, x FROM q EXCEPT SELECT y, x FROM r", ", f AS (SELECT y, x FROM q EXCEPT SELECT y, x FROM r) SELECT (SELECT count(*) FROM f) > (SELECT count(*) FROM m) AND (SELECT count(*) FROM f) * 1.0 / (SELECT count(*) FROM q) BETWEEN 0.15 AND 0.93 AS sound"))
+_add(
+    "fill_check",
+    lambda s, d: enhance.fill_is_sound(_mask(s, d), regions.fill_holes(_mask(s, d), _levels(s, d), *_size(s, d)), _size(s, d)[0] * _size(s, d)[1]).drop("image_id"),
+    _SQL["fill_holes"].replace(" SELECT y, x FROM q EXCEPT SELECT y, x FROM r", """, f AS (SELECT y, x FROM q EXCEPT SELECT y, x FROM r),
+    pf AS (SELECT y, x FROM f a WHERE (SELECT count(*) FROM f b WHERE abs(a.y - b.y) + abs(a.x - b.x) = 1) < 4),
+    k AS (SELECT (SELECT count(*) FROM f) AS f, (SELECT count(*) FROM m) AS m, (SELECT count(*) FROM q) AS q, (SELECT count(*) FROM pf) AS p, (SELECT count(*) FROM pf JOIN m USING (y, x)) AS b)
+    SELECT f = m OR (2.0 * b / (p + m) >= 0.5 AND f <= 0.93 * q AND f >= 10 AND m >= 10 AND f >= 0.15 * q) AS sound FROM k""").replace(", k AS (SELECT y, x FROM q EXCEPT SELECT y, x FROM m)", ", kk AS (SELECT y, x FROM q EXCEPT SELECT y, x FROM m)").replace("FROM k WHERE y = 0", "FROM kk WHERE y = 0").replace("SELECT k.y, k.x FROM r JOIN k ON abs(r.y - k.y) + abs(r.x - k.x) = 1", "SELECT kk.y, kk.x FROM r JOIN kk ON abs(r.y - kk.y) + abs(r.x - kk.x) = 1"),
+)
 _add("polygon_mask", lambda s, d: enhance.polygon_mask(rasters.quantity_raster(s, d), [(1.5, 0.5), (8.5, 6.25), (2.25, 40.5)]).drop("image_id"), Q + ", e AS (SELECT 1.5 AS x0, 0.5 AS y0, 8.5 AS x1, 6.25 AS y1 UNION ALL SELECT 8.5, 6.25, 2.25, 40.5 UNION ALL SELECT 2.25, 40.5, 1.5, 0.5) SELECT y, x FROM q, e WHERE ((y0 > y) <> (y1 > y)) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 GROUP BY 1, 2 HAVING count(*) % 2 = 1")
 _add("histogram_median", lambda s, d: _pixels(enhance.moving_median(_levels(s, d)), "bin", "n", "m"), LEVELS + " SELECT bin, n, round(median(n) OVER (ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS m FROM h")
 _TWO = _PTS + ", t AS (SELECT * FROM p UNION ALL SELECT 'supplier', s_suppkey, CAST(s_suppkey % 23 AS DOUBLE), CAST(s_suppkey % 31 AS DOUBLE) FROM supplier)"
@@ -58,7 +65,7 @@ for _name, _f in {
 }.items():
     _on_q(_name, _f)
 _add("impose_minima", lambda s, d: _pixels(kernels.imposed_minima(rasters.quantity_raster(s, d), _mask(s, d)), "y", "x", "v"))
-_add("thin", lambda s, d: kernels.thinned(_mask(s, d)).drop("image_id"))
+_add("thin", lambda s, d: regions.thinned(_mask(s, d)).drop("image_id"))
 _add("trace_boundaries", lambda s, d: kernels.traced(_labels(s, d)).drop("image_id"))
 _add("reduce_polyline", lambda s, d: kernels.reduced(_routes(s, d), 15.0))
 _add("smooth_histogram", lambda s, d: _pixels(kernels.envelope_smoothed(raster.histogram(_levels(s, d))), "bin", "n"))
@@ -78,7 +85,7 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
 
 def extracted_windows(s: SparkSession, d: str, turns: int = 1) -> DataFrame:
     """The pixels of every accepted window, re-based to its corner and turned by quarter turns."""
-    cut = rasters.quantity_raster(s, d).join(F.broadcast(_windows(s, d).select("image_id", "roi", F.col("x").alias("x0"), F.col("y").alias("y0"))), "image_id").filter((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + 5) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + 5))
+    cut = rasters.quantity_raster(s, d).join(_windows(s, d).select("image_id", "roi", F.col("x").alias("x0"), F.col("y").alias("y0")), "image_id").filter((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + 5) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + 5))
     based = cut.select(F.concat_ws("/", "image_id", F.lpad("roi", 3, "0")).alias("image_id"), (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")
     return raster.rotated90(based, turns)
 
@@ -86,7 +93,7 @@ def extracted_windows(s: SparkSession, d: str, turns: int = 1) -> DataFrame:
 def replaced_window(s: SparkSession, d: str, drop: int = 0) -> DataFrame:
     """The accepted windows after one is rejected: its candidate is taken out, and the greedy choice made anew."""
     gone = _windows(s, d).filter(F.col("roi") == drop).select("seq")
-    seeds = _customers(s, d).join(F.broadcast(gone), "seq", "left_anti").select(F.lit("q").alias("image_id"), "seq", (F.col("px") % 50).cast("long").alias("x"), (F.col("py") % 50).cast("long").alias("y"))
+    seeds = _customers(s, d).join(gone, "seq", "left_anti").select(F.lit("q").alias("image_id"), "seq", (F.col("px") % 50).cast("long").alias("x"), (F.col("py") % 50).cast("long").alias("y"))
     return points.accept_windows(seeds, _levels(s, d).drop("v"), 5, 5, 6)
 
 
@@ -102,7 +109,7 @@ def tissue_mask(s: SparkSession, d: str) -> DataFrame:
     light = raster.lab(rasters.rgb_raster(s, d)).select("image_id", "y", "x", (100 - F.col("l")).alias("v"))
     soft = raster.levels(segment.diffused(raster.closed(light), 2, 10.0))
     cut = raster.otsu(soft).withColumn("threshold", F.col("threshold") / 1.5)
-    return segment.two_region_contour(soft, regions.largest(regions.label(raster.binarize(soft, cut), tile=64)), 15)
+    return segment.two_region_contour(soft, regions.largest(regions.label(raster.binarize(soft, cut))), 15)
 
 
 def texture_mask(s: SparkSession, d: str) -> DataFrame:
@@ -120,9 +127,9 @@ def colour_distance_mask(s: SparkSession, d: str) -> DataFrame:
     """Weights by difference to the image's border colour, cut at Otsu, two largest regions kept."""
     rgb = rasters.rgb_raster(s, d)
     edge = rgb.filter("y = 0 or x = 0").groupBy("image_id").agg(*[F.avg(c).alias(f"m{c}") for c in "rgb"])
-    far = rgb.join(F.broadcast(edge), "image_id").select("image_id", "y", "x", F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "rgb"), F.lit(0.0))).alias("v"))
+    far = rgb.join(edge, "image_id").select("image_id", "y", "x", F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "rgb"), F.lit(0.0))).alias("v"))
     lv = raster.levels(far)
-    return regions.largest(regions.label(raster.binarize(lv, raster.otsu(lv)), tile=64), 2)
+    return regions.largest(regions.label(raster.binarize(lv, raster.otsu(lv))), 2)
 
 
 def morphology_mask(s: SparkSession, d: str) -> DataFrame:
