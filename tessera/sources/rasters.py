@@ -23,6 +23,15 @@ def quantity_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(sums, ["y", "x"], "left").select(F.lit("q").alias("image_id"), "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
 
 
+def parts_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-numbered raster with a row of 64 pixels for each part number: summed quantity by supplier number mod 64."""
+    lines = table(spark, sf_dir, "lineitem")
+    sums = lines.groupBy(F.col("l_partkey").alias("y"), (F.col("l_suppkey") % 64).alias("x")).agg(F.sum("l_quantity").cast("long").alias("v"))
+    last = sums.agg(F.max("y").alias("my"))
+    cells = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("my"))).alias("y")).select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("x"))
+    return cells.join(sums, ["y", "x"], "left").select(F.lit("parts").alias("image_id"), "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
+
+
 def embedding_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real-valued raster: one row of pixels for each vector."""
     e = table(spark, sf_dir, "embeddings")
