@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import tempfile
@@ -33,13 +34,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def purge(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote for this application, once its results have been read or stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``materialize``, in buckets by ``key``: joins on it move only the other side. The table is in the session's catalogue."""
+    spark = df.sparkSession
+    made = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{made}"
+    df.write.format("parquet").bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(f"tessera_{made}")
+    return spark.table(f"tessera_{made}")
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in written:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver collects its garbage, by itself every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete what ``materialize`` and ``bucketed`` wrote for this application, once its results have been read or stored."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("tessera_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    _delete(spark, f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:

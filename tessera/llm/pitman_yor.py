@@ -1,10 +1,14 @@
 """Language-model scores from a hierarchical Pitman-Yor model of a corpus.
 
 Every word, and the end of a text, is a context restaurant over the next token; all context restaurants share one
-parent over words, whose base is uniform over the known words and the event of a new word. Blocks of texts send
-their distinct pairs, packed, to the part that a hash of the context names; there the restaurants are sampled where
-they lie. Contexts with at least 1/HOT of the tokens (at most HOT) are spread over all parts, with a shared gamma
-variable. Only those contexts' totals and a few sums reach the driver; parts exchange the parent's tables by word.
+parent over words, whose base is uniform over the known words and the event of a new word.
+
+Words get numbers first: each block of texts sends its distinct word hashes to their homes (a hash of the word),
+which number them, commonest first. From then on only numbers travel, packed. Blocks send their distinct pairs to
+the part of the context (its home); there the restaurants are sampled where they lie. Contexts with at least 1/HOT of
+the tokens (at most HOT) are spread over all parts, with a shared gamma variable. Parts and homes exchange the
+parent's tables by word. Blocks and restaurants are stored in buckets, so that they never cross the network again:
+what is sent to them is joined to them where they lie. Only the hot contexts' totals and a few sums reach the driver.
 """
 
 from __future__ import annotations
@@ -18,17 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import doc_key, materialize, small_batches, whole_text
+from .common import bucketed, doc_key, forget, materialize, release, small_batches, whole_text
 
 HOT, BLOCK_BYTES, PART_TOKENS, LEAST_PARTS, ROUNDS, BURN_IN, SAMPLES, SEED = 1024, 8 << 20, 2_000_000, 24, 2, 8, 8, 3
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
-MOST_TABLES, EXACT_COUNT, LARGEST_COUNT = 2048, 256, 16_384
+#: Up to LARGEST_COUNT customers and a mean of FEW_TABLES, table numbers are drawn from rows of Stirling numbers.
+FEW_TABLES, ROW_TABLES, EXACT_COUNT, LARGEST_COUNT = 1024, 2048, 256, 16_384
 
 
 # Gibbs sampling
 
 
-def stirling_rows(discount: float, most: int = LARGEST_COUNT, tables: int = MOST_TABLES) -> tuple[np.ndarray, np.ndarray]:
+def stirling_rows(discount: float, most: int = LARGEST_COUNT, tables: int = ROW_TABLES) -> tuple[np.ndarray, np.ndarray]:
     """log generalised Stirling numbers: (counts, rows); rows[i, t - 1] is for counts[i] customers at t tables.
 
     Every count up to EXACT_COUNT has a row, larger ones 16 rows an octave up to ``most``, where their shape over t
@@ -53,14 +58,44 @@ def stirling_rows(discount: float, most: int = LARGEST_COUNT, tables: int = MOST
     return np.array(grid), np.array(rows)
 
 
-def sample_tables(count: np.ndarray, log_rate: np.ndarray, grid: np.ndarray, rows: np.ndarray, rng: np.random.Generator, cells: int = 1 << 21) -> np.ndarray:
-    """Draw table numbers t with p(t) in proportion to S(count, t) exp(t log_rate), for each dish of each restaurant."""
+def large_seating(count: np.ndarray, log_rate: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the number of tables, p(t) in proportion to S(count, t) exp(t log_rate), by its saddle point.
+
+    S(c, t) is c! / t! times the coefficient of x^c in u(x)^t, u(x) = (1 - (1 - x)^d) / d. Tilted by the x = 1 - s at
+    which the mean of c is right, (t, c) has Poisson moments; those of t given c follow.
+    """
+    low, high = np.full(len(count), -700.0), np.zeros(len(count))  # log s
+    for _ in range(70):
+        middle = (low + high) / 2
+        more = log_rate + np.log1p(-np.exp(np.minimum(middle, -1e-300))) + (discount - 1) * middle > np.log(count)
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    s = np.exp((low + high) / 2)
+    x, rate = 1 - s, np.exp(log_rate)
+    u = -np.expm1(discount * np.log(s)) / discount
+    return rate * u, rate * np.maximum(u - x * s**discount / (s + x * (1 - discount)), 1e-12)
+
+
+def sample_tables(count: np.ndarray, log_rate: np.ndarray, grid: np.ndarray, rows: np.ndarray, rng: np.random.Generator, cells: int = 1 << 21, discount: float = 0.5) -> np.ndarray:
+    """Draw table numbers t with p(t) in proportion to S(count, t) exp(t log_rate), for each dish of each restaurant.
+
+    Counts above the last row, and those whose mean is above FEW_TABLES, are drawn from the limit law at their own
+    count and rate: one more than a Poisson number while few tables are likely, else a rounded normal.
+    """
     at = np.minimum(np.searchsorted(grid, count), len(grid) - 1)
     lower = np.maximum(at - 1, 0)
     at = np.where((at > 0) & (count - grid[lower] < grid[at] - count), lower, at)
     out = np.ones(len(count), np.int64)
+    large = np.flatnonzero((count > grid[-1]) | (count > FEW_TABLES) & (log_rate > np.log(FEW_TABLES * discount)))
+    if len(large):
+        mean, spread = large_seating(count[large].astype(float), log_rate[large], discount)
+        big = (mean > FEW_TABLES) | (count[large] > grid[-1])
+        large, mean, spread = large[big], mean[big], spread[big]
+        normal = np.rint(mean + np.sqrt(spread) * rng.standard_normal(len(large)))
+        out[large] = np.clip(np.where(mean < 50, 1 + rng.poisson(np.minimum(mean, 50)), normal), 1, count[large])
+    rest = np.ones(len(count), bool)
+    rest[large] = False
     order = np.argsort(at, kind="stable")
-    order = order[count[order] > 1]
+    order = order[(count[order] > 1) & rest[order]]
     edges = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]) if len(order) else []
     for a, b in zip(edges, np.r_[edges[1:], len(order)].astype(int) if len(order) else [], strict=True):
         width = int(min(grid[at[order[a]]], rows.shape[1]))
@@ -70,7 +105,7 @@ def sample_tables(count: np.ndarray, log_rate: np.ndarray, grid: np.ndarray, row
             w = log_s + log_rate[who][:, None] * t
             w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
             out[who] = 1 + (w < (rng.random(len(who)) * w[:, -1])[:, None]).sum(axis=1)
-    return np.minimum(out, count)
+    return np.minimum(out, np.maximum(count, 1))
 
 
 def discount_of(counts: np.ndarray, n: np.ndarray | None = None) -> float:
@@ -100,12 +135,12 @@ def gibbs(u: np.ndarray, w: np.ndarray, c: np.ndarray, classes: int, burn_in: in
     mean = np.zeros((classes, classes))
     for sweep in range(burn_in + samples):
         g = rng.gamma(theta / d + np.bincount(u, t, classes))
-        t = sample_tables(c, np.log(np.maximum(d * g[u] * parent[w], 1e-300)), grid, rows, rng)
+        t = sample_tables(c, np.log(np.maximum(d * g[u] * parent[w], 1e-300)), grid, rows, rng, discount=d)
         customers = np.bincount(w, t, classes).astype(np.int64)
         have = np.flatnonzero(customers)
         t0 = np.zeros(classes, np.int64)
         g0 = rng.gamma(theta0 / d0 + max(1, len(have)))
-        t0[have] = sample_tables(customers[have], np.log(d0 * g0 * base[have]), grid0, rows0, rng)
+        t0[have] = sample_tables(customers[have], np.log(d0 * g0 * base[have]), grid0, rows0, rng, discount=d0)
         draw = rng.gamma(np.r_[np.maximum(customers - d0 * t0, 1e-9), theta0 + d0 * t0.sum()])
         draw /= draw.sum()
         parent = draw[:-1] + draw[-1] * base
@@ -119,7 +154,7 @@ def gibbs(u: np.ndarray, w: np.ndarray, c: np.ndarray, classes: int, burn_in: in
 
 # Corpus passes
 
-BLOCKS = "block long, learnt long, docs binary, nulls binary, held binary, ends binary, hashes binary, counts binary, ids binary"
+BLOCKS = "block long, learnt long, tokens long, body array<binary>"
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,20 +196,20 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where = place[where]
             learn = np.repeat(held[at:end] == 0, sizes)
             counts = np.bincount(where[learn], minlength=len(rank))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([int(learn.sum())]), *(pa.array([x.tobytes()], pa.binary()) for x in (docs[at:end], nulls[at:end], held[at:end], np.cumsum(sizes), hashes[rank], counts, where.astype(np.uint32)))],
-                names=[x.split()[0] for x in BLOCKS.split(", ")],
-            )
+            body = [_packed(x) for x in (docs[at:end], nulls[at:end], held[at:end], np.cumsum(sizes), hashes[rank], counts, where.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(learn.sum())]), pa.array([len(tokens)]), pa.array([body], pa.list_(pa.binary()))], names=[x.split()[0] for x in BLOCKS.split(", ")])
             at, number = end, number + 1
 
 
-#: What parts and blocks send each other: packed arrays, and two numbers to sum.
+#: What blocks, homes and parts send each other: packed arrays, and two numbers to sum.
 MAIL = "dest long, kind int, src long, body array<binary>, a double, b double"
-PAIRS, TABLES, SEATS, PLACES, HOT_SUMS, WEIGHTS, STORE, CONTEXTS, CHANCES, ASKED, FACTS, PAYLOAD = range(12)
+ASKED, NUMBERS, HOT_WORDS, PAIRS, TABLES, HOT_SUMS, STORE, WEIGHTS, CONTEXTS, CHANCES, FACTS = range(11)
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Bytes of equal place side by side, compressed."""
+    """Bytes of equal place side by side, compressed; whole numbers in the least width that holds them."""
+    if x.dtype.kind in "iu" and x.dtype.itemsize > 1 and len(x) and x.min() >= 0:
+        x = x.astype(np.min_scalar_type(int(x.max())))
     head = f"{x.dtype.str} {len(x)} ".encode()
     return head + pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), "zstd", asbytes=True) if len(x) else head
 
@@ -187,6 +222,23 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(np.frombuffer(pa.decompress(rest, n * kind.itemsize, "zstd", asbytes=True), np.uint8).reshape(kind.itemsize, n).T.tobytes(), kind)
 
 
+def _whole(b: bytes) -> np.ndarray:
+    return _unpacked(b).astype(np.int64)
+
+
+def _signed(b: bytes) -> np.ndarray:
+    return _unpacked(b).astype(np.int64)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Rising numbers as their differences."""
+    return _packed(np.diff(x, prepend=0))
+
+
+def _rising(b: bytes) -> np.ndarray:
+    return _whole(b).cumsum()
+
+
 def _mail(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.float64(), pa.float64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*r, 0.0, 0.0)[:6] for r in rows), strict=True), types, strict=True)], names=[x.split()[0] for x in MAIL.split(", ")])
@@ -224,90 +276,161 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def _block_pairs(hashes: np.ndarray, ids: np.ndarray, parts: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct pairs of a block by part: context and next word (indices), part, and the pair of each token."""
-    start = int(np.flatnonzero(hashes == END)[0])
-    code, where = np.unique(np.r_[start, ids[:-1]].astype(np.int64) * len(hashes) + ids, return_inverse=True)
-    u, w = code // len(hashes), code % len(hashes)
-    spread = _find(hot, hashes)[1][u]
-    part = _home(np.where(spread, hashes[u] ^ bytescan.mix(hashes[w]), hashes[u]), parts)
+def _ask(parts: int):
+    """Each block's distinct word hashes, with their counts in the training part, to the words' homes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes, counts = _unpacked(body[4].as_py()), _whole(body[5].as_py())
+                home = _home(hashes, parts)
+                order = np.lexsort([hashes, home])
+                yield _mail([(p, ASKED, block, [_packed(hashes[order[a:b]]), _packed(counts[order[a:b]])]) for p, a, b in _slices(home[order])])
+
+    return run
+
+
+def _number(parts: int, tokens: int):
+    """A home's words get numbers, commonest first; each block gets back its words' numbers and counts, the driver the hot words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, mails in _groups(batches):
+            asked = [(src, _unpacked(body[0]), _whole(body[1])) for _, src, body in mails]
+            words, where = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
+            count = np.bincount(where, np.concatenate([x[2] for x in asked]), len(words)).astype(np.int64)
+            order = np.argsort(-count, kind="stable")
+            number = np.empty(len(words), np.int64)
+            number[order] = np.arange(len(words))
+            hot = order[count[order] * HOT >= max(1, tokens)]
+            yield _mail([(home, HOT_WORDS, home, [_packed(number[hot] * parts + home), _packed(count[hot])], float((count > 0).sum()))])
+            first = 0
+            for src, h, _ in asked:
+                at = where[first : first + len(h)]
+                yield _mail([(src, NUMBERS, home, [_packed(number[at]), _packed(count[at])])])
+                first += len(h)
+
+    return run
+
+
+def _numbered(hashes: np.ndarray, mails: list[tuple[int, int, list[bytes]]], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers over all homes and counts of a block's words, from the homes' replies; and the order in which they were asked."""
+    order = np.lexsort([hashes, _home(hashes, parts)])
+    numbers, counts = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+    replies = sorted((src, body) for kind, src, body in mails if kind == NUMBERS)
+    numbers[order] = np.concatenate([_whole(body[0]) * parts + src for src, body in replies])
+    counts[order] = np.concatenate([_whole(body[1]) for _, body in replies])
+    return numbers, counts, order
+
+
+def _block_pairs(words: np.ndarray, start: int, ids: np.ndarray, parts: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of a block by part, context and next word, both in the order of their numbers: indices, part, and the pair of each token."""
+    by = np.argsort(words)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    token = rank[ids]
+    code, where = np.unique(np.r_[rank[start], token[:-1]] * len(words) + token, return_inverse=True)
+    u, w = by[code // len(words)], by[code % len(words)]
+    spread = _find(hot, words)[1][u]
+    part = words[u] % parts
+    part[spread] = (bytescan.mix(bytescan.mix(words[u[spread]].astype(np.uint64)) + words[w[spread]].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return u[order], w[order], part[order], place[where]
 
 
-def _ask(parts: int, hot: np.ndarray):
+def _pair_up(parts: int, hot: np.ndarray):
     """Each block's distinct pairs with their counts in the training part (0: in held-out texts only), to the context's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, held, ends, hashes, ids in zip(*(batch.column(c) for c in range(5)), strict=True):
-                hashes, ids = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(ids.as_buffer(), np.uint32)
-                ends = np.frombuffer(ends.as_buffer(), np.int64)
-                learn = np.repeat(np.frombuffer(held.as_buffer(), np.uint8) == 0, np.diff(np.r_[0, ends]))
-                u, w, part, where = _block_pairs(hashes, ids, parts, hot)
-                n = np.bincount(where[learn], minlength=len(u)).astype(np.uint32)
-                rows = []
-                for p, a, b in _slices(part):
-                    firsts = np.flatnonzero(np.r_[True, u[a + 1 : b] != u[a : b - 1]])
-                    words, at = np.unique(w[a:b], return_inverse=True)
-                    rows.append((p, PAIRS, block.as_py(), [_packed(x) for x in (hashes[u[a:b][firsts]], np.diff(np.r_[firsts, b - a]).astype(np.uint32), hashes[words], at.astype(np.uint32), n[a:b])]))
-                yield _mail(rows)
+        for block, body, mails in _with_mail(batches):
+            held, ends, hashes, ids = _whole(body[2]), _whole(body[3]), _unpacked(body[4]), _whole(body[6])
+            words, _, _ = _numbered(hashes, mails, parts)
+            learn = np.repeat(held == 0, np.diff(np.r_[0, ends]))
+            u, w, part, where = _block_pairs(words, int(np.flatnonzero(hashes == END)[0]), ids, parts, hot)
+            n = np.bincount(where[learn], minlength=len(u))
+            rows = []
+            for p, a, b in _slices(part):
+                firsts = np.flatnonzero(np.r_[True, u[a + 1 : b] != u[a : b - 1]])
+                contexts = words[u[a:b][firsts]]
+                rows.append((p, PAIRS, block, [_steps(contexts // parts), _packed(contexts % parts), _packed(np.diff(np.r_[firsts, b - a])), _packed(words[w[a:b]]), _packed(n[a:b])]))
+            yield _mail(rows)
 
     return run
 
 
-def _ask_words(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.frombuffer(hashes.as_buffer(), np.uint64)
-                home = _home(h, parts)
-                order = np.argsort(home, kind="stable")
-                yield _mail([(p, ASKED, block, [_packed(h[order[a:b]])]) for p, a, b in _slices(home[order])])
-
-    return run
+def _with_mail(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[tuple[int, int, list[bytes]]]]]:
+    """(number, body, mails) of stored rows joined to what was sent to them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            mails = batch.column(2)[i].as_py() or []
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), [(m["kind"], m["src"], m["body"]) for m in mails]
 
 
 def _tables_mail(part: int, words: np.ndarray, tables: np.ndarray, parts: int) -> list[tuple]:
-    """A part's tables by word, to the words' homes; words are sorted by home."""
-    return [(q, TABLES, part, [_packed(words[a:b]), _packed(tables[a:b])]) for q, a, b in _slices(_home(words, parts))]
+    """A part's tables by word, to the words' homes; words are sorted by home and number."""
+    return [(q, TABLES, part, [_steps(words[a:b] // parts), _packed(tables[a:b])]) for q, a, b in _slices(words % parts)]
+
 
+SEATS = "dest long, body array<binary>, blocks array<long>, places array<binary>, one double, two double"
 
-def _seat(parts: int, hot: np.ndarray):
-    """A part's restaurants: pairs of all blocks added up, at first one table a dish."""
+
+def _seat(parts: int):
+    """A part's restaurants: pairs of all blocks added up; and for each block where its pairs are among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, mails in _groups(batches):
             us, ws, ns, blocks = [], [], [], []
             for _, block, body in mails:
-                u, runs, words, at, n = map(_unpacked, body)
-                us.append(np.repeat(u, runs))
-                ws.append(words[at])
-                ns.append(n)
-                blocks.append((block, len(n)))
+                u = _rising(body[0]) * parts + _whole(body[1])
+                us.append(np.repeat(u, _whole(body[2])))
+                ws.append(_whole(body[3]))
+                ns.append(_whole(body[4]))
+                blocks.append((block, len(ws[-1])))
             del mails
             contexts, u = np.unique(np.concatenate(us), return_inverse=True)
             words, w = np.unique(np.concatenate(ws), return_inverse=True)
-            by_home = np.argsort(_home(words, parts), kind="stable")
+            pairs, where = np.unique(u * len(words) + w, return_inverse=True)  # in the order of numbers, as each block's are
+            c = np.bincount(where, np.concatenate(ns), len(pairs)).astype(np.int64)
+            u, w = pairs // len(words), pairs % len(words)
+            by_home = np.lexsort([words, words % parts])
             place = np.empty(len(words), np.int64)
             place[by_home] = np.arange(len(words))
             words, w = words[by_home], place[w]
-            pairs, where = np.unique(u * len(words) + w, return_inverse=True)
-            c = np.bincount(where, np.concatenate(ns), len(pairs)).astype(np.int64)
-            u, w = pairs // len(words), pairs % len(words)
-            rows = [(part, SEATS, -1, [_packed(x) for x in (contexts, np.bincount(u, minlength=len(contexts)).astype(np.uint32), words, w.astype(np.uint32), c)], float((c == 1).sum()), float((c == 2).sum()))]
-            rows += _tables_mail(part, words, np.bincount(w, c > 0, len(words)).astype(np.int64), parts)
-            at, spread = _find(hot, contexts)
-            if spread.any():
-                sums = [np.bincount(u, x, len(contexts))[spread].astype(np.int64) for x in (c, c > 0)]
-                rows.append((part, HOT_SUMS, -1, [_packed(x) for x in (at[spread], *sums)]))
-            yield _mail(rows)
-            first = 0
-            for block, n in blocks:
-                yield _mail([(part, PLACES, block, [_packed(where[first : first + n].astype(np.uint32))])])
+            homes = np.bincount(words % parts, minlength=parts)
+            body = [_steps(contexts // parts), _packed(contexts % parts), _packed(np.bincount(u, minlength=len(contexts))), _packed(homes), _packed(np.diff(words // parts, prepend=0)), _packed(w), _packed(c)]
+            first, places = 0, []
+            for _, n in blocks:
+                places.append(_steps(where[first : first + n]))
                 first += n
+            columns = [[part], [body], [[b for b, _ in blocks]], [places], [float((c == 1).sum())], [float((c == 2).sum())]]
+            types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SEATS.split(", ")])
+
+    return run
+
+
+def _seated(body: list[bytes], parts: int) -> tuple[np.ndarray, ...]:
+    """Contexts, words (by home and number), and each pair's context, word and count."""
+    contexts = _rising(body[0]) * parts + _whole(body[1])
+    homes = _whole(body[3])
+    words = _signed(body[4]).cumsum() * parts + np.repeat(np.arange(parts), homes)
+    return contexts, words, np.repeat(np.arange(len(contexts)), _whole(body[2])), _whole(body[5]), _whole(body[6])
+
+
+def _first_tables(parts: int, hot: np.ndarray):
+    """From each part, before any draw: one table a dish by word, and the hot contexts' customers and tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                contexts, words, u, w, c = _seated(body.as_py(), parts)
+                rows = _tables_mail(part, words, np.bincount(w, c > 0, len(words)).astype(np.int64), parts)
+                at, spread = _find(hot, contexts)
+                if spread.any():
+                    sums = [np.bincount(u, x, len(contexts))[spread].astype(np.int64) for x in (c, c > 0)]
+                    rows.append((part, HOT_SUMS, -1, [_packed(x) for x in (at[spread], *sums)]))
+                yield _mail(rows)
 
     return run
 
@@ -321,6 +444,7 @@ class Sums:
     hot_tables: np.ndarray
     discount: float
     tokens: int = 0
+    known: int = 0
     words: int = 0
     customers: float = 0.0
     tables: float = 0.0
@@ -333,12 +457,12 @@ class Sums:
         return (weight + (self.parent_concentration + self.parent_discount * self.tables) / (self.words + 1)) / (self.parent_concentration + self.customers)
 
 
-def _parent(sums: Sums, stirling: tuple[np.ndarray, np.ndarray], number: int):
-    """The parent's customers by word, its tables drawn (in the first round one a dish), and answers to the parts."""
+def _parent(sums: Sums, stirling: tuple[np.ndarray, np.ndarray], number: int, parts: int):
+    """The parent's customers by word, its tables drawn (in the first round one a dish), and both back to the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for home, mails in _groups(batches):
-            asked = [(src, *map(_unpacked, body)) for _, src, body in mails]
+            asked = [(src, _rising(body[0]), _whole(body[1])) for _, src, body in mails]
             words, where = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
             customers = np.bincount(where, np.concatenate([x[2] for x in asked]), len(words)).astype(np.int64)
             tables = (customers > 0).astype(np.int64)
@@ -346,72 +470,76 @@ def _parent(sums: Sums, stirling: tuple[np.ndarray, np.ndarray], number: int):
                 rng, shared = np.random.default_rng((SEED, 1, number, home)), np.random.default_rng((SEED, 2, number))
                 g = shared.gamma(sums.parent_concentration / sums.parent_discount + sums.tables)
                 have = np.flatnonzero(customers)
-                tables[have] = sample_tables(customers[have], np.full(len(have), np.log(sums.parent_discount * g / (sums.words + 1))), *stirling, rng)
-            weight = customers - sums.parent_discount * tables
-            yield _mail([(home, STORE, int((customers > 0).sum()), [_packed(words), _packed(weight)], float(customers.sum()), float(tables.sum()))])
+                rate = np.full(len(have), np.log(sums.parent_discount * g / (sums.words + 1)))
+                tables[have] = sample_tables(customers[have], rate, *stirling, rng, discount=sums.parent_discount)
+            yield _mail([(home, STORE, int((customers > 0).sum()), [_steps(words), _packed(customers), _packed(tables)], float(customers.sum()), float(tables.sum()))])
             first = 0
             for src, w, _ in asked:
-                yield _mail([(src, WEIGHTS, home, [_packed(weight[where[first : first + len(w)]])])])
+                at = where[first : first + len(w)]
+                yield _mail([(src, WEIGHTS, home, [_packed(customers[at]), _packed(tables[at])])])
                 first += len(w)
 
     return run
 
 
 def _sample(sums: Sums, stirling: tuple[np.ndarray, np.ndarray], number: int, last: bool, parts: int):
-    """Sweeps over a part's restaurants given the parent; in the last round also the averaged chances, to the blocks."""
+    """Sweeps over a part's restaurants given the parent; in the last round also each pair's customers and tables, to the blocks.
+
+    Tables over the sweeps after burn-in are sent as sums, so all that travels is whole numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, theta = sums.discount, sums.concentration
-        for part, mails in _groups(batches):
-            contexts, runs, words, w, c = map(_unpacked, next(b for k, _, b in mails if k == SEATS))
-            u = np.repeat(np.arange(len(contexts)), runs)
-            parent = sums.parent(np.concatenate([_unpacked(b[0]) for k, _, b in mails if k == WEIGHTS]))
-            at, spread = _find(sums.hot, contexts)
-            total = np.where(spread, sums.hot_count[at] if len(sums.hot) else 0, np.bincount(u, c, len(contexts)))
-            rng, shared = np.random.default_rng((SEED, 3, number, part)), np.random.default_rng((SEED, 4, number))
-            t, many = np.minimum(c, 1), np.flatnonzero(c > 1)
-            sum_t = np.zeros(len(c))
-            for sweep in range(BURN_IN + SAMPLES):
-                g = rng.gamma(theta / d + np.bincount(u, t, len(contexts)))
-                if len(sums.hot):
-                    g = np.where(spread, shared.gamma(theta / d + sums.hot_tables)[at], g)
-                t[many] = sample_tables(c[many], np.log(np.maximum(d * g[u[many]] * parent[w[many]], 1e-300)), *stirling, rng)
-                if sweep >= BURN_IN:
-                    sum_t += t / SAMPLES
-            rows = _tables_mail(part, words, np.bincount(w, t, len(words)).astype(np.int64), parts)
-            mean = np.bincount(u, sum_t, len(contexts))
-            if spread.any():
-                rows.append((part, HOT_SUMS, -1, [_packed(x) for x in (at[spread], np.zeros(spread.sum()), mean[spread])]))
-            if last:
-                rows.append((part, CONTEXTS, -1, [_packed(x[~spread]) for x in (contexts, total, (theta + d * mean) / (theta + total))]))
-            yield _mail(rows)
-            if last:
-                chance = ((c - d * sum_t) / (theta + total[u])).astype(np.float32)
-                for k, block, body in mails:
-                    if k == PLACES:
-                        yield _mail([(block, CHANCES, part, [_packed(chance[_unpacked(body[0])])])])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.column(0)[i].as_py()
+                contexts, words, u, w, c = _seated(batch.column(1)[i].as_py(), parts)
+                mails = sorted((m["src"], m["body"]) for m in batch.column(2)[i].as_py())
+                weight = np.concatenate([_whole(b[0]) - sums.parent_discount * _whole(b[1]) for _, b in mails])
+                parent = sums.parent(weight)
+                at, spread = _find(sums.hot, contexts)
+                rng, shared = np.random.default_rng((SEED, 3, number, part)), np.random.default_rng((SEED, 4, number))
+                t, many = np.minimum(c, 1), np.flatnonzero(c > 1)
+                sum_t = np.zeros(len(c), np.int64)
+                for sweep in range(BURN_IN + SAMPLES):
+                    g = rng.gamma(theta / d + np.bincount(u, t, len(contexts)))
+                    if len(sums.hot):
+                        g = np.where(spread, shared.gamma(theta / d + sums.hot_tables)[at], g)
+                    t[many] = sample_tables(c[many], np.log(np.maximum(d * g[u[many]] * parent[w[many]], 1e-300)), *stirling, rng, discount=d)
+                    if sweep >= BURN_IN:
+                        sum_t += t
+                rows = _tables_mail(part, words, np.bincount(w, t, len(words)).astype(np.int64), parts)
+                drawn = np.bincount(u, sum_t, len(contexts)).astype(np.int64)
+                if spread.any():
+                    rows.append((part, HOT_SUMS, -1, [_packed(x) for x in (at[spread], np.zeros(spread.sum(), np.int64), drawn[spread])]))
+                if last:
+                    rows.append((part, CONTEXTS, -1, [_steps(contexts[~spread] // parts), _packed(drawn[~spread])]))
+                yield _mail(rows)
+                if last:
+                    more = sum_t - SAMPLES * np.minimum(c, 1)
+                    for block, places in zip(batch.column(3)[i].as_py(), batch.column(4)[i].as_py(), strict=True):
+                        where = _rising(places)
+                        yield _mail([(block, CHANCES, part, [_packed(c[where]), _packed(more[where])])])
 
     return run
 
 
-def _facts(sums: Sums):
-    """To each block, for its words: training count, back-off mass as a context, and the parent's probability."""
+def _facts(parts: int):
+    """To each block, for its words: tables drawn in the word's restaurant, and the parent's customers and tables of the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backoff = (sums.concentration + sums.discount * sums.hot_tables) / (sums.concentration + sums.hot_count)
         for home, mails in _groups(batches):
-            none = np.zeros(0)
-            words, weight = next((tuple(map(_unpacked, b)) for k, _, b in mails if k == STORE), (none.astype(np.uint64), none))
-            contexts, count, mass = next((tuple(map(_unpacked, b)) for k, _, b in mails if k == CONTEXTS), (none.astype(np.uint64), none, none))
+            tables = [(_rising(b[0]), (_whole(b[1]),)) for k, _, b in mails if k == CONTEXTS]
+            parent = [(_rising(b[0]), (_whole(b[1]), _whole(b[2]))) for k, _, b in mails if k == STORE]
             for k, block, body in mails:
-                if k == ASKED:
-                    h = _unpacked(body[0])
-                    total, back, chance = np.zeros(len(h), np.int64), np.ones(len(h)), np.zeros(len(h))
-                    for keys, to in ((contexts, ((total, count), (back, mass))), (sums.hot, ((total, sums.hot_count), (back, backoff))), (words, ((chance, weight),))):
-                        at, known = _find(keys, h)
-                        for x, y in to:
+                if k == NUMBERS:
+                    number = _whole(body[0])
+                    out = [np.zeros(len(number), np.int64) for _ in range(3)]
+                    for keys, values, to in [(*x, out[:1]) for x in tables] + [(*x, out[1:]) for x in parent]:
+                        at, known = _find(keys, number)
+                        for x, y in zip(to, values, strict=True):
                             x[known] = y[at[known]]
-                    yield _mail([(block, FACTS, home, [_packed(total), _packed(back), _packed(sums.parent(chance))])])
+                    yield _mail([(block, FACTS, home, [_packed(x) for x in out])])
 
     return run
 
@@ -420,49 +548,50 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _scorer(sums: Sums, parts: int):
-    def finish(mails: list[tuple]) -> pa.RecordBatch:
-        docs, null, held, ends, hashes, ids = next(b for k, _, b in mails if k == PAYLOAD)
-        ends, ids, hashes = np.frombuffer(ends, np.int64), np.frombuffer(ids, np.uint32), np.frombuffer(hashes, np.uint64)
+    def finish(body: list[bytes], mails: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
+        docs, null, held, ends, hashes, ids = _unpacked(body[0]).astype(np.int64), _whole(body[1]), _whole(body[2]), _whole(body[3]), _unpacked(body[4]), _whole(body[6])
         begin = np.r_[0, ends[:-1]]
-        order = np.argsort(_home(hashes, parts), kind="stable")
-        facts = []
+        words, total, order = _numbered(hashes, mails, parts)
+        sent = lambda kind: sorted((src, b) for k, src, b in mails if k == kind)
+        facts = [np.empty(len(words), np.int64) for _ in range(3)]
         for i in range(3):
-            x = np.concatenate([_unpacked(b[i]) for k, _, b in mails if k == FACTS])
-            facts.append(np.empty_like(x))
-            facts[i][order] = x
-        total, back, parent = facts
-        u, w, _, where = _block_pairs(hashes, ids, parts, sums.hot)
-        seen = np.concatenate([_unpacked(b[0]) for k, _, b in mails if k == CHANCES]).astype(float)
-        score = np.log10(seen + back[u] * parent[w])[where]
-        base = np.log10((total + 0.5) / (sums.tokens + 0.5 * (sums.words + 1)))
+            facts[i][order] = np.concatenate([_whole(b[i]) for _, b in sent(FACTS)])
+        drawn, customers, tables = facts
+        at, spread = _find(sums.hot, words)
+        mean = np.where(spread, sums.hot_tables[at] if len(sums.hot) else 0.0, drawn / SAMPLES)
+        back = (sums.concentration + sums.discount * mean) / (sums.concentration + total)
+        parent = sums.parent(customers - sums.parent_discount * tables)
+        u, w, _, where = _block_pairs(words, int(np.flatnonzero(hashes == END)[0]), ids, parts, sums.hot)
+        c, more = (np.concatenate([_whole(b[i]) for _, b in sent(CHANCES)]) for i in range(2))
+        own = (c - sums.discount * (np.minimum(c, 1) + more / SAMPLES)) / (sums.concentration + total[u])
+        score = np.log10(own + back[u] * parent[w])[where]
+        base = np.log10((total + 0.5) / (sums.tokens + 0.5 * (sums.known + 1)))
         add = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every text has its end
         n = len(ends)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.frombuffer(docs, np.int64), mask=np.frombuffer(null, np.uint8) > 0), pa.array(np.frombuffer(held, np.uint8) > 0), pa.array(ends - begin), pa.array(add((total > 0)[ids].astype(np.int64))), pa.array(np.full(n, sums.tokens)), pa.array(add(base[ids])), pa.array(add(score))],
+            [pa.array(docs, mask=null > 0), pa.array(held > 0), pa.array(ends - begin), pa.array(add((total > 0)[ids].astype(np.int64))), pa.array(np.full(n, sums.tokens)), pa.array(add(base[ids])), pa.array(add(score))],
             names=[x.split()[0] for x in SCORES.split(", ")],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, mails in _groups(batches):
-            yield finish(mails)
+        for _, body, mails in _with_mail(batches):
+            yield finish(body, mails)
 
     return run
 
 
-def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with 1 / (2 HOT) of a block's training tokens: a word with 1 / HOT of all has that much in some block."""
+def _hot_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for hashes, counts in zip(batch.column(0), batch.column(1), strict=True):
-            h, n = np.frombuffer(hashes.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
-            often = n * 2 * HOT >= max(1, n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often])], names=["hash", "n"])
+        for body in batch.column(0).to_pylist():
+            n, c = map(_whole, body)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(c)], names=["word", "n"])
 
 
 def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for body in batch.column(0).to_pylist():
-            at, c, t = map(_unpacked, body)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(c.astype(float)), pa.array(t.astype(float))], names=["at", "c", "t"])
+            at, c, t = map(_whole, body)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c.astype(float)), pa.array(t.astype(float))], names=["at", "c", "t"])
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -475,50 +604,66 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     perplexity is 10 ** (-score / n_tokens). Repeated rows count and are scored each; a null identifier is in the
     training part; extra columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     held = doc_key(id_col) % 5 == 1
     texts = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), whole_text(text_col).alias("text"))
-    blocks = materialize(texts.mapInArrow(_block_rows, BLOCKS), "blocks")
-    size = blocks.agg(F.sum(F.octet_length("ids") / 4).alias("n")).first().n or 0
-    parts = max(LEAST_PARTS, int(size // PART_TOKENS))
-    often = blocks.select("hashes", "counts").mapInArrow(_hot_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    hot = np.sort(np.array([r.hash for r in often.filter(F.col("n") * HOT >= size).collect()], np.int64).view(np.uint64))  # at most HOT rows
+    buckets = max(LEAST_PARTS, texts.rdd.getNumPartitions())
+    blocks = bucketed(texts.mapInArrow(_block_rows, BLOCKS), "blocks", "block", buckets)
+    sizes = blocks.agg(F.sum("tokens").alias("n"), F.sum("learnt").alias("learnt")).first()
+    counted = sizes.learnt or 0
+    parts = max(LEAST_PARTS, int((sizes.n or 0) // PART_TOKENS))
 
     def dealt(mails: DataFrame) -> DataFrame:
         return mails.repartition(parts, "dest").sortWithinPartitions("dest", "kind", "src")
 
-    def totals(mails: DataFrame) -> np.ndarray:
-        out = np.zeros((2, len(hot)))
+    def delivered(stored: DataFrame, key: str, columns: list[str], mails: DataFrame, n: int) -> DataFrame:
+        """Stored rows with all that was sent to them; only the mail moves."""
+        sent = mails.select("dest", F.struct("kind", "src", "body").alias("m")).repartition(n, "dest").groupBy("dest").agg(F.collect_list("m").alias("mails"))
+        return stored.join(sent.hint("shuffle_hash"), stored[key] == sent["dest"], "left").select(stored[key], *[stored[c] for c in columns[:1]], "mails", *[stored[c] for c in columns[1:]])
+
+    def kept(mails: DataFrame, name: str) -> DataFrame:
+        done = materialize(mails, name)
+        release(spark)
+        return done
+
+    numbers = kept(dealt(blocks.select("block", "body").mapInArrow(_ask(parts), MAIL)).mapInArrow(_number(parts, counted), MAIL), "numbers")
+    known = numbers.filter(F.col("kind") == HOT_WORDS)
+    hot_rows = sorted(tuple(r) for r in known.select("body").mapInArrow(_hot_words, "word long, n long").collect())  # at most HOT rows
+    hot = np.array([w for w, _ in hot_rows], np.int64)
+    sums = Sums(hot, np.array([n for _, n in hot_rows], float), np.zeros(len(hot)), 0.5, tokens=counted, known=int(known.agg(F.sum("a")).first()[0] or 0))
+    numbers = numbers.filter(F.col("kind") == NUMBERS)
+
+    def tables_of(mails: DataFrame) -> np.ndarray:
+        out = np.zeros(len(hot))
         parted = mails.filter(F.col("kind") == HOT_SUMS).select("body").mapInArrow(_hot_sums, "at long, c double, t double")
-        for r in parted.groupBy("at").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect():  # at most HOT rows
-            out[:, r.at] = r.c, r.t
+        for r in parted.groupBy("at").agg(F.sum("t").alias("t")).collect():  # at most HOT rows
+            out[r.at] = r.t
         return out
 
-    seats = materialize(dealt(blocks.select("block", "held", "ends", "hashes", "ids").mapInArrow(_ask(parts, hot), MAIL)).mapInArrow(_seat(parts, hot), MAIL), "seats")
-    one = seats.filter(F.col("kind") == SEATS).agg(F.sum("a").alias("one"), F.sum("b").alias("two")).first()
-    sums = Sums(hot, *totals(seats), discount_of(np.array([1, 2]), np.array([one.one or 0, one.two or 0])))
+    pairs = delivered(blocks, "block", ["body"], numbers, buckets).mapInArrow(_pair_up(parts, hot), MAIL)
+    seats = bucketed(dealt(pairs).mapInArrow(_seat(parts), SEATS), "seats", "dest", parts)
+    release(spark)
+    ones = seats.agg(F.sum("one").alias("one"), F.sum("two").alias("two")).first()
+    now = kept(seats.select("dest", "body").mapInArrow(_first_tables(parts, hot), MAIL), "tables")
+    sums = replace(sums, discount=discount_of(np.array([1, 2]), np.array([ones.one or 0, ones.two or 0])), hot_tables=tables_of(now))
     stirling, stirling0 = stirling_rows(sums.discount), stirling_rows(sums.parent_discount)
-    now = seats
     for number in range(ROUNDS + 1):
-        parent = materialize(dealt(now.filter(F.col("kind") == TABLES)).mapInArrow(_parent(sums, stirling0, number), MAIL), "parent")
+        parent = kept(dealt(now.filter(F.col("kind") == TABLES)).mapInArrow(_parent(sums, stirling0, number, parts), MAIL), "parent")
         s = parent.filter(F.col("kind") == STORE).agg(F.sum("src").alias("v"), F.sum("a").alias("c"), F.sum("b").alias("t")).first()
         sums = replace(sums, words=s.v or 0, customers=s.c or 0.0, tables=s.t or 0.0)
         if number == ROUNDS:
             break
         last = number == ROUNDS - 1
-        kinds = [SEATS, PLACES] if last else [SEATS]
-        given = seats.filter(F.col("kind").isin(kinds)).unionByName(parent.filter(F.col("kind") == WEIGHTS))
-        now = materialize(dealt(given).mapInArrow(_sample(sums, stirling, number, last, parts), MAIL), "sampled")
-        sums = replace(sums, hot_tables=totals(now)[1])
-    counted = blocks.agg(F.sum("learnt").alias("n")).first().n or 0
-    sums = replace(sums, tokens=counted)
-    asked = blocks.select("block", "hashes").mapInArrow(_ask_words(parts), MAIL)
+        given = delivered(seats, "dest", ["body", "blocks", "places"] if last else ["body"], parent.filter(F.col("kind") == WEIGHTS), parts)
+        before, now = now, kept(given.mapInArrow(_sample(sums, stirling, number, last, parts), MAIL), "sampled")
+        forget(before, parent)
+        sums = replace(sums, hot_tables=tables_of(now) / SAMPLES)
     store = parent.filter(F.col("kind") == STORE).unionByName(now.filter(F.col("kind") == CONTEXTS))
-    facts = dealt(asked.unionByName(store)).mapInArrow(_facts(sums), MAIL)
-    body = F.array("docs", "nulls", "held", "ends", "hashes", "ids")
-    payload = blocks.select(F.col("block").alias("dest"), F.lit(PAYLOAD).alias("kind"), F.lit(-1).cast("long").alias("src"), body.alias("body"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    every = payload.unionByName(facts).unionByName(now.filter(F.col("kind") == CHANCES))
-    done = every.repartition("dest").sortWithinPartitions("dest", "kind", "src").mapInArrow(_scorer(sums, parts), SCORES)
+    asked = numbers.withColumns({"dest": F.col("src"), "src": F.col("dest")})
+    facts = dealt(asked.unionByName(store)).mapInArrow(_facts(parts), MAIL)
+    every = numbers.unionByName(facts).unionByName(now.filter(F.col("kind") == CHANCES))
+    done = delivered(blocks, "block", ["body"], every, buckets).mapInArrow(_scorer(sums, parts), SCORES)
     return done.withColumnRenamed("doc_id", id_col)
 
 
