@@ -13,6 +13,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,8 @@ class Pieces:
 
     def merges(self, s: str) -> list[str]:
         """The model's merges, plainly: the best-scored neighbours first, the leftmost of equals."""
+        if len(s) > 64:
+            return self.merges_by_heap(s)
         parts = list(s)
         while len(parts) > 1:
             best, at = None, -1
@@ -79,6 +82,29 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def merges_by_heap(self, s: str) -> list[str]:
+        """The same merges in n log n steps: neighbours wait in a heap by score and place, and are checked when their turn comes."""
+        n = len(s)
+        stop, before, score = list(range(1, n + 1)), list(range(-1, n - 1)), self.score
+        heap = [(-v, i, i + 1, i + 2) for i in range(n - 1) if (v := score.get(s[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, a, b, c = heappop(heap)
+            if stop[a] != b or b >= n or stop[b] != c:
+                continue
+            stop[a], stop[b] = c, -1
+            if c < n:
+                before[c] = a
+                if (v := score.get(s[a : stop[c]])) is not None:
+                    heappush(heap, (-v, a, c, stop[c]))
+            if before[a] >= 0 and (v := score.get(s[before[a] : c])) is not None:
+                heappush(heap, (-v, before[a], a, c))
+        out, a = [], 0
+        while a < n:
+            out.append(s[a : stop[a]])
+            a = stop[a]
+        return out
+
     def neighbours(self, key: int, a: str, b: str) -> bool:
         """Whether the merges of the joint text leave these two pieces; remembered under both ids."""
         if len(self.agree) > CACHE:
@@ -152,8 +178,7 @@ class Pieces:
                 found = known.get(part)
                 if found is None:
                     # pieces of blanks alone share one score, so a run of them is merged as the model does it, from the left
-                    plain = part.startswith(_BLANK * 2) and len(part) <= 4096
-                    found = self.to_ids(self.merges(part) if plain else self.trace(part, 0, len(part), None))
+                    found = self.to_ids(self.merges(part) if part.startswith(_BLANK * 2) else self.trace(part, 0, len(part), None))
                     self.keep(part, found)
                 out.append(found)
                 at = i
