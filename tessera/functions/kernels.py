@@ -234,6 +234,28 @@ def polynomial_transform(pairs: DataFrame, degree: int = 2) -> DataFrame:
     return pairs.groupBy("id").applyInPandas(run, "id long, px int, py int, cx double, cy double")
 
 
+def local_maps(pairs: DataFrame, share: float = 0.9) -> DataFrame:
+    """Local weighted means, the maps: (id, point, x, y, reach, cx, cy) for each fixed point of (id, seq, fx, fy, mx, my).
+
+    cx and cy are quadratics (1, x, y, x y, x^2, y^2) fitted to the point and its nearest ``share`` of the set's points,
+    at least six; reach is the distance of the farthest of those. One set of control points a task.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("seq")
+        f, m = g[["fx", "fy"]].to_numpy(float), g[["mx", "my"]].to_numpy(float)
+        n, rows = min(len(g), max(6, round(share * len(g)))), []
+        basis = np.column_stack([np.ones(len(f)), f[:, 0], f[:, 1], f[:, 0] * f[:, 1], f[:, 0] ** 2, f[:, 1] ** 2])
+        for k in range(len(f)):
+            d = np.hypot(*(f - f[k]).T)
+            near = np.argsort(d, kind="stable")[:n]
+            fit = np.linalg.lstsq(basis[near], m[near], rcond=None)[0]
+            rows.append((g.id.iloc[0], k, *f[k], float(d[near].max()), fit[:, 0].tolist(), fit[:, 1].tolist()))
+        return pd.DataFrame(rows, columns=["id", "point", "x", "y", "reach", "cx", "cy"])
+
+    return pairs.groupBy("id").applyInPandas(run, "id string, point int, x double, y double, reach double, cx array<double>, cy array<double>")
+
+
 def tuned_points(moving: DataFrame, fixed: DataFrame, spots: list[tuple[int, int]], half: int = 3, reach: int = 4) -> DataFrame:
     """For each spot, the shift of at most ``reach`` pixels at which the moving patch correlates best with the fixed one."""
     both = moving.join(fixed.withColumnRenamed("v", "w"), ["image_id", "y", "x"])
@@ -296,8 +318,7 @@ def packed_circles(mask: DataFrame, least: float = 2.0) -> DataFrame:
         m = np.zeros((group.y.max() + 3, group.x.max() + 3), bool)
         m[group.y + 1, group.x + 1] = True
         y, x = np.nonzero(m)
-        oy, ox = np.nonzero(~m)
-        free = np.array([np.sqrt(((oy - a) ** 2 + (ox - b) ** 2).min()) for a, b in zip(y, x, strict=True)])
+        free = regions.distance_grid(m)[y, x]
         rows, done = [], np.zeros(len(y), bool)
         while free.max() >= least:
             i = int(np.lexsort([x, y, -free])[0])

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import regions
 from ..operators.register import chebyshev_nodes, curve_at
 from .kernels import best_curve
 
@@ -122,8 +123,7 @@ def moved_circles(mask: DataFrame, least: float = 2.0, rounds: int = 5) -> DataF
         m = np.zeros((group.y.max() + 3, group.x.max() + 3), bool)
         m[group.y + 1, group.x + 1] = True
         y, x = np.nonzero(m)
-        oy, ox = np.nonzero(~m)
-        free = np.array([np.sqrt(((oy - a) ** 2 + (ox - b) ** 2).min()) for a, b in zip(y, x, strict=True)])
+        free = regions.distance_grid(m)[y, x]
         area = lambda c: float(sum(np.pi * r * r for *_, r in c))
         best = max((_filled(y, x, free, [], least, d) for d in (1, -1)), key=area)
         first = area(best)

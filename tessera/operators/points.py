@@ -59,29 +59,34 @@ def simplified(points: DataFrame, least: float) -> DataFrame:
     return points.withColumn("turn", turn).withColumn("gap", F.hypot(F.col("px") - ax, F.col("py") - ay)).filter((F.col("turn").isNull() | (F.abs("turn") > 1e-9)) & (F.col("gap").isNull() | (F.col("gap") >= least))).drop("turn", "gap")
 
 
-def convex_hull(points: DataFrame) -> DataFrame:
-    """Hull vertices of each set, counter-clockwise from the leftmost; extreme points per cell are taken first.
+def hull_of(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Hull vertices, counter-clockwise from the leftmost; points on an edge are left out."""
+    p = sorted(set(points))
+    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+    def half(q):
+        out = []
+        for v in q:
+            while len(out) > 1 and turn(out[-2], out[-1], v) <= 0:
+                out.pop()
+            out.append(v)
+        return out
+
+    return p if len(p) < 3 else half(p)[:-1] + half(p[::-1])[:-1]
 
-    Only the lowest and highest point of each x go to the task that closes a set's hull.
-    """
-    thin = points.groupBy("set", "px").agg(F.min("py").alias("a"), F.max("py").alias("b")).select("set", "px", F.explode(F.array("a", "b")).alias("py")).distinct()
 
+def convex_hull(points: DataFrame, blocks: int = 256) -> DataFrame:
+    """Hull vertices of each set, counter-clockwise from the leftmost (set, seq, px, py).
+
+    A set's points are dealt into ``blocks`` by a hash; only the hulls of those go to the task that closes the set's.
+    """
     def chain(group: pd.DataFrame) -> pd.DataFrame:
-        p = sorted(set(zip(group.px, group.py, strict=True)))
-        turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-
-        def half(q):
-            out = []
-            for v in q:
-                while len(out) > 1 and turn(out[-2], out[-1], v) <= 0:
-                    out.pop()
-                out.append(v)
-            return out
-
-        ring = p if len(p) < 3 else half(p)[:-1] + half(p[::-1])[:-1]
+        ring = hull_of(list(zip(group.px, group.py, strict=True)))
         return pd.DataFrame({"set": [group["set"].iloc[0]] * len(ring), "seq": range(len(ring)), "px": [float(a) for a, _ in ring], "py": [float(b) for _, b in ring]})
 
-    return thin.groupBy("set").applyInPandas(chain, "set string, seq long, px double, py double")
+    schema = "set string, seq long, px double, py double"
+    dealt = points.select("set", "px", "py", F.pmod(F.xxhash64("px", "py"), F.lit(blocks)).alias("block"))
+    return dealt.groupBy("set", "block").applyInPandas(chain, schema).groupBy("set").applyInPandas(chain, schema)
 
 
 def inside(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
@@ -111,16 +116,34 @@ def nearest(points: DataFrame, to: list[tuple[float, float]]) -> DataFrame:
 
 
 def contacts(circles: DataFrame, slack: float = 1.1) -> DataFrame:
-    """Pairs of circles (id, cx, cy, r) that touch: distance at most slack * (r1 + r2). Joined by grid cells of the largest reach.
+    """Pairs of circles (id, cx, cy, r) that touch: distance at most slack * (r1 + r2).
 
-    A circle meets others only in its own and the eight neighbouring cells, so no pairs beyond those are formed.
+    Circles lie in levels by the power of two of their radius, each with a grid as wide as its circles reach. A circle
+    asks the nine cells around it in the grids of its own and of all larger levels, so a giant widens no other's cells
+    and no pairs beyond neighbouring cells are formed.
     """
-    reach = circles.agg((2 * slack * F.max("r")).alias("s"))
-    cell = circles.crossJoin(F.broadcast(reach)).withColumn("gx", F.floor(F.col("cx") / F.col("s"))).withColumn("gy", F.floor(F.col("cy") / F.col("s")))
+    level = F.when(F.col("r") > 2.0**-20, F.floor(F.log2("r"))).otherwise(-20).cast("int")  # the smallest share a level
+    held = circles.select("id", "cx", "cy", "r", level.alias("level"))
+    levels = held.agg(F.collect_set("level").alias("levels"))  # one row: as many numbers as there are levels
+    side = F.lit(4 * slack) * F.pow(F.lit(2.0), "level")
+    at = lambda c: F.floor(F.col(c) / side)
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    a = cell.withColumn("d", around).select(F.col("id").alias("src"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("r").alias("ar"), (F.col("gx") + F.col("d.a")).alias("gx"), (F.col("gy") + F.col("d.b")).alias("gy"))
-    b = cell.select(F.col("id").alias("dst"), "cx", "cy", "r", "gx", "gy")
-    return a.join(b, ["gx", "gy"]).filter((F.col("src") < F.col("dst")) & (F.hypot(F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")) <= slack * (F.col("ar") + F.col("r")))).select("src", "dst")
+    asking = held.crossJoin(F.broadcast(levels)).withColumn("own", F.col("level")).withColumn("level", F.explode("levels")).filter("level >= own").drop("levels")
+    asking = asking.withColumn("d", around).select(F.col("id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("r").alias("ar"), "own", "level", (at("cx") + F.col("d.a")).alias("gx"), (at("cy") + F.col("d.b")).alias("gy"))
+    there = held.select(F.col("id").alias("b"), "cx", "cy", "r", "level", at("cx").alias("gx"), at("cy").alias("gy"))
+    near = F.hypot(F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")) <= slack * (F.col("ar") + F.col("r"))
+    once = (F.col("own") < F.col("level")) | (F.col("a") < F.col("b"))  # equal levels ask both ways
+    return asking.join(there, ["level", "gx", "gy"]).filter(near & once & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+
+def checked_centres(centres: DataFrame, mask: DataFrame, radius: float, most: int = 150) -> DataFrame:
+    """Centres (image_id, id, cx, cy) whose pixel is on the mask and whose disk lacks fewer than ``most`` mask pixels."""
+    reach = int(math.ceil(radius))
+    disk = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= radius * radius])
+    cells = centres.withColumn("d", F.explode(disk)).select("image_id", "id", "cx", "cy", (F.round("cy").cast("long") + F.col("d.a")).alias("y"), (F.round("cx").cast("long") + F.col("d.b")).alias("x"), ((F.col("d.a") == 0) & (F.col("d.b") == 0)).alias("centre"))
+    found = cells.join(mask.select("image_id", "y", "x", F.lit(1).alias("on")), ["image_id", "y", "x"], "left")
+    kept = found.groupBy("image_id", "id", "cx", "cy").agg(F.sum(F.when(F.col("on").isNull(), 1).otherwise(0)).alias("lacking"), F.max(F.when(F.col("centre"), F.col("on"))).alias("middle"))
+    return kept.filter((F.col("middle") == 1) & (F.col("lacking") < most)).select("image_id", "id", "cx", "cy", "lacking")
 
 
 def hex_lattice(spark: SparkSession, width: int, radius: float, depth: int) -> DataFrame:

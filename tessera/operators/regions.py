@@ -278,6 +278,28 @@ def lower_envelope(at: np.ndarray, height: np.ndarray, ask: np.ndarray) -> np.nd
     return (ask - at[who]) ** 2 + height[who]
 
 
+def distance_grid(mask: np.ndarray) -> np.ndarray:
+    """Distance of every pixel of an array to the nearest one off the mask: a pass down each column, an envelope along each row."""
+    h, w = mask.shape
+    y = np.arange(h)[:, None]
+    up = np.maximum.accumulate(np.where(mask, -np.inf, y), axis=0)
+    down = np.minimum.accumulate(np.where(mask, np.inf, y)[::-1], axis=0)[::-1]
+    g = np.minimum(y - up, down - y) ** 2
+    out = np.full((h, w), np.inf)
+    for k in range(h):
+        known = np.flatnonzero(np.isfinite(g[k]))
+        if len(known):
+            out[k] = lower_envelope(known.astype(float), g[k, known], np.arange(w, dtype=float))
+    return np.sqrt(out)
+
+
+def buffered(mask: DataFrame, extent: DataFrame, distance: float) -> DataFrame:
+    """Pixels of the image at most ``distance`` from the mask."""
+    outside = extent.select("image_id", "y", "x").join(mask.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti")
+    near = distance_to(outside, mask).filter(F.col("distance") <= distance).select("image_id", "y", "x")
+    return mask.select("image_id", "y", "x").unionByName(near)
+
+
 def distance_to(mask: DataFrame, targets: DataFrame) -> DataFrame:
     """Exact Euclidean distance of each mask pixel to the nearest target pixel, by one pass per axis over rows.
 

@@ -156,3 +156,66 @@ def unmixed_adaptively(rgb: DataFrame) -> DataFrame:
     whole = det(col(0), col(1), col(2))
     share = lambda k: F.when(F.abs(whole) > 1e-9, det(*[own if k == j else col(j) for j in range(3)]) / whole)
     return all_.select("image_id", "y", "x", *[share(k).alias(f"s{k}") for k in range(3)])
+
+
+def warped(r: DataFrame, places: DataFrame, fill: float | None = 0.0) -> DataFrame:
+    """A raster sampled bilinearly at ``places`` (image_id, y, x, sx, sy); ``fill`` where the source lies outside.
+
+    Four rows a pixel meet the image in one shuffle, whatever the map.
+    """
+    box = r.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
+    at = places.join(box, "image_id")
+    inside = (F.col("sx") >= 0) & (F.col("sx") <= F.col("mx")) & (F.col("sy") >= 0) & (F.col("sy") <= F.col("my"))
+    fx, fy = F.col("sx") - F.floor("sx"), F.col("sy") - F.floor("sy")
+    taps = F.array(*[F.struct(F.least(F.floor("sy") + i, F.col("my")).alias("py"), F.least(F.floor("sx") + j, F.col("mx")).alias("px"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("k")) for i in (0, 1) for j in (0, 1)])
+    wide = at.filter(inside).select("image_id", "y", "x", F.explode(taps).alias("t")).select("image_id", "y", "x", F.col("t.py").alias("py"), F.col("t.px").alias("px"), F.col("t.k").alias("k"))
+    source = r.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), "v")
+    found = wide.join(source, ["image_id", "py", "px"]).groupBy("image_id", "y", "x").agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+    out = places.select("image_id", "y", "x").join(found, ["image_id", "y", "x"], "left")
+    return out if fill is None else out.withColumn("v", F.coalesce("v", F.lit(float(fill))))
+
+
+def polynomial_places(r: DataFrame, maps: list[tuple[int, int, float, float]]) -> DataFrame:
+    """Where a polynomial map (power of x, power of y, coefficient for x, for y) takes each pixel's source from."""
+    power = lambda c, k: F.pow(F.col(c).cast("double"), F.lit(float(k))) if k else F.lit(1.0)
+    total = lambda i: sum((m[i] * power("x", m[0]) * power("y", m[1]) for m in maps), F.lit(0.0))
+    return r.select("image_id", "y", "x", F.round(total(2), 9).alias("sx"), F.round(total(3), 9).alias("sy"))
+
+
+def local_places(r: DataFrame, maps: DataFrame) -> DataFrame:
+    """Where the local weighted means (``kernels.local_maps``, id = image_id) take each pixel's source from; null out of every map's reach.
+
+    Each map counts by 1 - 3 t^2 + 2 t^3, t its distance over its reach. An image's maps are one array, a row each for
+    its control points, so no pixel is repeated.
+    """
+    held = maps.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("point", "x", "y", "reach", "cx", "cy"))).alias("maps")).withColumnRenamed("id", "image_id")
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    basis = [F.lit(1.0), x, y, x * y, x * x, y * y]
+    value = lambda c: sum((c[k] * b for k, b in enumerate(basis)), F.lit(0.0))
+
+    def step(acc: Column, m: Column) -> Column:
+        t = F.hypot(x - m["x"], y - m["y"]) / m["reach"]
+        w = F.when(t < 1, 1 - 3 * t * t + 2 * t * t * t).otherwise(0.0)
+        return F.struct((acc["w"] + w).alias("w"), (acc["sx"] + w * value(m["cx"])).alias("sx"), (acc["sy"] + w * value(m["cy"])).alias("sy"))
+
+    sums = F.aggregate("maps", F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy")), step)
+    found = r.select("image_id", "y", "x").join(held, "image_id").withColumn("s", sums)
+    ratio = lambda c: F.when(F.col("s.w") > 0, F.col(f"s.{c}") / F.col("s.w"))
+    return found.select("image_id", "y", "x", ratio("sx").alias("sx"), ratio("sy").alias("sy"))
+
+
+def binary_again(mask_values: DataFrame) -> DataFrame:
+    """Resampled mask values: above 0.5 is 1, below it 0, exactly 0.5 stays."""
+    return mask_values.withColumn("v", F.when(F.col("v") > 0.5, 1.0).when(F.col("v") < 0.5, 0.0).otherwise(F.col("v")))
+
+
+def level_crossings(r: DataFrame, level: float) -> DataFrame:
+    """(image_id, py, px): where the image crosses a level between neighbouring pixels, by linear interpolation."""
+    out = None
+    for axis, dy, dx in ((("image_id", "y", "x"), 0, 1), (("image_id", "x", "y"), 1, 0)):
+        nxt = F.lead("v").over(Window.partitionBy(*axis[:2]).orderBy(axis[2]))
+        step = r.withColumn("v", F.col("v") - F.lit(float(level))).withColumn("n", nxt).filter("n is not null and (v < 0) != (n < 0)")
+        t = F.col("v") / (F.col("v") - F.col("n"))
+        part = step.select("image_id", (F.col("y") + dy * t).alias("py"), (F.col("x") + dx * t).alias("px"))
+        out = part if out is None else out.unionByName(part)
+    return out

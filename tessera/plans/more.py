@@ -14,7 +14,6 @@ _on_q("sharpen", enhance.sharpened, f", b AS (SELECT y, x, v AS o FROM {_taps(_G
 _on_q("bilateral", enhance.bilateral, ", k AS (SELECT a.y, a.x, b.v, exp(-(power(a.y - b.y, 2) + power(a.x - b.x, 2)) / 2 - power(b.v - a.v, 2) / 5000) AS w FROM q a JOIN q b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1) SELECT y, x, round(sum(w * v) / sum(w), 6) AS v FROM k GROUP BY 1, 2")
 _add("difference_weight", lambda s, d: _pixels(enhance.difference_weight(rasters.quantity_raster(s, d), _mask(s, d)), "y", "x", "v"), MASK + ", a AS (SELECT avg(v) AS k FROM q JOIN m USING (y, x)) SELECT y, x, round(1 / greatest(abs(v - k), 0.01), 6) AS v FROM q, a")
 _add("gradient_weight", lambda s, d: _pixels(enhance.gradient_weight(rasters.quantity_raster(s, d)), "y", "x", "v"), Q + ", gw AS (SELECT a.y, a.x, sqrt(power(sum(sign(b.x - a.x) * (2 - abs(a.y - b.y)) * b.v), 2) + power(sum(sign(b.y - a.y) * (2 - abs(a.x - b.x)) * b.v), 2)) AS v FROM q a JOIN q b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2) SELECT y, x, round(power(1 + v / (avg(v) OVER ()), -1.5), 6) AS v FROM gw")
-_add("edge_map", lambda s, d: enhance.edges(rasters.quantity_raster(s, d), 1.2).drop("image_id"))
 _add("repair_missing", lambda s, d: _pixels(enhance.repaired(rasters.quantity_raster(s, d).withColumn("v", F.when((F.col("y") * 5 + F.col("x")) % 11 != 0, F.col("v")))), "y", "x", "v"), Q + ", n AS (SELECT y, x, CASE WHEN (y * 5 + x) % 11 <> 0 THEN v END AS v FROM q) SELECT a.y, a.x, round(coalesce(max(CASE WHEN a.y = b.y AND a.x = b.x THEN b.v END), avg(b.v), 0), 6) AS v FROM n a JOIN n b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2")
 _on_q("iterated_median", enhance.iterated_median)
 _add("connected_values", lambda s, d: enhance.connected_values(_levels(s, d), (5, 5), 90).drop("image_id"), LEVELS.replace("WITH s AS", "WITH RECURSIVE s AS") + ", k AS (SELECT y, x FROM lv WHERE abs(v - (SELECT v FROM lv WHERE y = 5 AND x = 5)) <= 90), r(y, x) AS (SELECT y, x FROM k WHERE y = 5 AND x = 5 UNION SELECT k.y, k.x FROM r JOIN k ON abs(r.y - k.y) <= 1 AND abs(r.x - k.x) <= 1) SELECT y, x FROM r")
@@ -55,16 +54,11 @@ _add("angular_histogram", lambda s, d: kernels.free_directions(_mask(s, d), 5, 5
 _add("contact_degrees", lambda s, d: (lambda e: e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree")))(points.contacts(_customers(s, d).select(F.col("seq").alias("id"), F.col("px").alias("cx"), F.col("py").alias("cy"), (F.col("seq") % 3 / 4).cast("double").alias("r")))), _SQL["circle_contacts"].replace("SELECT a.id AS src", ", e AS (SELECT a.id AS src", 1).replace(" , e AS", ", e AS") + ") SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1")
 
 for _name, _f in {
-    "h_maxima": lambda r: kernels.h_maxima(r, 40),
-    "h_minima": lambda r: kernels.h_minima(r, 40),
-    "extended_maxima": lambda r: kernels.extended_maxima(r, 40),
-    "open_by_reconstruction": kernels.opened_by_reconstruction,
     "non_local_means": kernels.non_local_means,
     "detail_enhance": kernels.detail_enhanced,
     "local_brighten": kernels.brightened,
 }.items():
     _on_q(_name, _f)
-_add("impose_minima", lambda s, d: _pixels(kernels.imposed_minima(rasters.quantity_raster(s, d), _mask(s, d)), "y", "x", "v"))
 _add("thin", lambda s, d: regions.thinned(_mask(s, d)).drop("image_id"))
 _add("trace_boundaries", lambda s, d: kernels.traced(_labels(s, d)).drop("image_id"))
 _add("reduce_polyline", lambda s, d: kernels.reduced(_routes(s, d), 15.0))

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalogue, more, outlines, wider  # noqa: F401  the others register their queries in the catalogue
+from tessera.plans import catalogue, grown, more, outlines, wider  # noqa: F401  the others register their queries in the catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()

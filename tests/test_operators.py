@@ -240,3 +240,93 @@ def test_catalogue_rules(spark):
     assert files.sink_name("g_S1_st_", 1 / 3, "ForegroundSegmented", "_v2") == "g_S1_st_scale_0.3333_ForegroundSegmented_v2.tiff"
     with pytest.raises(Exception, match="four underscores"):
         files.checked_names(paths("a_b.tiff"), strict=True).collect()
+
+
+def test_distances_against_all_pairs(spark):
+    from tessera.operators import regions
+
+    m = np.random.default_rng(3).random((19, 31)) < 0.85
+    off = np.argwhere(~m)
+    want = np.array([[0.0 if not m[y, x] else np.sqrt(((off - (y, x)) ** 2).sum(axis=1).min()) for x in range(31)] for y in range(19)])
+    assert np.allclose(regions.distance_grid(m), want)
+    assert np.isinf(regions.distance_grid(np.ones((3, 3), bool))).all()
+
+
+def test_hulls_of_blocks_close_to_the_hull(spark):
+    from tessera.operators import points
+
+    rng = np.random.default_rng(5)
+    rows = [(n, k, float(x), float(y)) for n in "ab" for k, (x, y) in enumerate(rng.normal(size=(400, 2)))]
+    found = points.convex_hull(spark.createDataFrame(rows, "set string, seq long, px double, py double"), 16).orderBy("set", "seq").collect()
+    for n in "ab":
+        assert [(r.px, r.py) for r in found if r["set"] == n] == points.hull_of([(x, y) for s, _, x, y in rows if s == n])
+
+
+def test_circles_of_all_sizes_meet(spark):
+    from tessera.operators import points
+
+    rng = np.random.default_rng(8)
+    rows = [(k, float(x), float(y), float(r)) for k, (x, y, r) in enumerate(zip(rng.random(300) * 50, rng.random(300) * 50, 2.0 ** rng.integers(-6, 4, 300), strict=True))] + [(900, 3.0, 3.0, 0.0), (901, 3.0, 3.0, 0.0)]
+    found = [(r.src, r.dst) for r in points.contacts(spark.createDataFrame(rows, "id long, cx double, cy double, r double")).collect()]
+    want = {(a, b) for a, ax, ay, ar in rows for b, bx, by, br in rows if a < b and math.hypot(ax - bx, ay - by) <= 1.1 * (ar + br)}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_local_maps_repeat_a_smooth_map(spark):
+    from tessera.functions import kernels
+    from tessera.operators import raster, register
+
+    grid = [(x, y) for x in range(0, 41, 8) for y in range(0, 33, 8)]
+    bend = lambda x, y: (0.9 * x + 2 + 0.002 * x * y, 0.95 * y + 0.5 + 0.001 * x * x)
+    pairs = spark.createDataFrame([("a", k, float(x), float(y), *map(float, bend(x, y))) for k, (x, y) in enumerate(grid)], "id string, seq long, fx double, fy double, mx double, my double")
+    r = _frame(spark, a=np.add.outer(np.arange(41.0), 2 * np.arange(49.0)))
+    places = register.local_places(r.filter("y <= 32 and x <= 40"), kernels.local_maps(pairs, 0.5))
+    for p in places.collect():
+        assert (p.sx, p.sy) == pytest.approx(bend(p.x, p.y), abs=1e-6)
+    moved = {(p.y, p.x): p.v for p in register.warped(r, places, None).collect()}
+    assert moved[10, 10] == pytest.approx(bend(10, 10)[1] + 2 * bend(10, 10)[0])
+    same = raster.compare(register.warped(r, r.select(*KEY, F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"))), r).first()
+    assert same.mse == 0
+
+
+def test_rigid_registration_finds_scale_and_turn(spark):
+    from tessera.functions import pipelines
+    from tessera.operators import raster
+
+    def box(h, w, cy, cx, a, b, degrees):
+        y, x = np.mgrid[:h, :w]
+        c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+        u, v = (x - cx) * c + (y - cy) * s, (y - cy) * c - (x - cx) * s
+        return ((np.abs(u) <= a) & (np.abs(v) <= b)).astype(float)
+
+    moving, fixed = box(90, 100, 44, 48, 24, 14, -8), box(120, 130, 64, 60, 30, 17.5, 7)
+    m, f = _frame(spark, a=moving), _frame(spark, a=fixed)
+    done = pipelines.register_rigid(m, m, f)
+    assert done.scale == pytest.approx(1.25, abs=0.04) and done.theta == pytest.approx(15, abs=2)
+    on = lambda r: r.filter("v > 0.5").select(*KEY)
+    assert raster.dice(on(done.mask), on(f)).first().dice > 0.93
+    assert len(done.moving_points) == len(done.fixed_points) == 5
+    pairs = spark.createDataFrame([("a", k, *map(float, q), *map(float, p)) for k, (p, q) in enumerate((((x, y), (x, y)) for x in range(0, 130, 30) for y in range(0, 120, 30)))], "id string, seq long, fx double, fy double, mx double, my double")
+    ranked = pipelines.register_nonrigid(done.mask, pairs, f).collect()
+    assert {r.name for r in ranked} == {"local", "degree 2", "degree 3"} and all(r.r > 0.9 for r in ranked)
+
+
+def test_windows_lie_on_the_mask_and_apart(spark):
+    from tessera.functions import pipelines
+    from tessera.settings import Folders, Settings, Windows
+
+    a = np.ones((60, 70))
+    a[20:30, 20:30] = 0
+    mask = _frame(spark, a=a, b=a[:35]).filter("v > 0").select(*KEY)
+    settings = Windows(5, 8, 9)
+    found = pipelines.windows_of_interest(mask, settings).collect()
+    for n, rows in (("a", a), ("b", a[:35])):
+        own = [r for r in found if r.image_id == n]
+        assert len(own) == 5
+        for r in own:
+            assert rows[r.y : r.y + 8, r.x : r.x + 9].sum() == 72
+        assert all(abs(p.x - q.x) >= 9 or abs(p.y - q.y) >= 8 for p, q in itertools.combinations(own, 2))
+    share = {r.image_id: r.share for r in pipelines.coverage_of(mask, spark.createDataFrame(found), settings).collect()}
+    assert share["a"] == pytest.approx(360 / a.sum())
+    s = Settings(Folders("/a//b"))
+    assert s.folders.resolved().masks == "/a/b/savedOutput/" and s.windows.radius_bounds() == pytest.approx((300, 300 * 2**0.5))
