@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import points, raster, regions
+from ..operators import enhance, points, raster, regions, tiles
+
+KEY = ["image_id", "y", "x"]
 
 
 def otsu_cuts(bins: np.ndarray, counts: np.ndarray, cuts: int) -> list[int]:
@@ -64,15 +66,63 @@ def by_derivatives(r: DataFrame, height: int, width: int) -> DataFrame:
     return regions.largest(regions.label(regions.fill_holes(some, r, height, width)))
 
 
-def two_means(rgb: DataFrame, seed: int = 1) -> DataFrame:
-    """Two clusters of colours; the foreground is the one that the first corner is not in."""
+def hysteresis_from_histogram(levelled: DataFrame, off: int = 2000, close: int = 9) -> DataFrame:
+    """Regions of a generous threshold that hold the largest extended maximum of the image without its border's structures, closed by a disk.
+
+    The threshold is 0.9 of the histogram minimum nearest the Otsu level; where fewer than ``off`` pixels lie at or below
+    that, 0.95 of it, and then the minimum itself.
+    """
+    from . import kernels
+
+    base = raster.minimum_near_otsu(levelled)
+    shares = levelled.join(base, "image_id").groupBy("image_id", "threshold").agg(*[F.sum((F.col("v") <= k * F.col("threshold")).cast("int")).alias(n) for n, k in (("a", 0.9), ("b", 0.95))])
+    cut = shares.select("image_id", (F.col("threshold") * F.when(F.col("a") >= off, 0.9).when(F.col("b") >= off, 0.95).otherwise(1.0)).alias("threshold"))
+    generous = regions.shared_copy(raster.binarize(levelled, cut))
+    bright = regions.shared_copy(raster.adjust(enhance.border_cleared(levelled.withColumn("v", F.col("v").cast("double")))))
+    seeds = regions.largest(regions.label(kernels.extended_maxima(bright, 0.5).filter("v > 0").select(*KEY)))
+    kept = regions.reconstruct(regions.label(generous), seeds)
+    ones = levelled.select(*KEY).join(kept.select(*KEY, F.lit(1.0).alias("v")), KEY, "left").fillna(0.0, ["v"])
+    return tiles.closed(ones, "disk", close).filter("v > 0").select(*KEY)
+
+
+def colour_features(rgb: DataFrame) -> DataFrame:
+    """Twelve features of each pixel (image_id, y, x, f0 .. f11), each of three channels: the sharpened channel, its local entropy
+    and deviation over 9 x 9 pixels (scaled together), and the 7 x 7 median of the brightened entropy.
+    """
+    from . import kernels
+
+    out = None
+
+    def put(df: DataFrame, k: int) -> None:
+        nonlocal out
+        one = df.select(*KEY, F.lit(k).alias("k"), F.col("v").cast("double").alias("v"))
+        out = one if out is None else out.unionByName(one)
+
+    for k, c in enumerate("rgb"):
+        plain = rgb.select(*KEY, F.col(c).alias("v"))
+        disorder = regions.shared_copy(raster.local_entropy(raster.levels(plain), 4))
+        put(raster.filter_kernel(plain, [[0, -1, 0], [-1, 5, -1], [0, -1, 0]], "symmetric"), k)
+        put(disorder, 3 + k)
+        put(raster.local_std(plain, 4), 6 + k)
+        put(raster.median_filter(kernels.brightened(disorder), 3), 9 + k)
+    group = F.floor(F.col("k") / 3)
+    ends = out.filter("k between 3 and 8").groupBy("image_id", group.alias("g")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    scaled = out.withColumn("g", group).join(ends, ["image_id", "g"], "left")
+    value = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("v"))
+    return scaled.withColumn("v", value).groupBy(*KEY).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"f{k}") for k in range(12)])
+
+
+def two_means(rgb: DataFrame, height: int, width: int, seed: int = 1) -> DataFrame:
+    """Two clusters of ``colour_features``; ground is the commoner one in rows 1 to 7, columns 1 to 4; the rest with its holes filled."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    vectors = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(rgb)
-    got = KMeans(k=2, tol=1e-3, seed=seed).fit(vectors).transform(vectors)
-    corner = got.filter("y = 0 and x = 0").select("image_id", F.col("prediction").alias("ground"))
-    return got.join(corner, "image_id").filter("prediction != ground").select("image_id", "y", "x")
+    features = regions.shared_copy(colour_features(rgb))
+    vectors = VectorAssembler(inputCols=[f"f{k}" for k in range(12)], outputCol="features").transform(features)
+    got = KMeans(k=2, tol=1e-3, seed=seed).fit(vectors).transform(vectors).select(*KEY, "prediction")
+    corner = got.filter("y between 1 and 7 and x between 1 and 4").groupBy("image_id").agg((F.avg("prediction") > 0.5).cast("int").alias("ground"))
+    front = regions.shared_copy(got.join(corner, "image_id").filter("prediction != ground").select(*KEY))
+    return regions.fill_holes(front, features.select(*KEY), height, width)
 
 
 def _grid(group: pd.DataFrame) -> np.ndarray:

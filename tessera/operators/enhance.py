@@ -60,6 +60,22 @@ def iterated_median(r: DataFrame, rounds: int = 2) -> DataFrame:
     return raster._beside(r.withColumn("v", F.col("v").cast("double")), done, (F.col("v") + 2 * F.col("o")) / 3)
 
 
+def mixed_median(r: DataFrame, rounds: int = 2) -> DataFrame:
+    """Rounds of three medians over a rounded square, a square and a diamond; then one part of the source to two of the result."""
+    done = tiles.mixed_median(r, rounds)
+    return raster._beside(r.withColumn("v", F.col("v").cast("double")), done, (F.col("v") + 2 * F.col("o")) / 3)
+
+
+def border_cleared(r: DataFrame) -> DataFrame:
+    """Grey structures lighter than their surroundings that touch the border taken away: the image less its border's reconstruction."""
+    from . import regions
+
+    box = raster.ends(r).join(r.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx")), "image_id")
+    edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("my")) | (F.col("x") == F.col("mx"))
+    marked = box.select(*KEY, F.when(edge, F.col("v")).otherwise(F.col("lo")).alias("v"), F.col("v").alias("m"))
+    return raster._beside(r, regions.reconstruct_gray(marked), F.col("v") - F.col("o"))
+
+
 def connected_values(levelled: DataFrame, seed: tuple[int, int], tolerance: float) -> DataFrame:
     """The region of pixels within a tolerance of the seed pixel's value that holds the seed."""
     from . import regions

@@ -247,9 +247,13 @@ def bottom_hat(r: DataFrame, half: int = 1) -> DataFrame:
     return _beside(r, closed(r, half), F.col("o") - F.col("v"))
 
 
-def background_corrected(r: DataFrame, half: int = 12) -> DataFrame:
-    """1 - top hat of the complement: an even bright background."""
-    return complement(top_hat(complement(r), half))
+def background_corrected(r: DataFrame, radius: int = 12, shape: str = "disk", pad: int = 3) -> DataFrame:
+    """1 - top hat of the complement over a flat neighbourhood, the image first padded by its nearest pixels: an even bright background."""
+    wide = complement(padded(r, pad))
+    even = complement(_beside(wide, tiles.opened(wide, shape, radius), F.col("v") - F.col("o")))
+    box = r.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
+    back = even.select("image_id", (F.col("y") - pad).alias("y"), (F.col("x") - pad).alias("x"), "v").join(box, "image_id")
+    return back.filter((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") <= F.col("my")) & (F.col("x") <= F.col("mx"))).select("image_id", "y", "x", "v")
 
 
 def filter_kernel(r: DataFrame, kernel: list[list[float]], border: str = "zero") -> DataFrame:

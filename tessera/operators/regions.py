@@ -147,13 +147,20 @@ def fill_holes(mask: DataFrame, extent: DataFrame, height: int, width: int) -> D
     return mask.select("image_id", "y", "x").unionByName(holes)
 
 
-def cleaned(labels: DataFrame, reach: int = 1, least: int = 2) -> DataFrame:
-    """Regions of at least an area that touch the dilated largest one, and that one."""
+def cleaned(labels: DataFrame, reach: float = 250, least: int = 10_000) -> DataFrame:
+    """Regions of at least ``least`` pixels with a pixel at most ``reach`` from the largest region, and that one.
+
+    An image whose largest region is smaller than ``least`` is left as it is. Distances come from the two passes of
+    ``distance_to``, so work does not grow with the reach.
+    """
     main = largest(labels)
-    around = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("dy"), F.lit(b).cast("long").alias("dx")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]))
-    wide = main.withColumn("d", around).select("image_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct()
-    big = labels.groupBy("image_id", "label").count().filter(F.col("count") >= least)
-    return reconstruct(labels.join(big.select("image_id", "label"), ["image_id", "label"], "left_semi"), wide)
+    sizes = labels.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("area"))
+    top = F.max("area").over(Window.partitionBy("image_id"))
+    sizes = sizes.withColumn("top", top)
+    big = labels.join(sizes.filter(F.col("area") >= least).select("image_id", "label"), ["image_id", "label"], "left_semi")
+    near = distance_to(big, main).filter(F.col("distance") <= reach).select("image_id", "y", "x")
+    small = sizes.filter(F.col("top") < least).select("image_id", "label")
+    return reconstruct(big, near).unionByName(_chosen(labels, small))
 
 
 def regional_maxima(r: DataFrame, tile: int = TILE) -> DataFrame:

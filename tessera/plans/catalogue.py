@@ -120,7 +120,16 @@ _on_q("open", raster.opened, _MORPH.format("min", "max") + " SELECT * FROM p2")
 _on_q("close", raster.closed, _MORPH.format("max", "min") + " SELECT * FROM p2")
 _on_q("top_hat", raster.top_hat, _MORPH.format("min", "max") + " SELECT y, x, q.v - p2.v AS v FROM q JOIN p2 USING (y, x)")
 _on_q("bottom_hat", raster.bottom_hat, _MORPH.format("max", "min") + " SELECT y, x, p2.v - q.v AS v FROM q JOIN p2 USING (y, x)")
-_on_q("background_correction", lambda r: raster.background_corrected(r, 2), ", i AS (SELECT y, x, 1 - v AS v FROM q), p1 AS (SELECT a.y, a.x, min(b.v) AS v FROM i a JOIN i b ON abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY 1, 2), p2 AS (SELECT a.y, a.x, max(b.v) AS v FROM p1 a JOIN p1 b ON abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY 1, 2) SELECT y, x, 1 - (i.v - p2.v) AS v FROM i JOIN p2 USING (y, x)")
+_DISK2 = "b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 AND power(a.y - b.y, 2) + power(a.x - b.x, 2) <= 4"
+_on_q(
+    "background_correction",
+    lambda r: raster.background_corrected(r, 2, pad=1),
+    f""", bx AS (SELECT max(y) AS my, max(x) AS mx FROM q),
+    i AS (SELECT CAST(u.i AS BIGINT) AS y, CAST(w.i AS BIGINT) AS x, 1 - q.v AS v FROM bx, range(-1, (SELECT my + 2 FROM bx)) u(i), range(-1, (SELECT mx + 2 FROM bx)) w(i)
+    JOIN q ON q.y = greatest(0, least(my, u.i)) AND q.x = greatest(0, least(mx, w.i))),
+    p1 AS (SELECT a.y, a.x, min(b.v) AS v FROM i a JOIN i b ON {_DISK2} GROUP BY 1, 2), p2 AS (SELECT a.y, a.x, max(b.v) AS v FROM p1 a JOIN p1 b ON {_DISK2} GROUP BY 1, 2)
+    SELECT y, x, 1 - (i.v - p2.v) AS v FROM i JOIN p2 USING (y, x), bx WHERE y BETWEEN 0 AND my AND x BETWEEN 0 AND mx""",
+)
 _SORTED = "list_sort(list_concat(list(b.v), [0 for k in range(0, 9 - count(*))]))"
 _on_q("median3", raster.median_filter, f" SELECT * FROM {_NEAR.format(f'CAST({_SORTED}[5] AS BIGINT)', 1)}")
 _on_q("order_filter", lambda r: raster.order_filter(r, 7), f" SELECT * FROM {_NEAR.format(f'CAST({_SORTED}[7] AS BIGINT)', 1)}")
@@ -213,7 +222,13 @@ _add(
     SELECT y, x FROM q EXCEPT SELECT y, x FROM w""",
 )
 _add("distance_transform", lambda s, d: _pixels(regions.distance_to(_mask(s, d), _levels(s, d).join(_mask(s, d), ["image_id", "y", "x"], "left_anti")), "y", "x", "distance"), MASK + ", k AS (SELECT y, x FROM q EXCEPT SELECT y, x FROM m) SELECT m.y, m.x, round(min(sqrt(power(m.y - k.y, 2) + power(m.x - k.x, 2))), 6) AS distance FROM m, k GROUP BY 1, 2")
-_add("clean_mask", lambda s, d: regions.cleaned(_labels(s, d)).drop("image_id"), _CC + ", g AS (SELECT y, x FROM l WHERE label = (SELECT label FROM z ORDER BY area DESC, label LIMIT 1)) SELECT y, x FROM l WHERE label IN (SELECT label FROM l JOIN z USING (label) WHERE area >= 2 AND EXISTS (SELECT 1 FROM g WHERE abs(g.y - l.y) <= 1 AND abs(g.x - l.x) <= 1))".replace("g AS", "big AS").replace("FROM g", "FROM big").replace("g.y", "big.y").replace("g.x", "big.x"))
+_add(
+    "clean_mask",
+    lambda s, d: regions.cleaned(_labels(s, d), 2.5, 2).drop("image_id"),
+    _CC + """, big AS (SELECT y, x FROM l WHERE label = (SELECT label FROM z ORDER BY area DESC, label LIMIT 1))
+    SELECT y, x FROM l WHERE label IN (SELECT label FROM l JOIN z USING (label) WHERE area >= 2 AND EXISTS (SELECT 1 FROM big WHERE power(big.y - l.y, 2) + power(big.x - l.x, 2) <= 6.25))
+    OR (SELECT max(area) FROM z) < 2""",
+)
 _add(
     "quadrants",
     lambda s, d: raster.quadrants_filled(_mask(s, d), *_size(s, d)).drop("image_id"),
@@ -365,7 +380,6 @@ _add("open_work", lambda s, d: files.open_work(files.paired(files.latest(files.p
 # segmentation pipelines and kernels without SQL
 _add("segment_by_derivatives", lambda s, d: segment.by_derivatives(rasters.quantity_raster(s, d), *_size(s, d)).drop("image_id"))
 _add("segment_hysteresis", lambda s, d: segment.hysteresis(_levels(s, d), 120, 220).drop("image_id"), MASK.replace("WITH s AS", "WITH RECURSIVE s AS") + ", f AS (SELECT y, x, v FROM lv WHERE v > 120), r(y, x) AS (SELECT y, x FROM f WHERE v > 220 UNION SELECT f.y, f.x FROM r JOIN f ON abs(r.y - f.y) <= 1 AND abs(r.x - f.x) <= 1) SELECT y, x FROM r")
-_add("segment_two_means", lambda s, d: segment.two_means(rasters.rgb_raster(s, d)).drop("image_id"))
 _add("segment_geodesic", lambda s, d: _pixels(segment.geodesic(_levels(s, d), [(0, 0)]), "y", "x", "cost", digits=4))
 _add("segment_snake", lambda s, d: segment.two_region_contour(_levels(s, d), _mask(s, d), 15).drop("image_id"))
 _add("diffuse", lambda s, d: _pixels(segment.diffused(rasters.quantity_raster(s, d), 3), "y", "x", "v", digits=4))

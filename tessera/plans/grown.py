@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels, pipelines
-from ..operators import enhance, points, raster, regions, register
+from ..functions import kernels, pipelines, segment
+from ..operators import enhance, points, regions, register
 from ..settings import Windows
 from ..sources import rasters
-from .catalogue import _PTS, LEVELS, MASK, Q, _add, _customers, _levels, _mask, _pixels
+from .catalogue import _PTS, LEVELS, MASK, Q, _add, _mirrored, _on_q, _customers, _levels, _mask, _pixels
 from .wider import _rgb_size
 
 # grey reconstruction: every pixel collects the values that reach it under the mask; the greatest counts
@@ -107,3 +107,23 @@ _add(
 _add("segment_full_colour", lambda s, d: pipelines.segment_full_colour(rasters.rgb_raster(s, d), 20).drop("image_id"))
 _add("segment_log_contrast", lambda s, d: pipelines.log_contrast_mask(rasters.rgb_raster(s, d), *_rgb_size(s, d), 3).drop("image_id"))
 _add("windows_in_mask", lambda s, d: pipelines.windows_of_interest(_levels(s, d).filter("v >= 0").select("image_id", "y", "x"), Windows(8, 6, 6)).drop("image_id"))
+_add("segment_two_means", lambda s, d: segment.two_means(rasters.rgb_raster(s, d), *_rgb_size(s, d)).drop("image_id"))
+_add("segment_hysteresis_auto", lambda s, d: segment.hysteresis_from_histogram(_levels(s, d), 200, 2).drop("image_id"))
+
+
+def _ranked(source: str, rank: int, rule: str) -> str:
+    near = _mirrored(source, 2).replace("SELECT a.y, a.x, ", "SELECT a.y, a.x, i.i AS i, j.j AS j, ", 1)
+    return f"(SELECT a.y, a.x, list_sort(list(b.v))[{rank}] AS v FROM {near} WHERE {rule} GROUP BY 1, 2)"
+
+
+_on_q(
+    "mixed_median",
+    lambda r: enhance.mixed_median(r, 1),
+    f", m1 AS {_ranked('q', 11, 'abs(i) + abs(j) < 4')}, m2 AS {_ranked('m1', 13, 'true')}, m3 AS {_ranked('m2', 7, 'abs(i) + abs(j) <= 2')} SELECT y, x, round((q.v + 2 * m3.v) / 3.0::DOUBLE, 6) AS v FROM q JOIN m3 USING (y, x)",
+)
+_add(
+    "border_cleared",
+    lambda s, d: _pixels(enhance.border_cleared(rasters.quantity_raster(s, d)), "y", "x", "v"),
+    _RQ + ", bx AS (SELECT max(y) AS my, max(x) AS mx, min(v) AS lo FROM q), mk AS (SELECT y, x, CASE WHEN y = 0 OR x = 0 OR y = my OR x = mx THEN v ELSE lo END AS v FROM q, bx), "
+    + _rebuilt("ed", "mk", "q") + " SELECT q.y, q.x, q.v - ed.v AS v FROM q JOIN ed USING (y, x)",
+)

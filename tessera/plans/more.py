@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels, segment
+from ..functions import kernels, pipelines, segment
 from ..operators import enhance, points, raster, regions
 from ..sources import rasters
 from .catalogue import _PTS, _SQL, LEVELS, MASK, Q, _add, _customers, _G, _labels, _levels, _mask, _on_q, _pixels, _routes, _size, _taps
@@ -107,13 +107,14 @@ def tissue_mask(s: SparkSession, d: str) -> DataFrame:
 
 
 def texture_mask(s: SparkSession, d: str) -> DataFrame:
-    """Pixels that at least two of entropy, deviation and range masks hold."""
-    q = _levels(s, d)
-    parts = None
-    for name, t in (("entropy", raster.local_entropy(q.withColumn("v", F.floor(F.col("v") / 16)), 2)), ("std", raster.local_std(q)), ("range", raster.local_range(q))):
+    """Pixels that at least two of entropy, deviation, range, full-colour and log-contrast masks hold."""
+    rgb = rasters.rgb_raster(s, d)
+    h, w = (v + 1 for v in rgb.agg(F.max("y"), F.max("x")).first())
+    gray = raster.gray(rgb)
+    parts = pipelines.segment_full_colour(rgb, 20).withColumn("mask", F.lit("colour")).unionByName(pipelines.log_contrast_mask(rgb, h, w, 3).withColumn("mask", F.lit("log")))
+    for name, t in (("entropy", raster.local_entropy(raster.levels(gray), 4)), ("std", raster.local_std(gray, 3)), ("range", raster.local_range(gray, 3))):
         lv = raster.levels(t)
-        m = raster.binarize(lv, raster.otsu(lv)).withColumn("mask", F.lit(name))
-        parts = m if parts is None else parts.unionByName(m)
+        parts = parts.unionByName(raster.binarize(lv, raster.otsu(lv)).withColumn("mask", F.lit(name)))
     return enhance.votes(parts, 2)
 
 
