@@ -103,14 +103,10 @@ def detail_enhanced(r: DataFrame, sigma: float = 30.0, alpha: float = 0.5, layer
 def brightened(r: DataFrame, amount: float = 0.8) -> DataFrame:
     """Dark parts lifted: the inverted image is cleared of its local haze and inverted back; values in [0, 1]."""
 
-    def run(p: np.ndarray) -> np.ndarray:
-        inverse = 1 - p
-        low = np.minimum.reduce([s for _, _, s in tiles.shifts(inverse, 1)])
-        haze = amount * np.maximum.reduce([s for _, _, s in tiles.shifts(low, 1)])
-        inverse = inverse[2:-2, 2:-2]
-        return 1 - np.clip((inverse - haze) / np.maximum(1 - haze, 0.1), 0, 1)
-
-    return tiles.by_tiles(raster.rescale(r), 2, run, "replicate")
+    inverse = raster.complement(raster.rescale(r))
+    haze = F.lit(amount) * F.col("o")
+    clear = (F.col("v") - haze) / F.greatest(1 - haze, F.lit(0.1))
+    return raster._beside(inverse, raster.opened(inverse), 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), clear))).select(*KEY, "v")
 
 
 def traced(labels: DataFrame) -> DataFrame:

@@ -283,7 +283,7 @@ _add("path_length", lambda s, d: _pixels(points.path_length(_routes(s, d)), "set
 _add("densify_polyline", lambda s, d: _pixels(points.densified(_routes(s, d), 10.0), "seq", "part", "px", "py"), _ROUTES + f", k AS (SELECT seq, px, py, lead(px) OVER t AS qx, lead(py) OVER t AS qy FROM p {_ALONG}), n AS (SELECT *, CAST(coalesce(greatest(1, ceil(sqrt(power(qx - px, 2) + power(qy - py, 2)) / 10)), 1) AS INTEGER) AS n FROM k), u AS (SELECT *, unnest(range(0, n)) AS part FROM n) SELECT seq, CAST(part AS INTEGER) AS part, round(px + CAST(part AS DOUBLE) / n * (coalesce(qx, px) - px), 6) AS px, round(py + CAST(part AS DOUBLE) / n * (coalesce(qy, py) - py), 6) AS py FROM u")
 _add("simplify_polyline", lambda s, d: points.simplified(_routes(s, d), 6.0).select("seq"), _ROUTES + f", k AS (SELECT seq, px, py, lag(px) OVER t AS ax, lag(py) OVER t AS ay, lead(px) OVER t AS bx, lead(py) OVER t AS by_ FROM p {_ALONG}) SELECT seq FROM k WHERE (ax IS NULL OR bx IS NULL OR abs((px - ax) * (by_ - ay) - (py - ay) * (bx - ax)) > 1e-9) AND (ax IS NULL OR sqrt(power(px - ax, 2) + power(py - ay, 2)) >= 6)")
 _add("convex_hull", lambda s, d: points.convex_hull(_customers(s, d)).select("px", "py"))
-_add("circle_contacts", lambda s, d: points.contacts(_customers(s, d).select(F.col("seq").alias("id"), F.col("px").alias("cx"), F.col("py").alias("cy"), (F.col("seq") % 3 / 4).cast("double").alias("r"))), _PTS + ", c AS (SELECT seq AS id, px, py, CAST(seq % 3 AS DOUBLE) / 4 AS r FROM p) SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.id < b.id AND sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) <= 1.1::DOUBLE * (a.r + b.r)")
+_add("circle_contacts", lambda s, d: points.contacts(_customers(s, d).select(F.col("seq").alias("id"), F.col("px").alias("cx"), F.col("py").alias("cy"), ((F.col("seq") % 3 + 1) * 0.3).alias("r"))), _PTS + ", c AS (SELECT seq AS id, px, py, (seq % 3 + 1) * 0.3::DOUBLE AS r FROM p) SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.id < b.id AND sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) <= 1.1::DOUBLE * (a.r + b.r)")
 _add(
     "hex_lattice",
     lambda s, d: _pixels(points.hex_lattice(s, _size(s, d)[1], 5.0, math.ceil(_size(s, d)[0] / (5 * math.sqrt(3)))), "row", "col", "cx", "cy"),

@@ -51,7 +51,7 @@ def _two_sets(s: SparkSession, d: str) -> DataFrame:
 _add("align_by_padding", lambda s, d: enhance.aligned(_two_sets(s, d)), _TWO + ", a AS (SELECT set, avg(px) AS ax, avg(py) AS ay FROM t GROUP BY 1) SELECT set, CAST(round(max(ax) OVER () - ax) AS BIGINT) AS pad_x, CAST(round(max(ay) OVER () - ay) AS BIGINT) AS pad_y FROM a")
 _add("edge_margin", lambda s, d: enhance.edge_margin(_mask(s, d), *_size(s, d), 4).drop("image_id"), MASK + " SELECT CAST(greatest(0, 4 - min(m.y)) AS BIGINT) AS top, CAST(greatest(0, 4 - ((SELECT max(y) FROM q) - max(m.y))) AS BIGINT) AS bottom, CAST(greatest(0, 4 - min(m.x)) AS BIGINT) AS left, CAST(greatest(0, 4 - ((SELECT max(x) FROM q) - max(m.x))) AS BIGINT) AS right FROM m")
 _add("angular_histogram", lambda s, d: kernels.free_directions(_mask(s, d), 5, 5, 24).drop("image_id"), MASK + " SELECT CAST(floor((degrees(atan2(y - 5, x - 5)) + CASE WHEN atan2(y - 5, x - 5) < 0 THEN 360 ELSE 0 END) / 15) AS INTEGER) AS bin, count(*) AS n FROM m WHERE y <> 5 OR x <> 5 GROUP BY 1")
-_add("contact_degrees", lambda s, d: (lambda e: e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree")))(points.contacts(_customers(s, d).select(F.col("seq").alias("id"), F.col("px").alias("cx"), F.col("py").alias("cy"), (F.col("seq") % 3 / 4).cast("double").alias("r")))), _SQL["circle_contacts"].replace("SELECT a.id AS src", ", e AS (SELECT a.id AS src", 1).replace(" , e AS", ", e AS") + ") SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1")
+_add("contact_degrees", lambda s, d: (lambda e: e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree")))(points.contacts(_customers(s, d).select(F.col("seq").alias("id"), F.col("px").alias("cx"), F.col("py").alias("cy"), ((F.col("seq") % 3 + 1) * 0.3).alias("r")))), _SQL["circle_contacts"].replace("SELECT a.id AS src", ", e AS (SELECT a.id AS src", 1).replace(" , e AS", ", e AS") + ") SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1")
 
 for _name, _f in {
     "non_local_means": kernels.non_local_means,

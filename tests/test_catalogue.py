@@ -4,9 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalogue, grown, more, outlines, wider  # noqa: F401  the others register their queries in the catalogue
+from tessera.plans import catalogue, grown, more, outlines, wider, answers  # noqa: F401  the others register their queries in the catalogue
 
 SF = "/root/testdata/sf0.001"
+#: Queries that rightly find nothing in the smallest tables.
+EMPTY = {"circle_contacts", "contact_degrees"}
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
@@ -32,6 +34,7 @@ def test_query(spark, db, name):
         want = db.sql(sql).df()
         assert sorted(found.columns) == sorted(want.columns)
         assert _rows(found) == _rows(want)
+        assert len(found) or name in EMPTY
     else:
         assert len(found)
 
