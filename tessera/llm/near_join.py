@@ -14,7 +14,7 @@ from . import bytescan
 from .common import free_name, hot_join, materialize, small_batches, whole_text, without
 from .components import components
 
-SHINGLE, THRESHOLD, RECALL, ROWS, BLOCK, SEED = 5, 0.8, 0.9999, 4, 320, 17
+SHINGLE, THRESHOLD, RECALL, ROWS, BLOCK, BLOCK_SHINGLES, SEED = 5, 0.8, 0.9999, 4, 1024, 1 << 19, 17
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -85,8 +85,11 @@ def common_counts(sets: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray
     n = len(at) - 1
     out = np.zeros(len(i), np.int64)
     if len(i) > 4 * n:
-        ids, place = np.unique(sets, return_inverse=True)
+        ids, place, often = np.unique(sets, return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(n), np.diff(at))
+        shared = often[place] > 1  # what one set alone holds is in no intersection
+        number = np.cumsum(often > 1) - 1
+        place, owner, ids = number[place[shared]], owner[shared], ids[often > 1]
         total = np.zeros((n, n), np.float32)
         for first in range(0, len(ids), 4096):
             part = (place >= first) & (place < first + 4096)
@@ -120,12 +123,12 @@ def _verifier(threshold: float, size: int):
         if bi != bj:
             cross = block[i] != block[j]
             i, j = i[cross], j[cross]
-        fresh = np.ones(len(i), bool)
-        for k in range(band):
-            fresh &= bands[i, k] != bands[j, k]
+        for k in range(band):  # pairs that met in an earlier band are gone after a look or two
+            fresh = bands[i, k] != bands[j, k]
+            i, j = i[fresh], j[fresh]
         count = rows["shingles"].to_numpy()
         low, high = np.minimum(count[i], count[j]), np.maximum(count[i], count[j])
-        fresh &= low >= threshold * high  # two sets of such sizes cannot be alike enough otherwise
+        fresh = low >= threshold * high  # two sets of such sizes cannot be alike enough otherwise
         i, j = i[fresh], j[fresh]
         if not len(i):
             return
@@ -141,7 +144,7 @@ def _verifier(threshold: float, size: int):
         if not len(i):
             return
         links = np.bincount(np.r_[i, j], minlength=n)
-        # a spanning forest stands for the links of the group
+        # a spanning forest stands for the links of the group: each text's first links, then those between what is still apart
         root = np.arange(n)
 
         def find(x: int) -> int:
@@ -151,13 +154,16 @@ def _verifier(threshold: float, size: int):
             return x
 
         edges, has = [], np.flatnonzero(links)
-        for x, y in zip(i, j, strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                root[p] = q
-                edges.append((rep[x], rep[y]))
-                if len(edges) == len(has) - 1:
-                    break
+        while len(i):
+            some = np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
+            for x, y in zip(i[some].tolist(), j[some].tolist(), strict=True):
+                p, q = find(x), find(y)
+                if p != q:
+                    root[p] = q
+                    edges.append((rep[x], rep[y]))
+            top = np.array([find(x) for x in range(n)])
+            apart = top[i] != top[j]
+            i, j = i[apart], j[apart]
         e = np.array(edges, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[rep[has], e[:, 0]]), pa.array([*[None] * len(has), *e[:, 1].tolist()], pa.int64()), pa.array(np.r_[links[has], np.zeros(len(e), np.int64)])],
@@ -193,8 +199,8 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     themselves only. Bands and rows are chosen so that a pair at the threshold is a candidate with probability
     ``recall``; candidates are verified on full sets, so there are no false links.
 
-    Buckets are cut into blocks of about ``block`` texts and verified block against block, so a bucket of any size is
-    spread over tasks, and no pair is ever a row: a task sends on each text's number of links and a spanning forest.
+    Buckets are cut into blocks of about ``block`` texts (fewer where they have more than BLOCK_SHINGLES shingles) and
+    verified block against block, so a bucket of any size is spread over tasks, and no pair is ever a row: a task sends on each text's number of links and a spanning forest.
     A bucket with the same members as one of an earlier band is skipped. A null identifier counts as the least long; repeated rows each get a
     row; extra columns are ignored; an empty table gives an empty result.
     """
@@ -215,13 +221,13 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     # a set's number, not its smallest identifier, names it: identifiers can be null or stand on different texts
     sets = signed.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
     sets = materialize(sets.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("least.id").alias("least_id"), F.col("least.text_hash").alias("least_hash"), "n", "shingles", "bands"), "sets")
-    spread = sets.filter("shingles > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
+    spread = sets.filter("shingles > 0").select("rep", "shingles", F.posexplode("bands").alias("band", "hash"))
     keyed = spread.withColumn("key", F.xxhash64("band", "hash"))
     member = F.xxhash64("rep")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("band").alias("band"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("n > 1")
-    buckets = materialize(buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("one")).select("one.key", "one.band", "n"), "buckets")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("size"), F.min("band").alias("band"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("n > 1")
+    buckets = materialize(buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("one"), F.max("size").alias("size")).select("one.key", "one.band", "n", "size"), "buckets")
     members = hot_join(keyed.select("key", "rep"), buckets, "key", "n", total)
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_SHINGLES))).cast("int")
     members = members.select("key", "band", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", F.lit(2)), blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = members.withColumn("other", other).select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "rep")
