@@ -14,7 +14,7 @@ from . import bytescan
 from .common import free_name, hot_join, materialize, small_batches, whole_text, without
 from .components import components
 
-SHINGLE, THRESHOLD, RECALL, ROWS, BLOCK, BLOCK_SHINGLES, SEED = 5, 0.8, 0.9999, 4, 512, 1 << 19, 17
+SHINGLE, THRESHOLD, RECALL, ROWS, BLOCK, BLOCK_SHINGLES, SEED = 5, 0.8, 0.9999, 4, 320, 1 << 19, 17
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
