@@ -43,3 +43,18 @@ def test_parts_closed_in_one_pass_without_pixels_in_joins(spark):
     plan = _plan(queries()["parts_close_disk"](spark, DATA))
     assert plan.count("FlatMapGroups") == 1
     assert not re.search(r"Join \[y#\d+L, x#\d+L\]", plan)
+
+
+def test_parts_derivative_without_a_column_in_a_task(spark):
+    from __spark_entry__ import queries
+
+    assert "Window" not in _plan(queries()["parts_derivative7_x"](spark, DATA))
+
+
+def test_lines_against_windows(spark):
+    from tessera.operators import raster, tiles
+
+    a = np.random.default_rng(5).normal(size=(23, 9))
+    r = _frame(spark, a)
+    for along in ("x", "y", "xx", "yy", "xy"):
+        np.testing.assert_allclose(_array(raster.derivative(r, along, tiles.extents(r)), a.shape), _array(raster.derivative(r, along), a.shape), rtol=0, atol=1e-12)
