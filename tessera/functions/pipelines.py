@@ -52,7 +52,7 @@ def log_contrast_mask(rgb: DataFrame, height: int, width: int, window: int = 12)
     light = regions.shared_copy(raster.rescale(raster.lab(rgb).select(*KEY, F.col("l").alias("v"))))
     up = raster._beside(light, tiles.opened(light, "rounded", 2), F.col("v") + 0.5 * (F.col("v") - F.col("o")))
     both = regions.shared_copy(raster._beside(up, tiles.closed(up, "rounded", 2), F.col("v") - 0.5 * (F.col("o") - F.col("v"))))
-    even = raster._beside(both, raster.median_filter(both, window), F.col("v") - F.col("o"))
+    even = regions.shared_copy(raster._beside(both, raster.median_filter(both, window), F.col("v") - F.col("o")))
     dark = raster.closed(raster.complement(raster.equalized(raster.levels(even))))
     logs = regions.shared_copy(raster.rescale(dark.withColumn("v", F.when(F.col("v") > 0, F.log("v")).otherwise(F.lit(2.0**-52)))))
     slope = raster.derivative(logs, "x").withColumnRenamed("v", "ex").join(raster.derivative(logs, "y").withColumnRenamed("v", "ey"), KEY)

@@ -58,3 +58,31 @@ def test_lines_against_windows(spark):
     r = _frame(spark, a)
     for along in ("x", "y", "xx", "yy", "xy"):
         np.testing.assert_allclose(_array(raster.derivative(r, along, tiles.extents(r)), a.shape), _array(raster.derivative(r, along), a.shape), rtol=0, atol=1e-12)
+
+
+def test_distances_read_no_column_anew_for_every_pixel(spark):
+    from tessera.operators import regions
+
+    rng = np.random.default_rng(9)
+    mask, target = rng.random((70, 13)) < 0.5, rng.random((70, 13)) < 0.03
+    on = lambda m: spark.createDataFrame([("a", int(y), int(x)) for y, x in zip(*np.nonzero(m), strict=True)], "image_id string, y long, x long")
+    df = regions.distance_to(on(mask), on(target))
+    assert "unboundedfollowing" not in _plan(df)
+    got, (ty, tx) = {(r.y, r.x): r.distance for r in df.collect()}, np.nonzero(target)
+    assert set(got) == {(int(y), int(x)) for y, x in zip(*np.nonzero(mask), strict=True)}
+    for (y, x), d in got.items():
+        assert d == pytest.approx(np.sqrt(((ty - y) ** 2 + (tx - x) ** 2).min()))
+
+
+@pytest.mark.parametrize("eight", [True, False])
+def test_labels_of_a_noisy_column_take_work_by_its_runs(eight):
+    import time
+
+    from tessera.operators import regions
+
+    m = np.zeros((30_000, 3), bool)
+    m[::2], m[1::4, 1] = True, True
+    began = time.time()
+    got = regions.label_grid(m, eight)
+    assert time.time() - began < 5
+    assert len(np.unique(got)) - 1 == 7_500
