@@ -86,3 +86,21 @@ def test_labels_of_a_noisy_column_take_work_by_its_runs(eight):
     got = regions.label_grid(m, eight)
     assert time.time() - began < 5
     assert len(np.unique(got)) - 1 == 7_500
+
+
+def test_superpixels_by_tiles_are_those_of_all_centres(spark):
+    from tessera.functions import kernels
+
+    rng, step, weight = np.random.default_rng(11), 8, 0.5
+    y, x = np.nonzero(np.ones((90, 21)))
+    colour = rng.integers(0, 40, (len(y), 3)) / 4  # far apart beside their places: the first margin is too small
+    p = np.column_stack([colour, weight * y / step, weight * x / step])
+    label = np.unique(y // step * 10_000 + x // step, return_inverse=True)[1]
+    for _ in range(3):
+        n = np.bincount(label)
+        c = np.column_stack([np.bincount(label, p[:, k]) / n for k in range(5)])
+        label = np.unique(((c[None] - p[:, None]) ** 2).sum(axis=2).argmin(axis=1), return_inverse=True)[1]
+    rows = [("a", int(a), int(b), *map(float, k)) for a, b, k in zip(y, x, colour, strict=True)]
+    df = spark.createDataFrame(rows, "image_id string, y long, x long, r double, g double, b double")
+    got = {(r.y, r.x): r.label for r in kernels.superpixels(df, step, 3, weight, tile=32, margin=4).collect()}
+    assert got == {(int(a), int(b)): int(k) for a, b, k in zip(y, x, label, strict=True)}
