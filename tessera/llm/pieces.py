@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import sys
+import zlib
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, whole_text
 
-MODEL, CHUNK, RUN, CACHE = "piece_bpe_32k.model", 65_536, 64, 350_000
+MODEL, CHUNK, RUN, CACHE = "piece_bpe_32k.model", 65_536, 64, 250_000
 _BLANK, _RAW = "▁", "\udc81"  # the model's blank mark; a blank mark that a text itself holds (never a piece)
 NEVER = -np.inf
 
@@ -336,7 +337,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), batch.column(0), pa.array(np.zeros(n, np.int64)), pa.array(ids, pa.binary())], names=["uid", "id", "chunk", "ids"])
 
-    short = texts.filter(F.char_length("text") <= chunk).mapInArrow(whole, ENCODED)
+    return texts.filter(F.char_length("text") <= chunk).mapInArrow(whole, ENCODED).unionByName(_scanned(texts, path, chunk))
+
+
+def _scanned(texts: DataFrame, path: str, chunk: int) -> DataFrame:
+    """``encode`` for the texts (id, text) of more than ``chunk`` code points."""
     giants = texts.filter(F.char_length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +402,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         way = resolve([_matrix(b, i) for i, b in zip(group.inward, group.m, strict=True)], int(group.a.iloc[0]), int(group.b.iloc[0]))
         return pd.DataFrame({"uid": group.uid, "chunk": group.chunk, "a": [a for a, _ in way], "b": [b for _, b in way]})
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # these rows are few bytes but much work
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # these rows are few bytes but much work
     runs = moves.repartition(parts, "uid", "run").groupBy("uid", "run").applyInPandas(product, "uid long, run long, inward long, m binary")
     edges = runs.repartition(parts, "uid").groupBy("uid").applyInPandas(ends, "uid long, run long, a long, b long")
     states = moves.join(edges, ["uid", "run"]).repartition(parts, "uid", "run").groupBy("uid", "run").applyInPandas(inside, "uid long, chunk long, a long, b long")
@@ -425,8 +430,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(columns)], names=["uid", "id", "chunk", "ids"])
 
-    traced = chunks.join(states, ["uid", "chunk"]).select("uid", "id", "chunk", "lead", "size", "text", "a", "b").mapInArrow(back, ENCODED)
-    return short.unionByName(traced)
+    return chunks.join(states, ["uid", "chunk"]).select("uid", "id", "chunk", "lead", "size", "text", "a", "b").mapInArrow(back, ENCODED)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -450,9 +454,28 @@ def encoding_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     decoded_* describe the text that decoding the ids gives back, in UTF-8. Chunks' checksums are combined, so no
     task holds a whole giant document's ids. Repeated rows are answered each; a null identifier stays null.
     """
-    each = decode(encode(docs, id_col, text_col, model, chunk), model)
+    small_batches(docs.sparkSession, 500)
+    path = model or model_path()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+
+    def both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _model(path)
+        for batch in batches:
+            rows = []
+            for t in batch.column(1):
+                ids = m.encode(normal(t, True)) if (t := t.as_py()) else b""
+                back = m.decode(ids)[1:]
+                rows.append((len(ids), zlib.crc32(ids), len(back.decode()), len(back), zlib.crc32(back)))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), batch.column(0), pa.array([0] * n, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=digests)
+
+    digests = ["uid", "id", "chunk", "size", "ids_crc32", "decoded_chars", "octets", "decoded_crc32"]
+    # both ways in one Python process a task: a second one would hold the model once more
+    short = texts.filter(F.char_length("text") <= chunk).mapInArrow(both_ways, ", ".join(f"{c} long" for c in digests))
+    each = decode(_scanned(texts, path, chunk), model)
     each = each.select("uid", "id", "chunk", F.octet_length("ids").cast("long").alias("size"), F.crc32("ids").alias("ids_crc32"), F.char_length("text").cast("long").alias("decoded_chars"), F.octet_length("text").cast("long").alias("octets"), F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
-    each = materialize(each, "digests")
+    each = materialize(short.unionByName(each), "digests")
     schema = f"{id_col} long, n_tokens long, ids_crc32 long, decoded_chars long, decoded_crc32 long, chunks long"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     short = each.filter("uid is null").select(F.col("id").alias(id_col), (F.col("size") / 4).cast("long").alias("n_tokens"), "ids_crc32", "decoded_chars", "decoded_crc32", F.lit(1).cast("long").alias("chunks"))
